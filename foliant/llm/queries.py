@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, sharding, simhash, toxicity
+from . import decontaminate, langid, packing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -32,5 +32,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_packing, op5_sharding)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_packing, op5_sharding, op6_decontaminate)}
 ORACLES: dict[str, str] = {}
