@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, simhash, toxicity
+from . import chroma, ctw, decontaminate, langid, packing, secrets, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -36,5 +36,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_packing, op5_sharding, op6_decontaminate)}
-ORACLES: dict[str, str] = {}
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.language_model(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: the bytes of each whole text are read as 8-bit PCM."""
+    return chroma.search(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_packing, op5_sharding, op6_decontaminate, op7_ctw, op8_secrets, op9_urls, op10_chroma)}
+ORACLES: dict[str, str] = {"op8_secrets": secrets.ORACLE}

@@ -276,3 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     labelled = grouped.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept"))
     return rows.join(labelled, "fp").select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("kept")).alias("keep"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group; rows are told apart by their place in docs, which must be a stored table."""
+    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("keep")).select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").select(*docs.columns)

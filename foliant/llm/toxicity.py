@@ -178,6 +178,11 @@ def learned(docs: DataFrame, labels: DataFrame) -> Index:
     return fit(docs, labels, remainder("doc_id", 5) != 0)
 
 
+def acceptable(docs: DataFrame, index: Index) -> DataFrame:
+    """docs without those whose score is 0.5 or more."""
+    return with_scores(docs, index).where(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+
+
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's form: learn where the id's remainder by 5 is not 0, score every row."""
     s = F.col("_toxicity.score")
