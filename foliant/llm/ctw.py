@@ -105,19 +105,24 @@ class Tree:
     """levels[d]: (grams of d context bytes and the next byte, counts). Holds each node's mixed probability of a one."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        nodes = []
+        """Grams are sorted. The eight decisions of a byte are trees of their own, grown one after the other to save memory."""
+        self.keys: list[list[np.ndarray]] = [[] for _ in levels]
+        self.ones: list[list[np.ndarray]] = [[] for _ in levels]
+        for j in range(8):
+            self._grow(levels, j)
+        self._hash(levels[-1][0])
+
+    def _grow(self, levels: list[tuple[np.ndarray, np.ndarray]], j: int) -> None:
+        nodes, parents = [], []
         for d, (g, n) in enumerate(levels):
-            byte, context = g & 255, g >> 8
-            keys = np.concatenate([context << 8 | (1 << j) | (byte >> (8 - j)) for j in range(8)])
-            bit = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
-            u, at = np.unique(keys, return_inverse=True)
-            many = np.tile(n.astype(float), 8)
-            n1 = np.bincount(at, weights=many * bit, minlength=len(u))
-            nodes.append((u, np.bincount(at, weights=many, minlength=len(u)) - n1, n1))
-        parents = [None]
-        for d in range(1, len(nodes)):
-            u = nodes[d][0]
-            parents.append(np.searchsorted(nodes[d - 1][0], (u >> 8 & (1 << 8 * (d - 1)) - 1) << 8 | u & 255))
+            key = (g >> 8) << 8 | (1 << j) | ((g & 255) >> (8 - j))  # in order, as the grams are
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(g) else np.zeros(0, np.int64)
+            one = np.where(g >> (7 - j) & 1, n, 0).astype(float)
+            n1 = np.add.reduceat(one, first) if len(g) else one
+            n0 = (np.add.reduceat(n.astype(float), first) if len(g) else one) - n1
+            key = key[first]
+            nodes.append((key, n0, n1))
+            parents.append(np.searchsorted(nodes[d - 1][0], (key >> 8 & (1 << 8 * (d - 1)) - 1) << 8 | key & 255) if d else None)
         weighted, own_share, rest = kt(*nodes[-1][1:]), {}, {}
         for d in range(len(nodes) - 2, -1, -1):
             u, n0, n1 = nodes[d]
@@ -127,7 +132,6 @@ class Tree:
             own = kt(n0, n1)
             weighted = np.logaddexp(own, below) - math.log(2)
             own_share[d], rest[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700))), (r0, r1)
-        self.keys, self.ones = [], []
         gathered, left = np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0]))
         for d, (u, n0, n1) in enumerate(nodes):
             one = (n1 + 0.5) / (n0 + n1 + 1)
@@ -139,9 +143,8 @@ class Tree:
                 p = gathered + left * (own_share[d] * one + (1 - own_share[d]) * beyond)
                 up = parents[d + 1]
                 gathered, left = (gathered + left * own_share[d] * one)[up], (left * (1 - own_share[d]))[up]
-            self.keys.append(u)
-            self.ones.append(np.clip(p, 1e-12, 1 - 1e-12).astype(np.float64))
-        self._hash(levels[-1][0])
+            self.keys[d].append(u)
+            self.ones[d].append(np.clip(p, 1e-12, 1 - 1e-12))
 
     def code(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others, decision by decision at the deepest node there is."""
@@ -150,19 +153,20 @@ class Tree:
             prefix, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
             p, todo = np.full(len(grams), 0.5), np.arange(len(grams))
             for d in range(len(self.keys) - 1, -1, -1):
-                if not len(todo) or not len(self.keys[d]):
+                keys = self.keys[d][j]
+                if not len(todo) or not len(keys):
                     continue
                 want = (grams[todo] >> 8 & (1 << 8 * d) - 1) << 8 | prefix[todo]
-                at = np.minimum(np.searchsorted(self.keys[d], want), len(self.keys[d]) - 1)
-                hit = self.keys[d][at] == want
-                p[todo[hit]] = self.ones[d][at[hit]]
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[at] == want
+                p[todo[hit]] = self.ones[d][j][at[hit]]
                 todo = todo[~hit]
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
     def _hash(self, grams: np.ndarray) -> None:
         """Open addressing for the grams that the tree holds whole."""
-        self.bits = max(10, int(4 * len(grams) + 1).bit_length())
+        self.bits = max(10, int(2 * len(grams) + 1).bit_length())
         self.slot_key, self.slot_code = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         codes, todo, step = self.code(grams), np.arange(len(grams)), 0
         while len(todo):
@@ -239,7 +243,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 150_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000) -> DataFrame:
     """-> (doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row per row of docs."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), learn.alias("learned"))
     pool = picked.where("learned").select("t")
@@ -251,8 +255,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     ends = pool.count()
     n, v = total.n + ends, total.v + bool(ends)
     norm = math.log10(n + 0.1 * (v + 1))
-    hot = {bytes(r.w): r.n for r in counts.orderBy(F.desc("n"), "w").limit(hot_words).collect()}
-    shared, key = docs.sparkSession.sparkContext.broadcast((tree, {w: math.log10(c + 0.1) for w, c in hot.items()})), uuid.uuid4().hex
+    hot = counts.orderBy(F.desc("n"), "w").limit(hot_words).toArrow()
+    logs = {w: math.log10(c + 0.1) for w, c in zip(hot.column("w").to_pylist(), hot.column("n").to_pylist(), strict=True)}
+    shared, key = docs.sparkSession.sparkContext.broadcast((tree, logs)), uuid.uuid4().hex
+    del tree, logs, hot
     end_base, end_known = math.log10(ends + 0.1), int(ends > 0)
     schema = "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, score double, bytes long, tail array<struct<w binary, n long>>"
 
