@@ -235,7 +235,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 own.update(words(t))
-                if len(own) > 800_000:
+                if len(own) > 300_000:
                     yield from rows(own)
                     own = Counter()
         yield from rows(own)
@@ -264,7 +264,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         tree, logs = once(("ctw", key), lambda: shared.value)
-        for b in batches:
+        for b in (x.slice(k, 1024) for x in batches for k in range(0, len(x), 1024)):
             texts = b.column(2).to_pylist()
             scores, sizes = [], []
             for part in _texts(texts):
