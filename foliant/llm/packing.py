@@ -37,10 +37,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
         own = once(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer))
         n = 0
-        for b in batches:
+        for b in (x.slice(k, 512) for x in batches for k in range(0, len(x), 512)):
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*own.ids(t or ""), end_id], "<u4")
+            for i, found in zip(b.column(0).to_pylist(), own.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids = np.append(found, np.array([end_id], "<u4"))
                 for k in range(0, len(ids), window):
                     cut = ids[k : k + window]
                     out.append((i, k, len(cut), zlib.crc32(cut.tobytes()), len(ids), n))
