@@ -90,7 +90,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
         some = some | text.rlike(pattern)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_some", some)
     found = written(scan(numbered.where("_some"), text_col=text_col, row=F.col("_row")))
-    live = judge(found).where("live").groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("_spans"))
+    live = judge(found).where("live").groupBy(F.col("row").alias("_key")).agg(F.array_sort(F.collect_list("x")).alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
@@ -99,7 +99,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
         return F.struct(F.greatest(acc.at, x.stop).alias("at"), out.alias("out"))
 
     clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    hit = numbered.where("_some").join(live, F.col("_row") == F.col("row"), "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col)))
+    hit = numbered.where("_some").join(live, F.col("_row") == F.col("_key"), "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
         hit = hit.withColumn(chars_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
     return numbered.where(~F.col("_some")).select(*docs.columns).union(hit.select(*docs.columns))
