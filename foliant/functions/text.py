@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body and the lambdas in it use it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def word_count(t: Column) -> Column:
     return F.regexp_count(t, F.lit(r"\S+"))
 
@@ -30,6 +37,21 @@ def paragraphs(t: Column) -> Column:
     return F.split(t, r"\n\s*\n", -1)
 
 
+def groups(t: Column, pattern: str, n: int) -> Column:
+    """array<struct<g1..gn>> of all non-overlapping matches, without places."""
+    return F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, n + 1)))
+
+
+def pieces(t: Column, pattern: str, n: int = 0) -> Column:
+    """array<struct<m, g1..gn, p>>: match k and the text p before it; the last entry is the rest, its m null."""
+    names = ["m", *(f"g{k}" for k in range(1, n + 1))]
+    return F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)).alias(x) for k, x in enumerate(names)), F.split(t, pattern, -1).alias("p"))
+
+
+#: Matches whose places are added up in one inner fold; growing an array copies it, so folds are kept short.
+FOLD = 64
+
+
 def matches(t: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, stop, m, g1..gn>> of all non-overlapping matches, offsets in code points from 0.
 
@@ -37,9 +59,8 @@ def matches(t: Column, pattern: str, groups: int = 0) -> Column:
     nothing leaves the JVM.
     """
     names = ["m", *(f"g{k}" for k in range(1, groups + 1))]
-    parts = F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names)), F.split(t, pattern, -1).alias("p"))
     kind = "array<struct<start:int,stop:int," + ",".join(f"{n}:string" for n in names) + ">>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
 
     def add(acc, x):
         start = acc.at + F.length(x["p"])
@@ -47,7 +68,14 @@ def matches(t: Column, pattern: str, groups: int = 0) -> Column:
         one = F.struct(start.alias("start"), stop.alias("stop"), *(x[n].alias(n) for n in names))
         return F.struct(F.coalesce(stop, acc.at).alias("at"), F.when(x["m"].isNotNull(), F.concat(acc.out, F.array(one))).otherwise(acc.out).alias("out"))
 
-    return F.when(t.rlike(pattern), F.aggregate(parts, begin, add, lambda acc: acc.out)).otherwise(F.array().cast(kind))
+    def add_fold(acc, some):
+        inner = F.aggregate(some, F.struct(acc.at.alias("at"), none.alias("out")), add)
+        return let(inner, lambda x: F.struct(x.at.alias("at"), F.concat(acc.out, F.array(x.out)).alias("out")))
+
+    folds = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / FOLD).cast("int")), lambda k: F.slice(a, k * FOLD + 1, FOLD))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    found = F.aggregate(let(pieces(t, pattern, groups), folds), begin, add_fold, lambda acc: F.flatten(acc.out))
+    return F.when(t.rlike(pattern), found).otherwise(none)
 
 
 def short_id(seed: Column) -> Column:

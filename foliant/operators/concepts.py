@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, occurrences, strip, tokens
+from ..functions.text import groups, let, occurrences, pieces, strip, tokens
 from .structure import HEADING
 
 # Patterns and word lists.
@@ -54,25 +54,32 @@ def _either(a: Column, b: Column) -> Column:
 
 
 def bold(t: Column) -> Column:
-    found = F.filter(matches(t, BOLD, 2), lambda x: F.length(_either(x.g1, x.g2)) < 60)
-    return _kept(F.transform(found, lambda x: _one(_either(x.g1, x.g2), F.regexp_extract(F.substring(t, x.stop + 1, F.lit(300)), AFTER_BOLD, 1), "bold")))
+    def all_of(a):
+        # a match has five characters or more, so 61 entries cover the 300 characters after one
+        after = lambda k: F.substring(F.array_join(F.transform(F.slice(a, k + 2, 61), lambda y: F.concat(y["p"], F.coalesce(y["m"], F.lit("")))), ""), 1, 300)
+        each = F.transform(a, lambda x, k: F.when(F.length(_either(x.g1, x.g2)) < 60, _one(_either(x.g1, x.g2), F.regexp_extract(after(k), AFTER_BOLD, 1), "bold")))
+        return F.filter(each, lambda x: x.isNotNull())
+
+    return _kept(let(pieces(t, BOLD, 2), all_of))
 
 
 def definitions(t: Column) -> Column:
-    return _kept(F.transform(matches(t, DEFINITION, 2), lambda x: _one(x.g1, x.g2, "definition")))
+    return _kept(F.transform(groups(t, DEFINITION, 2), lambda x: _one(x.g1, x.g2, "definition")))
 
 
 def parentheticals(t: Column) -> Column:
-    return F.filter(_kept(F.transform(matches(t, PARENTHETICAL, 2), lambda x: _one(x.g1, x.g2, "parenthetical"))), lambda x: (x["def"] != "") & ~x["def"].rlike(r"^\d"))
+    return F.filter(_kept(F.transform(groups(t, PARENTHETICAL, 2), lambda x: _one(x.g1, x.g2, "parenthetical"))), lambda x: (x["def"] != "") & ~x["def"].rlike(r"^\d"))
 
 
 def expansions(t: Column) -> Column:
-    return _kept(F.transform(matches(t, EXPANSION, 2), lambda x: _one(x.g1, x.g2, "acronym")))
+    return _kept(F.transform(groups(t, EXPANSION, 2), lambda x: _one(x.g1, x.g2, "acronym")))
 
 
 def _repeated(a: Column, source: str) -> Column:
     """Distinct values seen twice or more, in order of appearance."""
-    return _kept(F.transform(F.filter(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x == v)) >= 2), lambda v: _one(v, F.lit(""), source)))
+    twice = lambda s: F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))
+    again = let(a, lambda v: F.array_intersect(v, let(F.array_sort(v), twice)))
+    return _kept(F.transform(again, lambda v: _one(v, F.lit(""), source)))
 
 
 def acronyms(t: Column) -> Column:
@@ -80,7 +87,7 @@ def acronyms(t: Column) -> Column:
 
 
 def list_definitions(t: Column) -> Column:
-    return _kept(F.transform(matches(t, LISTED, 3), lambda x: _one(_either(x.g1, x.g2), x.g3, "list_definition")))
+    return _kept(F.transform(groups(t, LISTED, 3), lambda x: _one(_either(x.g1, x.g2), x.g3, "list_definition")))
 
 
 def heading_terms(t: Column) -> Column:
@@ -102,15 +109,15 @@ def theorem_blocks(t: Column) -> Column:
         name = F.regexp_extract(F.substring(body, 1, 80), r"\(([^)]{3,40})\)", 1)
         return _one(_either(name, x.g1), _either(first, F.substring(body, 1, 200)), "theorem_block")
 
-    return _kept(F.transform(matches(t, BLOCK, 2), one))
+    return _kept(F.transform(groups(t, BLOCK, 2), one))
 
 
 def first_uses(t: Column, have: Column) -> Column:
     """At most ten new capitalised phrases that occur twice."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(FIRST_USE), F.lit(1)), lambda x: _one(x, F.lit(""), "first_use")))
     fresh = F.filter(found, lambda x: ~F.array_contains(have, x.key) & ~F.lower(F.regexp_extract(x["name"], r"^\S+", 0)).isin(*FIRST_USE_NOISE) & (occurrences(F.lower(t), x.key) >= 2) & ~is_noise(x["name"]))
-    once = F.filter(fresh, lambda x, k: ~F.exists(F.slice(fresh, 1, k), lambda y: y.key == x.key))
-    return F.slice(once, 1, 10)
+    once = lambda a: F.filter(a, lambda x, k: ~F.exists(F.slice(a, 1, k), lambda y: y.key == x.key))
+    return F.slice(let(fresh, once), 1, 10)
 
 
 def bigrams(rows: DataFrame) -> DataFrame:
@@ -130,14 +137,15 @@ def candidates(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     t = F.col("t")
     keys = lambda a: F.array_distinct(F.transform(a, lambda x: x.key))
     rows = rows.withColumn("c", F.concat(bold(t), definitions(t), parentheticals(t), expansions(t)))
-    rows = rows.withColumn("c", F.concat("c", F.filter(acronyms(t), lambda x: ~F.array_contains(keys(F.col("c")), x.key)), list_definitions(t), heading_terms(t), hyphenated(t)))
+    new = lambda a: let(keys(F.col("c")), lambda k: F.filter(a, lambda x: ~F.array_contains(k, x.key)))
+    rows = rows.withColumn("c", F.concat("c", new(acronyms(t)), list_definitions(t), heading_terms(t), hyphenated(t)))
     few = lambda n: F.size(keys(F.col("c"))) < n
     rows = rows.withColumn("c", F.when(few(5), F.concat("c", theorem_blocks(t))).otherwise(F.col("c")))
     short = rows.where(few(5))
     rows = rows.join(bigrams(short.select("id", "t")), "id", "left")
-    fresh = F.filter(F.coalesce("found", F.array().cast(CANDIDATE)), lambda x: ~F.array_contains(keys(F.col("c")), x.key))
-    rows = rows.withColumn("c", F.concat("c", fresh)).drop("found")
-    return rows.withColumn("c", F.when(few(3), F.concat("c", first_uses(t, keys(F.col("c"))))).otherwise(F.col("c")))
+    rows = rows.withColumn("c", F.concat("c", new(F.coalesce("found", F.array().cast(CANDIDATE))))).drop("found")
+    more = let(keys(F.col("c")), lambda k: first_uses(t, k))
+    return rows.withColumn("c", F.when(few(3), F.concat("c", more)).otherwise(F.col("c")))
 
 
 def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -146,7 +154,7 @@ def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     each = rows.select("id", F.posexplode("c").alias("seq", "x"))
     merged = each.groupBy("id", F.col("x.key").alias("key")).agg(F.min("seq").alias("seq"), F.min_by("x.name", "seq").alias("name"), F.coalesce(F.min_by(F.col("x.def"), F.when(F.col("x.def") != "", F.col("seq"))), F.lit("")).alias("definition"), F.array_sort(F.collect_set("x.source")).alias("sources"))
     low, w = F.lower("name"), F.col("words")
-    texts = rows.select("id", "t", tokens(F.col("t")).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("words", tokens(F.col("t")))
     single = ~(low.contains(" ") | low.contains("-"))
     counted = merged.join(texts, "id").withColumn("mentions", F.when(single, F.size(F.filter(w, lambda x: x == low))).otherwise(occurrences(F.lower("t"), low))).drop("t", "words")
     has = lambda s: F.array_contains("sources", s)

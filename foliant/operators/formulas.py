@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, strip
+from ..functions.text import let, matches, strip
 
 # Patterns.
 DISPLAY = r"(?s)\$\$(.+?)\$\$"
@@ -50,7 +50,7 @@ def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     inline = F.transform(F.filter(apart, lambda x: (F.length(body(x)) >= 3) & body(x).rlike(SIGNIFICANT)), lambda x: one(x, "$", "inline"))
     rows = rows.withColumn("f", F.concat(shown, inline))
     bare = lambda x: F.regexp_replace(x.latex, r"\s+", "")
-    rows = rows.withColumn("f", F.filter("f", lambda x, k: ~F.exists(F.slice("f", 1, k), lambda y: bare(y) == bare(x))))
+    rows = rows.withColumn("f", let(F.transform("f", bare), lambda b: F.filter("f", lambda x, k: F.array_position(b, b[k]) == k + 1)))
     rows = rows.select("id", "t", F.posexplode("f").alias("ord", "x"))
     t, a, b = F.col("t"), F.col("x.position"), F.col("x.stop")
     return rows.select("id", "ord", "x.latex", "x.type", context_before(t, a).alias("context_before"), context_after(t, b).alias("context_after"), variables(t, a, b).alias("variables"), a.alias("position"))
