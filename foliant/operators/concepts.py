@@ -136,16 +136,18 @@ def candidates(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     t = F.col("t")
     keys = lambda a: F.array_distinct(F.transform(a, lambda x: x.key))
-    rows = rows.withColumn("c", F.concat(bold(t), definitions(t), parentheticals(t), expansions(t)))
-    new = lambda a: let(keys(F.col("c")), lambda k: F.filter(a, lambda x: ~F.array_contains(k, x.key)))
-    rows = rows.withColumn("c", F.concat("c", new(acronyms(t)), list_definitions(t), heading_terms(t), hyphenated(t)))
-    few = lambda n: F.size(keys(F.col("c"))) < n
-    rows = rows.withColumn("c", F.when(few(5), F.concat("c", theorem_blocks(t))).otherwise(F.col("c")))
-    short = rows.where(few(5))
+    few = lambda c, n: F.size(keys(c)) < n
+    # every stage names the one before once, so a filter on the result holds one copy of it
+    fresh = lambda c, a: let(keys(c), lambda k: F.filter(a, lambda x: ~F.array_contains(k, x.key)))
+    c = F.concat(bold(t), definitions(t), parentheticals(t), expansions(t))
+    c = let(c, lambda c: F.concat(c, fresh(c, acronyms(t)), list_definitions(t), heading_terms(t), hyphenated(t)))
+    c = let(c, lambda c: F.when(few(c, 5), F.concat(c, theorem_blocks(t))).otherwise(c))
+    rows = rows.withColumn("c", c)
+    short = rows.where(few(F.col("c"), 5))
     rows = rows.join(bigrams(short.select("id", "t")), "id", "left")
-    rows = rows.withColumn("c", F.concat("c", new(F.coalesce("found", F.array().cast(CANDIDATE))))).drop("found")
-    more = let(keys(F.col("c")), lambda k: first_uses(t, k))
-    return rows.withColumn("c", F.when(few(3), F.concat("c", more)).otherwise(F.col("c")))
+    c = let(F.col("c"), lambda c: F.concat(c, fresh(c, F.coalesce("found", F.array().cast(CANDIDATE)))))
+    c = let(c, lambda c: F.when(few(c, 3), F.concat(c, let(keys(c), lambda k: first_uses(t, k)))).otherwise(c))
+    return rows.select("id", "t", c.alias("c"))
 
 
 def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
