@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, short_id, strip, word_count
+from ..functions.text import let, matches, short_id, strip, word_count
 
 # Patterns and titles that decide what counts as a heading or chapter.
 HEADING = r"(?md)^(#{1,6})\s+(.+)$"
@@ -37,7 +37,7 @@ def sections(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     h = F.transform(h, lambda x, k: x.withField("ord", k))
     rows = rows.select("id", h.alias("h"))
     # the parent is the nearest earlier heading of a smaller level
-    parent = F.transform("h", lambda x: x.withField("parent_ord", F.array_max(F.transform(F.filter("h", lambda y: (y.ord < x.ord) & (y.level < x.level)), lambda y: y.ord))))
+    parent = let(F.col("h"), lambda h: F.transform(h, lambda x: x.withField("parent_ord", F.array_max(F.transform(F.filter(h, lambda y: (y.ord < x.ord) & (y.level < x.level)), lambda y: y.ord)))))
     return rows.select("id", F.explode(parent).alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in ("ord", "level", "title", "start", "end", "word_count", "parent_ord")))
 
 
@@ -74,6 +74,6 @@ def chapters(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     whole = F.array(one(F.lit(1), F.lit("Full Document"), F.lit(1), F.lit(0), F.length("t"), F.col("t"), F.lit(":full")))
     chosen = F.when(F.size("n") >= 2, by_number).when((F.size("h") >= 2) & (F.size(kept) > 0), by_top).when(F.size(large) > 0, by_page).otherwise(whole)
     rows = rows.select("book_id", chosen.alias("c"))
-    last = F.filter("c", lambda x, k: ~F.exists(F.slice("c", k + 2, 1_000_000), lambda y: y.seed == x.seed))
+    last = let(F.col("c"), lambda c: F.filter(c, lambda x, k: ~F.exists(F.slice(c, k + 2, 1_000_000), lambda y: y.seed == x.seed)))
     rows = rows.select("book_id", F.explode(last).alias("x"))
     return rows.select("book_id", short_id(F.concat("book_id", "x.seed")).alias("id"), "x.number", "x.title", "x.level", "x.start_index", "x.end_index", word_count(F.col("x.full_text")).alias("word_count"), "x.full_text", _subs(F.col("x.full_text")).alias("sub_headings"))
