@@ -3,17 +3,17 @@
 A byte is eight binary decisions; a decision's node is (the last d bytes, the byte's bits so far), for d = 0..``DEPTH``. Every node
 has a Krichevsky-Trofimov estimate; weights mix the estimates of all depths by how well each coded the learning texts.
 
-Learning: byte (DEPTH + 1)-grams of every learning text are counted with map-side combining and one shuffle; shorter
-contexts are sums of longer ones. The tree keeps grams seen at least c times, with the least c that leaves at most
-``max_grams`` grams at any depth (what is pruned below a node stays as one more child with the remaining counts), so the
-driver and the broadcast hold a bounded tree whatever the corpus. Scoring is map-only over whole texts.
+Learning: byte (DEPTH + 1)-grams of every text are counted with map-side combining and one shuffle; those of learning texts
+make the tree, whole: nothing is pruned, it grows with the corpus and stays distributed. The tree is cut at ``ROOT`` context bytes into
+subtrees, which lie together in partitions of about ``part_grams`` grams. A first pass weighs the subtrees and sums them by their parents; the
+driver weighs the few levels above (by bytes at most 2^24 nodes); a second pass gives every gram that occurs in any text its code length.
+
+Scoring: the code lengths of the most frequent grams (at most ``max_hot``) and words (``hot_words``) are broadcast and added on the map
+side; a text's other grams and words meet the tables in one shuffle join. The bounds decide where a lookup happens, not its result.
 
 The model's text is the words (lower-case A-Z) joined by single spaces and an end byte 0xFF, which UTF-8 never holds.
 A context with no node at depth d is predicted by its deepest node, so every prediction is a proper distribution.
 
-Base: counts of all words are a distributed table. The ``hot_words`` most frequent are broadcast and scored on the map side;
-each text's other words meet the table in a shuffle join.
-
 Defined cases: null is an empty text (one token, the end); without learning texts the counts are zero and the byte model
 is uniform over bits; repeated rows score alike, each in its own row; columns other than those named are not read.
 """
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import discard, once, remainder, words, written
 
 DEPTH = 5
+ROOT = 3
 _CHUNK = 1 << 21
 _END = b"\xff"
+_GRAM = b" g"  # marks a gram among words, which have no space
 
 
 def byte_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,27 +67,30 @@ def _texts(column: list[bytes | None]):
         yield out
 
 
-def _merge(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merge(g: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     u, at = np.unique(g, return_inverse=True)
-    return u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
+    return u, *(np.bincount(at, weights=n, minlength=len(u)).astype(n.dtype) for n in counts)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """docs(t binary) -> (gram, n)."""
+    """docs(t binary, learned boolean) -> (gram, n, seen): occurrences in learning texts and in all texts."""
 
     def run(batches):
-        own: list[tuple[np.ndarray, np.ndarray]] = []
+        own: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            for texts in _texts(b.column(0).to_pylist()):
-                own.append(np.unique(byte_grams(texts)[0], return_counts=True))
-                if len(own) > 16:
-                    own = [_merge(*(np.concatenate(x) for x in zip(*own, strict=True)))]
+            texts, learned = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for kind in (True, False):
+                for part in _texts([t for t, x in zip(texts, learned, strict=True) if x == kind]):
+                    g, n = np.unique(byte_grams(part)[0], return_counts=True)
+                    own.append((g, n * kind, n))
+                    if len(own) > 16:
+                        own = [_merge(*(np.concatenate(x) for x in zip(*own, strict=True)))]
         if own:
-            g, n = _merge(*(np.concatenate(x) for x in zip(*own, strict=True)))
-            for k in range(0, len(g), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(g[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)])], names=["gram", "n"])
+            columns = _merge(*(np.concatenate(x) for x in zip(*own, strict=True)))
+            for k in range(0, len(columns[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in columns], names=["gram", "n", "seen"])
 
-    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "gram long, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -101,86 +106,154 @@ def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-class Tree:
-    """levels[d]: (grams of d context bytes and the next byte, counts). Holds each node's mixed probability of a one."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """Grams are sorted. The eight decisions of a byte are trees of their own, grown one after the other to save memory."""
-        self.keys: list[list[np.ndarray]] = [[] for _ in levels]
-        self.ones: list[list[np.ndarray]] = [[] for _ in levels]
+def _nodes(g: np.ndarray, n: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams and their counts -> the nodes of a byte's decision j: (context and bits so far, zeros, ones)."""
+    if not len(g):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    key = (g >> 8) << 8 | (1 << j) | ((g & 255) >> (8 - j))  # in order, as the grams are
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n1 = np.add.reduceat(np.where(g >> (7 - j) & 1, n, 0).astype(float), first)
+    return key[first], np.add.reduceat(n.astype(float), first) - n1, n1
+
+
+def _above(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The keys of nodes cut to so many context bytes."""
+    return (keys >> 8 & (1 << 8 * depth) - 1) << 8 | keys & 255
+
+
+def _weigh(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, below: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """nodes: levels from depth on; below: log weights of the last level's children, None for leaves.
+    -> the first level's log weights, and each level's share of its own estimate."""
+    own = kt(*nodes[-1][1:])
+    weighted, shares = own, [np.ones(len(own))]
+    for d in range(len(nodes) - 1, -1, -1):
+        if d < len(nodes) - 1:
+            own, up = kt(*nodes[d][1:]), np.searchsorted(nodes[d][0], _above(nodes[d + 1][0], depth + d))
+            below = np.bincount(up, weights=weighted, minlength=len(own))
+        elif below is None:
+            continue
+        else:
+            shares = []
+        weighted = np.logaddexp(own, below) - math.log(2)
+        shares.insert(0, 1 / (1 + np.exp(np.clip(below - own, -700, 700))))
+    return weighted, shares
+
+
+def _mix(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, shares: list[np.ndarray], gathered: np.ndarray, left: np.ndarray):
+    """-> by level (keys, probability of a one where the level is the deepest there is); and what the last level hands down."""
+    out = []
+    for d, (keys, n0, n1) in enumerate(nodes):
+        if d:
+            up = np.searchsorted(nodes[d - 1][0], _above(keys, depth + d - 1))
+            gathered, left = gathered[up], left[up]
+        one = (n1 + 0.5) / (n0 + n1 + 1)
+        out.append((keys, np.clip(gathered + left * one, 1e-12, 1 - 1e-12)))
+        gathered, left = gathered + left * shares[d] * one, left * (1 - shares[d])
+    return out, gathered, left
+
+
+class Top:
+    """The tree above its subtrees: contexts of less than ROOT bytes, by decision."""
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
+        """Nodes with ROOT - 1 context bytes, and the summed log weights of the subtrees under each."""
+        order = np.argsort(keys)
+        keys, n0, n1, below = (x[order] for x in (keys, n0, n1, below))
+        self.levels, self.handed = [], []
         for j in range(8):
-            self._grow(levels, j)
-        self._hash(levels[-1][0])
-
-    def _grow(self, levels: list[tuple[np.ndarray, np.ndarray]], j: int) -> None:
-        nodes, parents = [], []
-        for d, (g, n) in enumerate(levels):
-            key = (g >> 8) << 8 | (1 << j) | ((g & 255) >> (8 - j))  # in order, as the grams are
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(g) else np.zeros(0, np.int64)
-            one = np.where(g >> (7 - j) & 1, n, 0).astype(float)
-            n1 = np.add.reduceat(one, first) if len(g) else one
-            n0 = (np.add.reduceat(n.astype(float), first) if len(g) else one) - n1
-            key = key[first]
-            nodes.append((key, n0, n1))
-            parents.append(np.searchsorted(nodes[d - 1][0], (key >> 8 & (1 << 8 * (d - 1)) - 1) << 8 | key & 255) if d else None)
-        weighted, own_share, rest = kt(*nodes[-1][1:]), {}, {}
-        for d in range(len(nodes) - 2, -1, -1):
-            u, n0, n1 = nodes[d]
-            up, size = parents[d + 1], len(u)
-            r0, r1 = (np.maximum(0, n - np.bincount(up, weights=c, minlength=size)) for n, c in ((n0, nodes[d + 1][1]), (n1, nodes[d + 1][2])))
-            below = np.bincount(up, weights=weighted, minlength=size) + kt(r0, r1)
-            own = kt(n0, n1)
-            weighted = np.logaddexp(own, below) - math.log(2)
-            own_share[d], rest[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700))), (r0, r1)
-        gathered, left = np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0]))
-        for d, (u, n0, n1) in enumerate(nodes):
-            one = (n1 + 0.5) / (n0 + n1 + 1)
-            if d == len(nodes) - 1:
-                p = gathered + left * one
-            else:
-                r0, r1 = rest[d]
-                beyond = np.where(r0 + r1 > 0, (r1 + 0.5) / (r0 + r1 + 1), one)
-                p = gathered + left * (own_share[d] * one + (1 - own_share[d]) * beyond)
-                up = parents[d + 1]
-                gathered, left = (gathered + left * own_share[d] * one)[up], (left * (1 - own_share[d]))[up]
-            self.keys[d].append(u)
-            self.ones[d].append(np.clip(p, 1e-12, 1 - 1e-12))
-
-    def code(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others, decision by decision at the deepest node there is."""
-        byte, out = grams & 255, np.zeros(len(grams))
-        for j in range(8):
-            prefix, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-            p, todo = np.full(len(grams), 0.5), np.arange(len(grams))
-            for d in range(len(self.keys) - 1, -1, -1):
-                keys = self.keys[d][j]
-                if not len(todo) or not len(keys):
-                    continue
-                want = (grams[todo] >> 8 & (1 << 8 * d) - 1) << 8 | prefix[todo]
+            own = (keys & 255) >> j == 1
+            nodes = [(keys[own], n0[own], n1[own])]
+            for d in range(ROOT - 2, -1, -1):
+                nodes.insert(0, _merge(_above(nodes[0][0], d), *nodes[0][1:]))
+            _, shares = _weigh(nodes, 0, below[own])
+            levels, *handed = _mix(nodes, 0, shares, np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0])))
+            self.levels.append(levels)
+            self.handed.append(handed)
+
+
+def _subtree_levels(grams: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams of whole subtrees -> (grams, counts) with ROOT..DEPTH context bytes, sorted."""
+    return [_merge(grams & (1 << 8 * (d + 1)) - 1, n) for d in range(ROOT, DEPTH + 1)]
+
+
+def roots(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Grams of whole subtrees -> (key, zeros, ones, log weight) summed by the parents of the subtrees."""
+    levels, out = _subtree_levels(grams, n), []
+    for j in range(8):
+        nodes = [_nodes(g, c, j) for g, c in levels]
+        out.append((_above(nodes[0][0], ROOT - 1), *nodes[0][1:], _weigh(nodes, ROOT)[0]))
+    return _merge(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def codes(grams: np.ndarray, n: np.ndarray, asked: np.ndarray, top: Top) -> np.ndarray:
+    """log10 probability of each asked gram's last byte after the others, decision by decision at the deepest node there is.
+    grams, n: the learned grams of all subtrees that asked grams lie in."""
+    levels, out, byte = _subtree_levels(grams, n), np.zeros(len(asked)), asked & 255
+    for j in range(8):
+        nodes = [_nodes(g, c, j) for g, c in levels]
+        _, shares = _weigh(nodes, ROOT)
+        up = np.searchsorted(top.levels[j][-1][0], _above(nodes[0][0], ROOT - 1))
+        own, *_ = _mix(nodes, ROOT, shares, *(x[up] for x in top.handed[j]))
+        prefix, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+        p, todo = np.full(len(asked), 0.5), np.arange(len(asked))
+        for d, (keys, ones) in reversed(list(enumerate([*top.levels[j], *own]))):
+            if len(todo) and len(keys):
+                want = (asked[todo] >> 8 & (1 << 8 * d) - 1) << 8 | prefix[todo]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 hit = keys[at] == want
-                p[todo[hit]] = self.ones[d][j][at[hit]]
+                p[todo[hit]] = ones[at[hit]]
                 todo = todo[~hit]
-            out += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
+        out += np.log10(np.where(bit == 1, p, 1 - p))
+    return out
+
+
+def gram_codes(counts: DataFrame, part_grams: int = 1 << 18) -> DataFrame:
+    """counts: a written gram_counts() -> (gram, seen, code) of every gram that occurs in any text."""
+    parts = max(1, -(-counts.count() // part_grams))
+    dealt = counts.repartition(parts, F.shiftright("gram", 8).bitwiseAND((1 << 8 * ROOT) - 1))
+
+    def columns(batches):
+        whole = list(batches)
+        return [np.concatenate([b.column(k).to_numpy() for b in whole]) if whole else np.zeros(0, np.int64) for k in range(3)]
+
+    def weigh(batches):
+        g, n, _ = columns(batches)
+        out = roots(g[n > 0], n[n > 0])
+        for k in range(0, len(out[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in out], names=["key", "n0", "n1", "below"])
+
+    summed = dealt.where("n > 0").mapInArrow(weigh, "key long, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast(Top(*(c.to_numpy() for c in summed.columns)))
 
-    def _hash(self, grams: np.ndarray) -> None:
-        """Open addressing for the grams that the tree holds whole."""
+    def code(batches):
+        g, n, seen = columns(batches)
+        out = g, seen, codes(g[n > 0], n[n > 0], g, shared.value)
+        for k in range(0, len(g), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in out], names=["gram", "seen", "code"])
+
+    return dealt.mapInArrow(code, "gram long, seen long, code double")
+
+
+class HotCodes:
+    """Code lengths of the most frequent grams, by open addressing."""
+
+    def __init__(self, grams: np.ndarray, code: np.ndarray):
         self.bits = max(10, int(2 * len(grams) + 1).bit_length())
-        self.slot_key, self.slot_code = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        codes, todo, step = self.code(grams), np.arange(len(grams)), 0
+        self.slot_key, self.slot_code = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float64)
+        todo, step = np.arange(len(grams)), 0
         while len(todo):
             at = self._slot(grams[todo]) + step & (1 << self.bits) - 1
             free = self.slot_key[at] < 0
             self.slot_key[at[free]] = grams[todo[free]]
             placed = self.slot_key[at] == grams[todo]
-            self.slot_code[at[placed]] = codes[todo[placed]]
+            self.slot_code[at[placed]] = code[todo[placed]]
             todo, step = todo[~placed], step + 1
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def codes(self, grams: np.ndarray) -> np.ndarray:
+    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-> (codes, with 0 where there is none; places of the grams that are not held)."""
         out, todo, step = np.zeros(len(grams)), None, 0
         slots, mask = self._slot(grams), (1 << self.bits) - 1
         missed = []
@@ -194,32 +267,20 @@ class Tree:
             missed.append(np.flatnonzero(empty) if todo is None else todo[empty])
             todo = np.flatnonzero(~hit & ~empty) if todo is None else todo[~hit & ~empty]
             step += 1
-        missed = np.concatenate(missed)
-        if len(missed):
-            u, at = np.unique(grams[missed], return_inverse=True)
-            out[missed] = self.code(u)[at]
-        return out
-
-
-def grow(counts: DataFrame, max_grams: int = 1 << 19) -> Tree:
-    """counts(gram, n), written -> the weighted tree."""
-    levels = [counts if d == DEPTH else counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")) for d in range(DEPTH + 1)]
-    class_of = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024)))
-    least = 1.0
-    for level in levels[2:]:  # a depth-1 level has at most 65,536 grams
-        above = 0
-        for r in sorted(level.groupBy(class_of.alias("c")).count().collect(), reverse=True):
-            above += r["count"]
-            if above > max_grams:
-                least = max(least, math.nextafter(r.c, math.inf))
-                break
-    kept = []
-    for level in levels:
-        got = level.where(class_of >= least).toArrow()
-        g, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(g)
-        kept.append((g[order].astype(np.int64), n[order]))
-    return Tree(kept)
+        return out, np.concatenate(missed)
+
+
+def _frequent(counts: DataFrame, n: str, most: int) -> Column:
+    """Condition of the most frequent rows, at most so many: a threshold from a histogram, not a sort."""
+    size = F.col(n).cast("double")
+    class_of = F.when(size < 1024, size).otherwise(1024 + F.floor(16 * F.log2(size / 1024)))
+    least, above = -1.0, 0
+    for r in sorted(counts.groupBy(class_of.cast("double").alias("c")).count().collect(), reverse=True):
+        above += r["count"]
+        if above > most:
+            least = r.c + 0.5
+            break
+    return class_of >= least
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -243,38 +304,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000, max_hot: int = 1 << 20) -> DataFrame:
     """-> (doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row per row of docs."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), learn.alias("learned"))
-    pool = picked.where("learned").select("t")
-    grams = written(gram_counts(pool))
-    tree = grow(grams)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(learn, F.lit(False)).alias("learned"))
+    grams = written(gram_counts(picked.select("t", "learned")))
+    coded = written(gram_codes(grams))
     discard(grams)
+    is_hot = _frequent(coded, "seen", max_hot)
+    hot = coded.where(is_hot).select("gram", "code").toArrow()
+    held = HotCodes(*(c.to_numpy() for c in hot.columns))
+    pool = picked.where("learned").select("t")
     counts = written(word_counts(pool))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = pool.count()
     n, v = total.n + ends, total.v + bool(ends)
     norm = math.log10(n + 0.1 * (v + 1))
-    hot = counts.orderBy(F.desc("n"), "w").limit(hot_words).toArrow()
+    is_hot_word = _frequent(counts, "n", hot_words)
+    hot = counts.where(is_hot_word).toArrow()
     logs = {w: math.log10(c + 0.1) for w, c in zip(hot.column("w").to_pylist(), hot.column("n").to_pylist(), strict=True)}
-    shared, key = docs.sparkSession.sparkContext.broadcast((tree, logs)), uuid.uuid4().hex
-    del tree, logs, hot
+    shared, key = docs.sparkSession.sparkContext.broadcast((held, logs)), uuid.uuid4().hex
+    del held, logs, hot
     end_base, end_known = math.log10(ends + 0.1), int(ends > 0)
     schema = "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, score double, bytes long, tail array<struct<w binary, n long>>"
 
     def run(batches):
-        tree, logs = once(("ctw", key), lambda: shared.value)
+        held, logs = once(("ctw", key), lambda: shared.value)
         for b in (x.slice(k, 1024) for x in batches for k in range(0, len(x), 1024)):
             texts = b.column(2).to_pylist()
-            scores, sizes = [], []
+            scores, sizes, colder = [], [], []
             for part in _texts(texts):
                 g, starts = byte_grams(part)
-                scores.append(np.add.reduceat(tree.codes(g), starts))
+                code, missed = held.look(g)
+                scores.append(np.add.reduceat(code, starts))
                 sizes += [len(t) for t in part]
+                colder += [[] for _ in part]
+                owner = np.searchsorted(starts, missed, "right") - 1 + len(colder) - len(part)
+                order = np.lexsort((g[missed], owner))
+                owner, rest = owner[order], g[missed][order]
+                first = np.flatnonzero(np.r_[True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])]) if len(rest) else rest
+                for o, x, c in zip(owner[first].tolist(), rest[first].tolist(), np.diff(np.r_[first, len(rest)]).tolist(), strict=True):
+                    colder[o].append({"w": _GRAM + x.to_bytes(DEPTH + 1, "big"), "n": c})
             out = []
-            for row, t in zip(b.column(0).to_pylist(), texts, strict=True):
+            for row, t, tail in zip(b.column(0).to_pylist(), texts, colder, strict=True):
                 own = Counter(words(t))
-                known, base, tail = end_known, end_base, [{"w": b" %d" % row, "n": 0}]  # no word has a space: a row for every text
+                known, base = end_known, end_base
+                tail.append({"w": b" %d" % row, "n": 0})  # no word has a space: a row for every text
                 for w, c in own.items():
                     if (x := logs.get(w)) is None:
                         tail.append({"w": w, "n": c})
@@ -291,10 +365,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     by_map = picked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t", "learned").mapInArrow(run, schema)
     first = F.col("x.n") == 0
     rows = by_map.withColumn("x", F.explode("tail")).select("row", "x.w", F.col("x.n").alias("k"), *(F.when(first, F.col(c)).alias(c) for c in ("doc_id", "learned", "n_tokens", "n_known", "base", "score", "bytes")))
-    joined = rows.join(counts, "w", "left")
+    gram_key = F.concat(F.lit(_GRAM), F.unhex(F.lpad(F.hex("gram"), 2 * DEPTH + 2, "0")))
+    colder = counts.where(~is_hot_word).select("w", "n", F.lit(None).cast("double").alias("code")).union(coded.where(~is_hot).select(gram_key, F.lit(None).cast("long"), "code"))
+    joined = rows.join(colder, "w", "left")
     c = F.coalesce("n", F.lit(0))
-    found = joined.groupBy("row").agg(*(F.max(x).alias(x) for x in ("doc_id", "learned", "n_tokens", "n_known", "base", "score", "bytes")), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(c + 0.1)).alias("rare"))
-    return found.select("doc_id", "learned", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("rare") - F.col("n_tokens") * norm).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
+    found = joined.groupBy("row").agg(
+        *(F.max(x).alias(x) for x in ("doc_id", "learned", "n_tokens", "n_known", "base", "score", "bytes")),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
+        F.sum(F.when(F.col("code").isNull(), F.col("k") * F.log10(c + 0.1)).otherwise(0.0)).alias("rare"),
+        F.sum(F.coalesce(F.col("k") * F.col("code"), F.lit(0.0))).alias("cold"),
+    )
+    total_score = F.col("score") + F.col("cold")
+    return found.select("doc_id", "learned", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("rare") - F.col("n_tokens") * norm).alias("base_score"), total_score.alias("score"), (-total_score * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
 def language_model(docs: DataFrame) -> DataFrame:

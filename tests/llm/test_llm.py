@@ -198,15 +198,13 @@ def test_tree_is_a_distribution_and_matches_recursion():
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab c") for _ in range(60)) + b"\xff" for _ in range(20)]
     g, n = np.unique(ctw.byte_grams(texts)[0], return_counts=True)
-    levels = []
-    for d in range(ctw.DEPTH + 1):
-        u, at = np.unique(g & (1 << 8 * (d + 1)) - 1, return_inverse=True)
-        levels.append((u, np.bincount(at, weights=n).astype(np.int64)))
-    tree = ctw.Tree(levels)
+    top = ctw.Top(*ctw.roots(g, n))
     for context in (0, int.from_bytes(b"ab ab", "big"), int.from_bytes(b"zzzzz", "big")):
-        p = 10 ** tree.code(np.array([context << 8 | b for b in range(256)], np.int64))
+        p = 10 ** ctw.codes(g, n, np.array([context << 8 | b for b in range(256)], np.int64), top)
         assert abs(p.sum() - 1) < 1e-9
-    assert np.allclose(tree.codes(g), tree.code(g), atol=1e-5)
+    whole, held = ctw.codes(g, n, g, top), ctw.HotCodes(g[::2], ctw.codes(g, n, g[::2], top))
+    code, missed = held.look(g)
+    assert sorted(missed.tolist()) == list(range(1, len(g), 2)) and np.allclose(code[::2], whole[::2])
     # first decision at the root, by the definition
     count = Counter()
     for t in texts:
@@ -236,9 +234,30 @@ def test_tree_is_a_distribution_and_matches_recursion():
         return a * own + (1 - a) * p1(deeper, full)
 
     full = texts[0][: ctw.DEPTH]
-    key = int.from_bytes(full, "big") << 8 | 1
-    at = np.searchsorted(tree.keys[ctw.DEPTH][0], key)
-    assert tree.keys[ctw.DEPTH][0][at] == key and abs(tree.ones[ctw.DEPTH][0][at] - p1(b"", full)) < 1e-9
+    high = np.array([int.from_bytes(full, "big") << 8 | b for b in range(128, 256)], np.int64)
+    assert abs((10 ** ctw.codes(g, n, high, top)).sum() - p1(b"", full)) < 1e-9
+
+
+def test_model_scores_match_one_whole_tree(spark):
+    """Cold grams and words, which meet the tables in the join, score as hot ones do, and as one tree on the driver."""
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(30))) for k in range(60)] + [(60, None), (61, "")]
+    d = frame(spark, rows)
+    text = {i: " ".join((t or "").split()).encode() + b"\xff" for i, t in rows}
+    g, n = np.unique(ctw.byte_grams([t for i, t in text.items() if i % 4])[0], return_counts=True)
+    top = ctw.Top(*ctw.roots(g, n))
+    for limit in (0, 50, 1 << 20):
+        got = ctw.score(d, F.col("doc_id") % 4 != 0, hot_words=limit, max_hot=limit).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            asked = ctw.byte_grams([text[r.doc_id]])[0]
+            assert abs(r.score - ctw.codes(g, n, asked, top).sum()) < 1e-6
+
+
+def test_subtrees_may_lie_in_many_partitions(spark):
+    counts = ctw.written(ctw.gram_counts(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text").cast("binary").alias("t"), (F.col("doc_id") % 3 != 0).alias("learned"))))
+    one, many = ({r.gram: r.code for r in ctw.gram_codes(counts, size).collect()} for size in (1 << 30, 4096))
+    assert one.keys() == many.keys() and all(abs(c - many[k]) < 1e-9 for k, c in one.items())
 
 
 def test_base_scores(spark):
