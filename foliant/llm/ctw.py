@@ -68,27 +68,39 @@ def _texts(column: list[bytes | None]):
 
 
 def _merge(g: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    u, at = np.unique(g, return_inverse=True)
-    return u, *(np.bincount(at, weights=n, minlength=len(u)).astype(n.dtype) for n in counts)
+    """Sums by distinct g, sorted. The stable sort merges what comes as sorted runs."""
+    if not len(g):
+        return g, *counts
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return g[first], *(np.add.reduceat(n[order], first) for n in counts)
+
 
+def gram_counts(docs: DataFrame, held: int = 1 << 20) -> DataFrame:
+    """docs(t binary, learned boolean) -> (gram, n, seen): occurrences in learning texts and in all texts.
+    A task combines until it holds so many grams, then hands them on."""
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """docs(t binary, learned boolean) -> (gram, n, seen): occurrences in learning texts and in all texts."""
+    def rows(own):
+        g, n = own
+        for k in range(0, len(g), 1 << 17):
+            u, c = g[k : k + (1 << 17)], n[k : k + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(u >> 1), pa.array(np.where(u & 1, c, 0)), pa.array(c)], names=["gram", "n", "seen"])
 
     def run(batches):
-        own: list[tuple[np.ndarray, ...]] = []
+        own, fresh, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
         for b in batches:
             texts, learned = b.column(0).to_pylist(), b.column(1).to_pylist()
             for kind in (True, False):
                 for part in _texts([t for t, x in zip(texts, learned, strict=True) if x == kind]):
-                    g, n = np.unique(byte_grams(part)[0], return_counts=True)
-                    own.append((g, n * kind, n))
-                    if len(own) > 16:
-                        own = [_merge(*(np.concatenate(x) for x in zip(*own, strict=True)))]
-        if own:
-            columns = _merge(*(np.concatenate(x) for x in zip(*own, strict=True)))
-            for k in range(0, len(columns[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in columns], names=["gram", "n", "seen"])
+                    fresh.append(np.unique(byte_grams(part)[0] << 1 | kind, return_counts=True))
+                    size += len(fresh[-1][0])
+                    if size > held:
+                        own, fresh, size = _merge(*(np.concatenate(x) for x in zip(own, *fresh, strict=True))), [], 0
+                        if len(own[0]) > held:
+                            yield from rows(own)
+                            own = own[0][:0], own[1][:0]
+        yield from rows(_merge(*(np.concatenate(x) for x in zip(own, *fresh, strict=True))))
 
     return docs.mapInArrow(run, "gram long, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
