@@ -5,12 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace of the word rule: bytes 0x20 and 0x09-0x0D, which is also what bytes.split() splits at.
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +35,31 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows can be told by their place in files, else a written copy."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return written(docs)
+    return docs
+
+
+def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs and a key of each row: the digest of its file and place in it. It stays the same in every scan of a stored table,
+    however executors come and go between them and the scan is cut into tasks. What is not a stored table is written first."""
+    docs = stored(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.unhex(F.md5(F.concat_ws(":", place["file_path"], place["row_index"]))))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by written() that no result needs any more."""
     for df in tables:
@@ -51,7 +74,7 @@ def remainder(id_col: str, mod: int) -> Column:
 
 
 def words(text: bytes | None) -> list[bytes]:
-    """Lower-case A-Z only, split at ASCII whitespace."""
+    """Lower-case A-Z only, split at bytes 0x20 and 0x09-0x0D, which is what bytes.split() does."""
     return text.lower().split() if text else []
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, with_row_key, written
 
 #: Fixed patterns of the base kinds, in their order: (kind, pattern, group of the value, least length of the value).
 BASE = (
@@ -88,9 +88,10 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     some = F.lit(False)
     for _, pattern, *_ in (*BASE, FURTHER):
         some = some | text.rlike(pattern)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_some", some)
-    found = written(scan(numbered.where("_some"), text_col=text_col, row=F.col("_row")))
-    live = judge(found).where("live").groupBy(F.col("row").alias("_key")).agg(F.array_sort(F.collect_list("x")).alias("_spans"))
+    row, has, key, marked = (unused(docs, x) for x in ("_row", "_some", "_key", "_spans"))
+    numbered = with_row_key(docs, row).withColumn(has, some)
+    found = written(scan(numbered.where(F.col(has)), text_col=text_col, row=F.col(row)))
+    live = judge(found).where("live").groupBy(F.col("row").alias(key)).agg(F.array_sort(F.collect_list("x")).alias(marked))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
@@ -98,11 +99,11 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
         out = F.when(fresh, F.concat(acc.out, F.substring(text, acc.at + 1, x.start - acc.at), F.lit(mark))).otherwise(acc.out)
         return F.struct(F.greatest(acc.at, x.stop).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    hit = numbered.where("_some").join(live, F.col("_row") == F.col("_key"), "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col)))
+    clean = F.aggregate(marked, start, cut, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    hit = numbered.where(F.col(has)).join(live, F.col(row) == F.col(key), "left").withColumn(text_col, F.when(F.col(marked).isNotNull(), clean).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
-        hit = hit.withColumn(chars_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return numbered.where(~F.col("_some")).select(*docs.columns).union(hit.select(*docs.columns))
+        hit = hit.withColumn(chars_col, F.when(F.col(marked).isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
+    return numbered.where(~F.col(has)).select(*docs.columns).union(hit.select(*docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, words, written
+from .common import discard, stored, unused, with_row_key, words, written
 from .graph import connected_components
 
 BITS = 64
@@ -53,15 +53,16 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """-> (row long, doc_id, fp long as signed 64 bits), one row per row of docs."""
+    """-> (row binary, doc_id, fp long as signed 64 bits), one row per row of docs; row is its key, see with_row_key()."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["row", "doc_id", "fp"])
 
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return picked.mapInArrow(run, "row long, doc_id long, fp long")
+    row = unused(docs, "_row")
+    picked = with_row_key(docs, row).select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    return picked.mapInArrow(run, "row binary, doc_id long, fp long")
 
 
 def _unsigned(column) -> np.ndarray:
@@ -255,7 +256,7 @@ def links(fps: DataFrame, plan: Plan, bucket: int = 64, block: int = 1024) -> tu
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, parts: int = 3) -> DataFrame:
-    """-> (row, doc_id, fp, component_id, keep): keep marks one row of each group, that of the least id (then the first row)."""
+    """-> (row, doc_id, fp, component_id, keep): keep marks one row of each group, that of the least id (then of the least row key)."""
     rows = written(fingerprint_rows(docs, id_col, text_col, width))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     distinct = written(rows.groupBy("fp").agg(first.alias("first")))
@@ -279,6 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group; rows are told apart by their place in docs, which must be a stored table."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("keep")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").select(*docs.columns)
+    """docs with one document of each group; rows are told apart by their place in the stored table, see with_row_key()."""
+    docs = stored(docs)
+    row = unused(docs, "_row")
+    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("keep")).select(F.col("row").alias(row))
+    return with_row_key(docs, row).join(dropped, row, "left_anti").select(*docs.columns)

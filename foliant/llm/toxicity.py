@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, remainder
+from .common import once, remainder, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -160,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int =
     return Index(idf, [(i, y, v) for (i, y), v in vectors.items()], weight, blank1 / max(blank1 + blank0, 1e-9), k)
 
 
-def with_scores(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
-    """docs and tox (struct of score and evidence, the neighbours' ids)."""
+def with_scores(docs: DataFrame, index: Index, text_col: str = "text", name: str = "_toxicity") -> DataFrame:
+    """docs and name (struct of score and evidence, the neighbours' ids)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     key = uuid.uuid4().hex
 
@@ -171,7 +171,7 @@ def with_scores(docs: DataFrame, index: Index, text_col: str = "text") -> DataFr
         got = [own.score(t) for t in text.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["score", "evidence"])
 
-    return docs.withColumn("_toxicity", score(F.col(text_col)))
+    return docs.withColumn(name, score(F.col(text_col)))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Index:
@@ -180,7 +180,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Index:
 
 def acceptable(docs: DataFrame, index: Index) -> DataFrame:
     """docs without those whose score is 0.5 or more."""
-    return with_scores(docs, index).where(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return with_scores(docs, index, name=name).where(F.col(name)["score"] < 0.5).drop(name)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import chroma, ctw, decontaminate, langid, packing, queries, secrets, sharding, simhash, toxicity, urls
+from foliant.llm import chroma, common, ctw, decontaminate, langid, packing, queries, secrets, sharding, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, t string, key string, score double"
@@ -60,6 +60,37 @@ def test_simhash_components_match_brute_force(spark):
     assert {i: got[i].component_id for i in fp} == root
 
 
+def test_rows_are_told_apart_however_scans_are_cut(spark, tmp_path):
+    """The keys of two scans agree though each is cut into other tasks, as when executors come or go in between."""
+    path = str(tmp_path / "d")
+    frame(spark, [(k % 7, f"text {k} " * 50) for k in range(400)]).repartition(3).write.parquet(path)
+    keys = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        d = common.with_row_key(spark.read.parquet(path).select("text", "doc_id"))
+        keys.append({bytes(r._row): r.text for r in d.collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert keys[0] == keys[1] and len(keys[0]) == 400
+
+
+def test_deduplication_keeps_one_row_of_each_group(spark):
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, "quite another text of words"), (None, None), (9, "")]
+    kept = simhash.deduplicated(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (5, "quite another text of words"), (9, "")]
+
+
+def test_stages_leave_columns_of_their_own_names_alone(spark):
+    names = ("_row", "_some", "_key", "_spans", "_toxicity")
+    d = frame(spark, [(1, "token = abcdefghijklmnop"), (2, "other words"), (3, None)])
+    for c in names:
+        d = d.withColumn(c, F.col("doc_id") * 10)
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (secrets.redact(d), simhash.deduplicated(d), toxicity.acceptable(d, toxicity.learned(d, labels))):
+        got = out.collect()
+        assert out.columns == d.columns and len(got) == 3 and all(r[c] == 10 * r.doc_id for r in got for c in names)
+
+
 def test_simhash_blocks_keep_components(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 3, dtype=np.int64)
