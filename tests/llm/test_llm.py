@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import chroma, common, ctw, decontaminate, langid, packing, queries, secrets, sharding, simhash, toxicity, urls
+from foliant.llm import chroma, common, ctw, decontaminate, langid, nearcopies, packing, queries, secrets, sharding, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, t string, key string, score double"
@@ -80,6 +80,54 @@ def test_deduplication_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (5, "quite another text of words"), (9, "")]
 
 
+def _brute_kept(rows):
+    """Ids kept of (id, text), unique ids: the least of each component of 5-word Jaccard >= 0.8."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def of(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, s in sets.items():
+        for x in s or {None}:
+            holders.setdefault(x, []).append(i)
+    for a, b in {(a, b) for own in holders.values() for a in own for b in own if a < b}:
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and of(a) != of(b):
+            root[max(of(a), of(b))] = min(of(a), of(b))
+    return {i for i in sets if of(i) == i}
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_near_duplicate_stage_matches_brute_force(spark, bucket):
+    """Copies at all similarities around 0.8, in groups above and below the bucket; sharing a common passage is not enough."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (4, "one two three")]
+    for _ in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 150))] + passage
+        for _ in range(rng.randint(1, 9)):
+            own = list(words)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(own)))
+    got = nearcopies.deduplicated(frame(spark, rows), bucket=bucket).collect()
+    assert len(got) < len(rows) and {r.doc_id for r in got} == _brute_kept(rows)
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == _brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_stages_leave_columns_of_their_own_names_alone(spark):
     names = ("_row", "_some", "_key", "_spans", "_toxicity")
     d = frame(spark, [(1, "token = abcdefghijklmnop"), (2, "other words"), (3, None)])
