@@ -1,9 +1,9 @@
-"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
+"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, found in an inverted index.
 
-Learning takes a bounded sample of labelled rows (about ``max_per_class`` of each class, by a hash rate). From them come
-the ``max_terms`` terms most associated with the toxic class (log-likelihood ratio), their IDF, and the index: examples in
-blocks, postings by term and block with the block's largest weight. A query visits blocks in the order of their bound
-and stops when no block can beat its k-th neighbour, so the cosine top k is exact. Votes weigh by 1 / (distance + eps) and by
+Learning takes a bounded sample of labelled rows (about ``max_per_class`` of each class, by a hash rate). The index holds all terms of
+all these examples. A term's weight is its IDF times a factor that grows smoothly with its association with the toxic class
+(log-likelihood ratio and rates) from FLOOR to about 1; no term is cut, so each example with a word is found by its copies. A query
+scores every example that shares a term, so the cosine top k is exact. Votes weigh by 1 / (distance + eps) and by
 the sampling rate of the neighbour's class; leave-one-out votes of the examples, made monotone (pool adjacent violators),
 turn votes into calibrated scores. Neighbours are returned as evidence. Scoring reads whole texts, map-only.
 
@@ -21,75 +21,59 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, remainder, unused
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Weight of a term without association with the toxic class, against 1 for the most associated.
+FLOOR = 0.005
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples, block-max postings, calibrated votes."""
+    """Unit TF-IDF vectors of the examples, postings, calibrated votes. idf: the weight of each term."""
 
     def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], weight: tuple[float, float], blank: float, k: int = 15, eps: float = 0.05):
         self.term = {t: i for i, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)])
         self.k, self.eps, self.blank = k, eps, blank
-        examples = sorted(examples, key=lambda e: (sorted(e[2]), e[0]))  # like vectors share blocks, which sharpens the bounds
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.y = np.array([e[1] for e in examples], float)
         self.imp = np.array([weight[e[1]] for e in examples], float)
-        rows: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.vectors = []
-        for n, e in enumerate(examples):
-            terms, w = self.vector(e[2])
-            self.vectors.append((terms, w))
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                rows[t].append((n, x))
-        self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, own in rows.items():
-            at, w = np.array([n for n, _ in own]), np.array([x for _, x in own])
-            cut = at // BLOCK
-            first = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
-            self.bounds[t] = cut[first], np.maximum.reduceat(w, first)
-            self.postings[t] = {int(b): (at[i:j] - b * BLOCK, w[i:j]) for b, i, j in zip(cut[first], first, [*first[1:], len(at)], strict=True)}
-        self.blocks = len(examples) // BLOCK + 1
+        self.vectors = [self.vector(e[2]) for e in examples]
+        terms = np.concatenate([t for t, _ in self.vectors]) if examples else np.zeros(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.number = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in self.vectors])[order] if examples else np.zeros(0, np.int32)
+        self.value = np.concatenate([w for _, w in self.vectors])[order] if examples else np.zeros(0)
+        self.start = np.searchsorted(terms[order], np.arange(len(self.term) + 1))
         self.memo: dict = {}
         self._calibrate()
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": [], "memo": {}}  # scoring reads the postings alone
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         own = sorted((self.term[t], c) for t, c in counts.items() if t in self.term)
         terms = np.array([t for t, _ in own], np.int64)
-        w = np.array([1 + math.log(c) for _, c in own]) * self.idf[terms] if own else np.zeros(0)
+        w = (1 + np.log(np.array([c for _, c in own], float))) * self.idf[terms] if own else np.zeros(0)
         norm = math.sqrt((w * w).sum())
         return (terms, w / norm) if norm else (terms[:0], w[:0])
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, exactly: (numbers, cosines)."""
-        bound = np.zeros(self.blocks)
-        own = [(t, x) for t, x in zip(terms.tolist(), w.tolist(), strict=True) if t in self.postings]
-        for t, x in own:
-            at, most = self.bounds[t]
-            bound[at] += x * most
-        best_n, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_s) >= self.k and bound[b] < floor):
-                break
-            score = np.zeros(BLOCK)
-            for t, x in own:
-                if (hit := self.postings[t].get(b)) is not None:
-                    score[hit[0]] += x * hit[1]
-            at = np.flatnonzero(score > 0)
-            n, s = np.r_[best_n, at + b * BLOCK], np.r_[best_s, score[at]]
-            if skip >= 0:
-                n, s = n[n != skip], s[n != skip]
-            order = np.lexsort((n, -s))[: self.k]
-            best_n, best_s = n[order], s[order]
-            floor = best_s[-1] if len(best_s) >= self.k else 0.0
-        return best_n, best_s
+        spans = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True))
+        if not spans:
+            return np.zeros(0, np.int64), np.zeros(0)
+        number, value = np.concatenate([self.number[i:j] for i, j in spans]), np.concatenate([self.value[i:j] for i, j in spans])
+        score = np.bincount(number, value * np.repeat(w, [j - i for i, j in spans]), len(self.ids))
+        if skip >= 0:
+            score[skip] = 0
+        floor = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0
+        n = np.flatnonzero((score >= floor) & (score > 0))
+        n = n[np.lexsort((n, -score[n]))[: self.k]]
+        return n, score[n]
 
     def vote(self, n: np.ndarray, s: np.ndarray) -> float:
         w = self.imp[n] / (1 - np.minimum(s, 1) + self.eps)
@@ -113,10 +97,10 @@ class Index:
         self.p = np.array([p[0] / p[1] for p in pools for _ in range(2)])
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = Counter(t for t in WORD.findall(text.lower()) if t in self.term) if text else {}
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(text or "")
         if key in self.memo:
             return self.memo[key]
+        counts = Counter(WORD.findall(text.lower())) if text else {}
         terms, w = self.vector(counts)
         n, s = self.nearest(terms, w) if len(terms) else (terms, w)
         out = (float(np.interp(self.vote(n, s), self.x, self.p)) if len(self.x) else self.blank, self.ids[n].tolist()) if len(n) else (self.blank, [])
@@ -126,7 +110,16 @@ class Index:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = 4000, max_terms: int = 1024, k: int = 15) -> Index:
+def term_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """a, b: toxic and other examples with each term, of n1 and n0. IDF times FLOOR to about 1, by association with the toxic class."""
+    part = lambda x, n, m: np.where(x > 0, x * np.log(np.maximum(x, 1) * (n1 + n0) / np.maximum(n * m, 1)), 0.0)
+    a, b = a.astype(float), b.astype(float)
+    g = np.maximum(part(a, n1, a + b) + part(b, n0, a + b) + part(n1 - a, n1, n1 + n0 - a - b) + part(n0 - b, n0, n1 + n0 - a - b), 0)
+    more = np.maximum(0, 1 - b * n1 / np.maximum(a * n0, 1e-9))
+    return (np.log((1 + n1 + n0) / (1 + a + b)) + 1) * (FLOOR + g / (g + 8) * more)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = 4000, k: int = 15) -> Index:
     """docs(doc_id, text), labels(doc_id, toxic); learn: condition on doc_id of the labels that may be learned from."""
     pool = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     size = {r.y: r["count"] for r in pool.groupBy("y").count().collect()}
@@ -141,23 +134,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int =
             yield pa.RecordBatch.from_pylist([{"id": i, "y": y, "t": t, "c": c} for i, y, t, c in out], schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("t", pa.string()), ("c", pa.int32())]))
 
     rows = picked.mapInArrow(terms, "id long, y int, t string, c int")
-    of = {r.y: r.n for r in rows.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
-    n1, n0 = of.get(1, 0), of.get(0, 0)
+    got = rows.toArrow()  # the words of max_per_class texts of each class
+    own, first, which = np.unique(got.column("id").to_numpy(), return_index=True, return_inverse=True)
+    y = got.column("y").to_numpy()[first]
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
         return Index({}, [], (1.0, 1.0), float(bool(n1)), k)
-    a, b = F.col("a"), F.col("b")
-    ratio = lambda x, n, m: F.when(x > 0, x * F.log(x * (n1 + n0) / (n * m))).otherwise(0.0)
-    stats = rows.where("t <> ''").groupBy("t").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    stats = stats.where((a >= 3) & (a * n0 > 2 * b * n1)).withColumn("g", ratio(a, F.lit(n1), a + b) + ratio(b, F.lit(n0), a + b) + ratio(n1 - a, F.lit(n1), n1 + n0 - a - b) + ratio(n0 - b, F.lit(n0), n1 + n0 - a - b))
-    chosen = stats.where("g > 8").orderBy(F.desc("g"), "t").limit(max_terms).collect()
-    idf = {r.t: math.log((1 + n1 + n0) / (1 + r.a + r.b)) + 1 for r in chosen}
-    vectors: dict[tuple[int, int], dict[str, int]] = defaultdict(dict)
-    for r in rows.where(F.col("t").isin(list(idf))).collect() if idf else []:
-        vectors[r.id, r.y][r.t] = r.c
+    coded = got.column("t").combine_chunks().dictionary_encode()
+    words, code, count = coded.dictionary.to_pylist(), coded.indices.to_numpy(), got.column("c").to_numpy()
+    weights = term_weights(*(np.bincount(code[y[which] == v], minlength=len(words)) for v in (1, 0)), n1, n0)
+    idf = {t: x for t, x in zip(words, weights.tolist(), strict=True) if t}
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange(len(own) + 1))
+    examples = []
+    for n, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        held: dict[str, int] = defaultdict(int)
+        for t, c in zip(code[order[i:j]].tolist(), count[order[i:j]].tolist(), strict=True):
+            if words[t]:
+                held[words[t]] += c
+        if held:
+            examples.append((int(own[n]), int(y[n]), held))
     weight = (1 / rate[0], 1 / rate[1])
-    with1, with0 = (sum(y == v for _, y in vectors) for v in (1, 0))
+    with1, with0 = (sum(e[1] == v for e in examples) for v in (1, 0))
     blank1, blank0 = (n1 - with1) * weight[1], (n0 - with0) * weight[0]
-    return Index(idf, [(i, y, v) for (i, y), v in vectors.items()], weight, blank1 / max(blank1 + blank0, 1e-9), k)
+    return Index(idf, examples, weight, blank1 / max(blank1 + blank0, 1e-9), k)
 
 
 def with_scores(docs: DataFrame, index: Index, text_col: str = "text", name: str = "_toxicity") -> DataFrame:

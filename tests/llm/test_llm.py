@@ -195,6 +195,19 @@ def test_toxicity_held_out(spark):
     assert (held.toxic == held.predicted).mean() > 0.9
 
 
+def test_every_labelled_example_is_found_by_its_copy(spark):
+    """Among many other toxic rows, the only one of its language, with words no other row has: its copy has it as nearest evidence."""
+    rng = random.Random(5)
+    plain = [f"w{k}" for k in range(50)]
+    rows = [(k, " ".join(rng.choices(plain, k=20)) + (" vile" if k % 2 else "")) for k in range(60)] + [(60, "ilkea gorrotoa"), (61, "ilkea gorrotoa"), (62, "w1 w2")]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(60, 1, 1)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame(spark, rows), labels, F.lit(True))
+    score, evidence = index.score("ilkea gorrotoa")
+    assert evidence[0] == 60 and score >= 0.5
+    assert all(index.score(t)[1] for _, t in rows)
+    assert index.score("w1 w2 w3 vile")[0] >= 0.5 > index.score("w1 w2 w3")[0]
+
+
 def test_first_fit_decreasing_matches_a_scan():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 4097, 500)
