@@ -1,9 +1,10 @@
 """Operator 9: URL filters by association rules over URL tokens, beside an explicit rule list.
 
-A URL's tokens are its host labels, top-level domain, path segments (numbers alike), file endings and query keys. Spark's
-FP-growth mines token sets from a bounded sample of labelled URLs (rate ``max_labelled``; for mining, at most ``mined_tokens`` tokens of a URL);
-rules that conclude ``block`` are pruned by support, confidence and lift, and dropped where a part of their tokens is a rule of at
-least the same confidence. The kept rules (at most ``max_rules``) are matched through an inverted index: each lies under its
+A URL's tokens are its host labels, top-level domain, path segments (numbers alike), file endings and query keys. Token
+sets are mined from a bounded sample of labelled URLs (about ``max_labelled``, 12 tokens of each), level by level: tokens that always occur together count
+as one, a set that covers the same URLs as a part of it is not extended, nor one that always means block, so a host whose URLs
+share many tokens gives one rule and not all subsets. Rules that conclude ``block`` and pass support, confidence and lift are all kept,
+but where a part of their tokens is a rule of at least the same confidence. They are matched through an inverted index: each lies under its
 rarest token, and a URL visits the rules under its own tokens. Judging is map-only and reads the URL column alone.
 
 The list: a rule (host, path) fits its host and all subdomains if the path starts with the rule's; the longest wins.
@@ -14,10 +15,12 @@ mined rules; repeated rows are judged alike; equal rules keep the first; columns
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = "verdict:block"
 
 
 def host_of(url: Column) -> Column:
@@ -77,8 +79,9 @@ def tokens(url: str | None) -> list[str]:
 
 
 class RuleIndex:
-    def __init__(self, rules: list[tuple[frozenset[str], float, float]]):
-        """rules: (tokens, confidence, support). Keeps a rule unless a part of its tokens is at least as confident."""
+    def __init__(self, rules: list[tuple[frozenset[str], float, float]], same: dict[str, str] | None = None):
+        """rules: (tokens, confidence, support); same: tokens that stand for another. Keeps a rule unless a part of its tokens is at least as confident."""
+        self.same = same or {}
         kept: list[tuple[frozenset[str], float, float]] = []
         seen: dict[frozenset[str], float] = {}
         for t, c, s in sorted(rules, key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
@@ -95,28 +98,72 @@ class RuleIndex:
 
     def confidence(self, own: list[str]) -> float:
         """Of the most confident matching rule; 0 without one."""
-        have = set(own)
-        return max((c for x in own for t, c in self.under.get(x, ()) if t <= have), default=0.0)
-
-
-def mine(urls: DataFrame, min_support: float = 0.002, least_pages: int = 20, min_confidence: float = 0.6, max_rules: int = 2000, max_labelled: int = 50_000, mined_tokens: int = 12) -> RuleIndex:
+        have = {self.same.get(x, x) for x in own}
+        return max((c for x in have for t, c in self.under.get(x, ()) if t <= have), default=0.0)
+
+
+def minimal_rules(rows: list[tuple[list[str], bool]], least: int, min_confidence: float) -> RuleIndex:
+    """Rules of the tokens of rows (tokens, block) that hold for at least ``least`` blocked rows, with lift over 1."""
+    n, blocked = len(rows), sum(b for _, b in rows)
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, (own, _) in enumerate(rows):
+        for x in own:
+            places[x].append(k)
+    size = -(-n // 64) * 8
+
+    def packed(at: list[int]) -> np.ndarray:
+        bits = np.zeros(size * 8, bool)
+        bits[at] = True
+        return np.packbits(bits).view(np.uint64)
+
+    bad = packed([k for k, (_, b) in enumerate(rows) if b])
+    held = lambda x: int(np.bitwise_count(x).sum())
+    by_cover: dict[tuple[int, ...], str] = {}
+    same: dict[str, str] = {}
+    level: dict[tuple[str, ...], tuple[np.ndarray, int]] = {}
+    for x in sorted(places):
+        if least <= len(places[x]) < n:
+            first = by_cover.setdefault(tuple(places[x]), x)
+            if first != x:
+                same[x] = first
+            elif held((cover := packed(places[x])) & bad) >= least:
+                level[x,] = cover, len(places[x])
+    by_cover.clear()
+    rules, singles = [], {k[0]: v[0] for k, v in level.items()}
+    while level:
+        open_ = {}
+        for key, (cover, count) in level.items():
+            hits = held(cover & bad)
+            if hits >= min_confidence * count and hits * n > blocked * count:
+                rules.append((frozenset(key), hits / count, hits / n))
+            if hits < count:
+                open_[key] = cover, count
+        level, tails = {}, defaultdict(list)
+        for key in open_:
+            tails[key[:-1]].append(key[-1])
+        for head, ends in tails.items():
+            ends.sort()
+            for i, x in enumerate(ends):
+                for y in ends[i + 1 :]:
+                    key = (*head, x, y)
+                    parts = [open_.get(key[:k] + key[k + 1 :]) for k in range(len(key))]
+                    if all(parts):
+                        cover = open_[(*head, x)][0] & singles[y]
+                        if held(cover & bad) >= least and (count := held(cover)) < min(c for _, c in parts):
+                            level[key] = cover, count
+    return RuleIndex(rules, same)
+
+
+def mine(urls: DataFrame, min_support: float = 0.002, least_pages: int = 20, min_confidence: float = 0.6, max_labelled: int = 50_000) -> RuleIndex:
     """urls(url, block boolean)."""
-    from pyspark.ml.fpm import FPGrowth
-
     n = urls.count()
     if not n:
         return RuleIndex([])
     rate = min(1.0, max_labelled / n)
-    picked = urls.where(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-
-    @F.arrow_udf("array<string>")
-    def items(url: pa.Array, block: pa.Array) -> pa.Array:
-        return pa.array([[*tokens(u)[:mined_tokens], *([BLOCK] if b else [])] for u, b in zip(url.to_pylist(), block.to_pylist(), strict=True)], pa.list_(pa.string()))
-
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least_pages / max(1, n * rate))), minConfidence=min_confidence).fit(picked.select(items("url", "block").alias("items")))
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK) & (F.col("lift") > 1))
-    got = rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(max_rules).collect()
-    return RuleIndex([(frozenset(r.antecedent), r.confidence, r.support) for r in got])
+    picked = urls.where(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("url", "block").toArrow()
+    rows = [(tokens(u)[:12], bool(b)) for u, b in zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True)]
+    share = min(1.0, max(min_support, least_pages / max(1, n * rate)))
+    return minimal_rules(rows, max(1, math.ceil(share * len(rows))), min_confidence)
 
 
 def judge(pages: DataFrame, index: RuleIndex, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

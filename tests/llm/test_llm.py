@@ -404,6 +404,35 @@ def test_mined_rules_match_brute_force(spark):
         assert index.confidence(urls.tokens(u)) == max((c for t, c in kept if t <= set(urls.tokens(u))), default=0.0)
 
 
+def test_hot_hosts_do_not_crowd_out_other_rules(spark):
+    """Two hosts whose URLs share 14 tokens, always blocked, leave room for a rule of lower confidence."""
+    deep = "/".join(f"p{k}" for k in range(12))
+    rows = [(f"http://hot{k % 2}.org/{k % 2}{deep}/{k}", True) for k in range(200)]
+    rows += [(f"http://x{k}.net/shop/{k}", k % 4 != 0) for k in range(100)] + [(f"http://y{k}.com/news/{k}", False) for k in range(200)]
+    index = urls.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert index.confidence(urls.tokens("http://new.net/shop/1")) == 0.75
+    assert index.confidence(urls.tokens("http://hot1.org/other")) == 1.0 and index.confidence(urls.tokens("http://new.com/news/1")) == 0
+    assert index.size < 50
+
+
+def test_minimal_rules_match_all_subsets():
+    """A URL's confidence is that of the best of all its token sets that pass, by definition."""
+    from itertools import combinations
+
+    rng = random.Random(7)
+    rows = [([x for x in "abcdefg" if rng.random() < 0.5] + ["z"], rng.random() < 0.4) for _ in range(120)]
+    index = urls.minimal_rules(rows, 5, 0.6)
+    base = sum(b for _, b in rows) / len(rows)
+    for own, _ in rows[:40]:
+        best = 0.0
+        for r in range(1, len(own) + 1):
+            for t in combinations(own, r):
+                got = [b for o, b in rows if set(t) <= set(o)]
+                if sum(got) >= 5 and sum(got) / len(got) >= 0.6 and sum(got) / len(got) > base:
+                    best = max(best, sum(got) / len(got))
+        assert abs(index.confidence(own) - best) < 1e-12
+
+
 def test_chroma_search_matches_brute_force(spark):
     rng = np.random.default_rng(8)
     tune = lambda: bytes((128 + 60 * np.sin(np.cumsum(np.repeat(rng.uniform(0.1, 1.5, 20), 200)))).astype(np.uint8))
