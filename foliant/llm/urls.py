@@ -1,7 +1,7 @@
 """Operator 9: URL filters by association rules over URL tokens, beside an explicit rule list.
 
-A URL's tokens are its host labels, top-level domain, path segments (numbers alike), file endings and query keys. Token
-sets are mined from a bounded sample of labelled URLs (about ``max_labelled``, 12 tokens of each), level by level: tokens that always occur together count
+A URL's tokens are its host labels, top-level domain, path segments (numbers alike), file endings and query keys, all of them. Token
+sets are mined from a bounded sample of labelled URLs (about ``max_labelled``), level by level: tokens that always occur together count
 as one, a set that covers the same URLs as a part of it is not extended, nor one that always means block, so a host whose URLs
 share many tokens gives one rule and not all subsets. Rules that conclude ``block`` and pass support, confidence and lift are all kept,
 but where a part of their tokens is a rule of at least the same confidence. They are matched through an inverted index: each lies under its
@@ -161,7 +161,7 @@ def mine(urls: DataFrame, min_support: float = 0.002, least_pages: int = 20, min
         return RuleIndex([])
     rate = min(1.0, max_labelled / n)
     picked = urls.where(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("url", "block").toArrow()
-    rows = [(tokens(u)[:12], bool(b)) for u, b in zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True)]
+    rows = [(tokens(u), bool(b)) for u, b in zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True)]
     share = min(1.0, max(min_support, least_pages / max(1, n * rate)))
     return minimal_rules(rows, max(1, math.ceil(share * len(rows))), min_confidence)
 

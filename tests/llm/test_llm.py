@@ -415,6 +415,13 @@ def test_hot_hosts_do_not_crowd_out_other_rules(spark):
     assert index.size < 50
 
 
+def test_query_keys_of_deep_urls_are_mined(spark):
+    deep = "/".join(f"p{k}" for k in range(14))
+    rows = [(f"http://a.org/{deep}/{k}" + ("?utm=1" if k % 3 == 0 else ""), k % 3 == 0) for k in range(300)]
+    index = urls.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert all((index.confidence(urls.tokens(u)) > 0) == b for u, b in rows)
+
+
 def test_minimal_rules_match_all_subsets():
     """A URL's confidence is that of the best of all its token sets that pass, by definition."""
     from itertools import combinations
