@@ -312,7 +312,7 @@ def meta_all(spark, sf_dir):
 def library_match(spark, sf_dir):
     books, own = _books(spark, sf_dir)
     own = own.withColumn("terms", F.array_distinct(F.filter(tokens(F.col("full_text")), lambda w: F.length(w) >= 3)))
-    return library.match(books.where(F.col("title").endswith("1")), books, own.select("book_id", "number", "title", "terms"))
+    return library.match(books, books, own.select("book_id", "number", "title", "terms"))
 
 
 @query(f"SELECT id, {_WORDS} AS words, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM (SELECT substring(sha256({_ID} || ':ch:' || doc_id), 1, 12) AS id, coalesce(text, '') AS text FROM documents)")

@@ -120,6 +120,16 @@ def test_chapters(spark):
     assert [r.start_index for r in of("# Chapter 1: A\nx\n# Chapter 1: A\nlater")] == [17]
 
 
+def test_library_match_takes_every_book(spark):
+    """Every source meets every other, however the sources are named."""
+    from foliant.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().count()
+    got = QUERIES["library_match"](spark, sf).select("input_id", "book_id").collect()
+    assert len(got) == len(set(got)) == n * (n - 1) and len({r.input_id for r in got}) == n
+
+
 def test_library_ranking(spark):
     books = spark.createDataFrame([("i", "Storage Engines"), ("r", "Storage Engines II"), ("u", "Garden Birds")], "id string, title string")
     rows = [("i", 1, "Logs", ["log", "index", "page"]), ("r", 1, "Logs", ["log", "index", "page"]), ("u", 1, "Owls", ["owl", "nest"]), ("i", 2, "Trees", ["tree"]), ("r", 2, "Hashing", ["hash"]), ("u", 2, "Wrens", ["wren"])]
