@@ -123,7 +123,7 @@ def first_uses(t: Column, have: Column) -> Column:
 def bigrams(rows: DataFrame) -> DataFrame:
     """rows(id, t, have) -> (id, found): the top 40 new word pairs seen twice or more, most frequent first, ties by first place."""
     words = F.transform(F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)), F.lower)
-    pairs = F.zip_with("w", F.slice("w", 2, 1_000_000), lambda a, b: F.when(~a.isin(*NOISE) & ~b.isin(*NOISE), F.concat(a, F.lit(" "), b)))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(~a.isin(*NOISE) & ~b.isin(*NOISE), F.concat(a, F.lit(" "), b)))
     each = rows.withColumn("w", words).select("id", F.posexplode(pairs).alias("at", "b")).where(F.length("b") > 5)
     counts = each.groupBy("id", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "at"))).where("r <= 40 and n >= 2").where(~F.col("b").isin(*COMMON_PHRASES))

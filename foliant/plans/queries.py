@@ -144,7 +144,7 @@ def token_freq(spark, sf_dir):
 @query(f"WITH {_D}, w AS (SELECT id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+') AS w FROM d), p AS (SELECT w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) SELECT bigram, count(*) AS n FROM p GROUP BY bigram HAVING count(*) >= 2")
 def bigram_freq(spark, sf_dir):
     w = texts(spark, sf_dir).select(tokens(F.col("text")).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1_000_000), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
     return w.select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 2")
 
 

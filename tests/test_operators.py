@@ -120,6 +120,15 @@ def test_chapters(spark):
     assert [r.start_index for r in of("# Chapter 1: A\nx\n# Chapter 1: A\nlater")] == [17]
 
 
+def test_bigrams_of_a_text_of_over_a_million_words(spark, tmp_path):
+    from foliant.plans.queries import QUERIES
+
+    one = spark.createDataFrame([(1, "a " * 1_000_001 + "tail end tail end", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    one.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.bigram: r.n for r in QUERIES["bigram_freq"](spark, str(tmp_path)).collect()}
+    assert got["a a"] == 1_000_000 and got["tail end"] == 2 and None not in got  # beside the fixture texts
+
+
 def test_library_match_takes_every_book(spark):
     """Every source meets every other, however the sources are named."""
     from foliant.plans.queries import QUERIES
