@@ -68,6 +68,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
+    """rows(key, ...) with the columns of groups(key, count, ...), unique by key; count: the rows of rows that have the key.
+
+    Groups that hold over one in ``most`` of all rows, so fewer than ``most`` of them, are broadcast; the others are joined.
+    No key, however hot, then lands in one task.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    large = F.col(count) * most > int(total)
+    hot = F.broadcast(groups.where(large))
+    rest = rows.join(F.broadcast(groups.where(large).select(key)), key, "left_anti").join(groups.where(~large), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod)), F.lit(0))

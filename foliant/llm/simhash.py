@@ -7,9 +7,10 @@ within distance T agrees within t_i bits on some partition i whenever the t_i ad
 probes and candidates, from histograms of the fingerprints themselves. Probing is an equi-join on the partition's
 value, verified in the join condition by the exact bit count, so no true link is lost.
 
-Scale: equal fingerprints collapse before anything is paired; probes grow linearly. A partition value with more than
-``bucket`` fingerprints leaves the join: its fingerprints are dealt to blocks of bounded size, block is compared with
-block, and only a forest of the links is emitted, so a group of n near copies costs O(n) rows instead of n^2.
+Scale: equal fingerprints collapse before anything is paired; the number of partitions follows from that of the fingerprints (wider
+partitions for more), so that a value holds few of them. A partition value with more than ``bucket`` fingerprints leaves the
+join: its n fingerprints and m probes are dealt to blocks of bounded size and block is compared with block, n m comparisons in
+n m / 1024^2 tasks of one size; a pair of blocks emits a forest of its links, 2,048 rows at most, not all pairs.
 
 Defined cases: null text is an empty text; empty texts have fingerprint 0 and are linked like any other; repeated rows
 are rows of one group; a null id takes part, and a component's id is its least non-null id (null if there is none);
@@ -19,6 +20,7 @@ columns other than the named id and text are not read.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +32,34 @@ from .common import discard, stored, unused, with_row_key, words, written
 from .graph import connected_components
 
 BITS = 64
+SALTS = 16
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """Bit b is 1 if set in over half of the XXH64 (seed 42) hashes of the text's word shingles."""
+def digests(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles in order, repeats included; fewer words are one shingle, no words none."""
     tokens = words(text)
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - width + 1)
     last = ends[width - 1 :] if len(tokens) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit b is 1 if set in over half of the digests."""
     counts = np.zeros(BITS, np.int64)
-    spans = list(zip(starts[:n].tolist(), last.tolist(), strict=True))
-    for k in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in spans[k : k + _CHUNK]], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for k in range(0, len(h), _CHUNK):
+        counts += _bits(h[k : k + _CHUNK]).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    return majority(digests(text, width))
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -255,12 +265,22 @@ def links(fps: DataFrame, plan: Plan, bucket: int = 64, block: int = 1024) -> tu
     return cold.union(dealt.groupBy("key", "s", "r").applyInArrow(compare, "a long, b long")), (index, probes, hot)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, parts: int = 3) -> DataFrame:
-    """-> (row, doc_id, fp, component_id, keep): keep marks one row of each group, that of the least id (then of the least row key)."""
-    rows = written(fingerprint_rows(docs, id_col, text_col, width))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    distinct = written(rows.groupBy("fp").agg(first.alias("first")))
+def best_parts(n: int, max_distance: int) -> int:
+    """The number of partitions with the least probes and candidates of a fingerprint among n that are spread evenly."""
+    best = {}
+    for parts in range(2, max(3, max_distance + 2)):
+        bits = [BITS // parts + (k < BITS % parts) for k in range(parts)]
+        masks = np.array([np.cumsum([0.0, *(comb(b, r) for r in range(max_distance + 1))]) for b in bits])
+        cost = masks * (1 + n / 2.0 ** np.array(bits)[:, None])
+        t = allocate(cost[None], max_distance - parts + 1)[0]
+        best[parts] = sum(cost[i, t[i] + 1] for i in range(parts))
+    return min(best, key=best.get)
+
+
+def linked(distinct: DataFrame, max_distance: int = 4, parts: int | None = None, bucket: int = 64) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """distinct(fp), a stored table -> links(), by partitions and thresholds fitted to these fingerprints."""
     n = distinct.count()
+    parts = parts or best_parts(n, max_distance)
 
     def pairs(fps):
         b = _bits(fps).astype(np.float32)
@@ -269,13 +289,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = _counted(distinct, pairs)
     both = np.array([counts.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
     partitions = correlated_partitions(both, n, parts)
-    plan = Plan(partitions, n, max_distance, _counted(distinct, Plan.cells(partitions)))
-    found, scratch = links(distinct, plan)
+    return links(distinct, Plan(partitions, n, max_distance, _counted(distinct, Plan.cells(partitions))), bucket)
+
+
+def least_of(grouped: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """grouped(node, first), roots(node, root) -> (node, least): the least first of the node's component.
+
+    Nodes without a link are their own component and meet no join by root; the others are salted, so a component of any
+    size is dealt to SALTS tasks.
+    """
+    members = grouped.join(roots.select(F.col("node").alias(node), "root"), node, "left")
+    alone = members.where("root is null").select(node, F.col("first").alias("least"))
+    some = members.where("root is not null").withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int"))
+    least = some.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.union(some.join(least, ["root", "salt"]).select(node, "least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, parts: int | None = None) -> DataFrame:
+    """-> (row, doc_id, fp, component_id, keep): keep marks one row of each group, that of the least id (then of the least row key)."""
+    rows = written(fingerprint_rows(docs, id_col, text_col, width))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    distinct = written(rows.groupBy("fp").agg(first.alias("first")))
+    found, scratch = linked(distinct, max_distance, parts)
     roots = connected_components(found)
     discard(*scratch)
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    labelled = grouped.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept"))
+    labelled = least_of(distinct, roots, "fp").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept"))
     return rows.join(labelled, "fp").select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("kept")).alias("keep"))
 
 

@@ -1,15 +1,19 @@
-"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, found in an inverted index.
-
-Learning takes a bounded sample of labelled rows (about ``max_per_class`` of each class, by a hash rate). The index holds all terms of
-all these examples. A term's weight is its IDF times a factor that grows smoothly with its association with the toxic class
-(log-likelihood ratio and rates) from FLOOR to about 1; no term is cut, so each example with a word is found by its copies. A query
-scores every example that shares a term, so the cosine top k is exact. Votes weigh by 1 / (distance + eps) and by
-the sampling rate of the neighbour's class; leave-one-out votes of the examples, made monotone (pool adjacent violators),
-turn votes into calibrated scores. Neighbours are returned as evidence. Scoring reads whole texts, map-only.
-
-Defined cases: null, empty or term-free texts score as the share of toxic examples among term-free examples;
-without learning rows of both classes that share is 0 or the base rate; ties in cosine go to the lower example number;
-repeated rows score alike; columns other than those named are not read.
+"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
+
+Learning takes a bounded sample of labelled rows (about ``max_per_class`` of each class, by a hash rate). A term's weight is its delta
+IDF, the difference of its smoothed IDFs among the toxic and the other examples (Martineau and Finin, 2009), times 1 + log of its
+count. Every term of every example is indexed.
+
+The index cuts the examples into blocks and keeps the largest weight of every frequent term in every block. A query first adds up its
+rare terms; what its frequent terms can add in a block at most is a product with those largest weights, and only blocks that can still
+reach the k-th best cosine are scored in full: the top k is exact. Votes weigh by 1 / (distance + eps) and by the sampling rate of the neighbour's class; leave-one-out votes of the examples, made monotone (pool
+adjacent violators), turn votes into calibrated scores. Neighbours are returned as evidence. Scoring reads whole texts, map-only.
+
+Defined cases: a null text is an empty one; texts without a term of positive weight score as the share of toxic examples among such
+examples; without learning rows of both classes that share is 0 or the base rate; an example is a row of documents (equal rows of one id
+count once), so a repeated id with other texts gives other examples; ties in cosine go to the lower id, then the lower text digest;
+repeated rows score alike; labels of other values than 0 and 1 are not read, of repeated labels the highest counts; columns other than
+those named are not read.
 """
 
 from __future__ import annotations
@@ -25,68 +29,119 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, remainder, unused
+from .common import discard, once, remainder, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Weight of a term without association with the toxic class, against 1 for the most associated.
-FLOOR = 0.005
+#: Examples in a block; a term that over one in OFTEN examples holds is bounded by blocks before it is scored.
+BLOCK, OFTEN = 32, 16
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted XXH64 of the text's distinct words, and their counts."""
+    own = Counter(WORD.findall(text.lower())) if text else {}
+    key = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    order = np.argsort(key)
+    return key[order], np.fromiter(own.values(), np.int32, len(own))[order]
+
+
+def delta_idf(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """a, b: toxic and other examples with each term, of n1 and n0."""
+    return np.abs(np.log((n0 + 1) / (b + 1)) - np.log((n1 + 1) / (a + 1)))
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those from first[1] on."""
+    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples, postings, calibrated votes. idf: the weight of each term."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], weight: tuple[float, float], blank: float, k: int = 15, eps: float = 0.05):
-        self.term = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.k, self.eps, self.blank = k, eps, blank
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.y = np.array([e[1] for e in examples], float)
-        self.imp = np.array([weight[e[1]] for e in examples], float)
-        self.vectors = [self.vector(e[2]) for e in examples]
-        terms = np.concatenate([t for t, _ in self.vectors]) if examples else np.zeros(0, np.int64)
-        order = np.argsort(terms, kind="stable")
-        self.number = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in self.vectors])[order] if examples else np.zeros(0, np.int32)
-        self.value = np.concatenate([w for _, w in self.vectors])[order] if examples else np.zeros(0)
-        self.start = np.searchsorted(terms[order], np.arange(len(self.term) + 1))
+    """Unit TF-IDF vectors of the examples in blocks, largest weights by term and block, calibrated votes."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: tuple[float, float], blank: float, k: int = 15, eps: float = 0.05):
+        """terms: sorted hashes; counts: of each example, places in terms (ascending) and counts. Examples are in the order that breaks ties."""
+        self.terms, self.idf, self.k, self.eps, self.blank = terms, idf, k, eps, blank
+        vectors = [self._unit(*c) for c in counts]
+        heaviest = np.array([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
+        order = np.lexsort((heaviest, y))  # blocks of one class that share a heavy term have tight bounds
+        self.rank, self.ids, self.y = order, ids[order], y[order].astype(float)
+        self.imp = np.array([weight[int(v)] for v in self.y], float)
+        self.vectors = [vectors[n] for n in order]
+        term = np.concatenate([t for t, _ in self.vectors]) if len(order) else np.zeros(0, np.int64)
+        by = np.argsort(term, kind="stable")
+        self.number = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by]
+        self.value = (np.concatenate([w for _, w in self.vectors])[by] if len(order) else np.zeros(0)).astype(np.float32)
+        term = term[by]
+        self.first = np.searchsorted(term, np.arange(len(terms) + 1))
+        often = np.flatnonzero(np.diff(self.first) * OFTEN > len(order))
+        self.often = np.full(len(terms), -1, np.int32)
+        self.often[often] = np.arange(len(often))
+        self.blocks = -(-len(order) // BLOCK)
+        edges = np.arange(0, (self.blocks + 1) * BLOCK, BLOCK)
+        self.start = np.array([self.first[t] + np.searchsorted(self.number[self.first[t] : self.first[t + 1]], edges) for t in often], np.int32).reshape(-1, self.blocks + 1)
+        self.most = np.zeros((len(often), self.blocks), np.float32)
+        for t, most in zip(often, self.most, strict=True):
+            own = slice(self.first[t], self.first[t + 1])
+            np.maximum.at(most, self.number[own] // BLOCK, self.value[own])
+        self.x = self.p = np.zeros(0)
         self.memo: dict = {}
-        self._calibrate()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": [], "memo": {}}  # scoring reads the postings alone
+        return self.__dict__ | {"memo": {}}
+
+    def _unit(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(count)) * self.idf[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / math.sqrt((w * w).sum()) if len(w) else w
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        own = sorted((self.term[t], c) for t, c in counts.items() if t in self.term)
-        terms = np.array([t for t, _ in own], np.int64)
-        w = (1 + np.log(np.array([c for _, c in own], float))) * self.idf[terms] if own else np.zeros(0)
-        norm = math.sqrt((w * w).sum())
-        return (terms, w / norm) if norm else (terms[:0], w[:0])
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        key, count = counted(text)
+        at = np.searchsorted(self.terms, key)
+        known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == key) if len(self.terms) else at[:0]
+        return self._unit(at[known], count[known])
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, exactly: (numbers, cosines)."""
-        spans = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True))
-        if not spans:
+        if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        number, value = np.concatenate([self.number[i:j] for i, j in spans]), np.concatenate([self.value[i:j] for i, j in spans])
-        score = np.bincount(number, value * np.repeat(w, [j - i for i, j in spans]), len(self.ids))
+        row = self.often[terms]
+        rare, often = row < 0, row[row >= 0]
+        count = self.first[terms[rare] + 1] - self.first[terms[rare]]
+        post = _ranges(self.first[terms[rare]], count)
+        score = np.bincount(self.number[post], np.repeat(w[rare], count) * self.value[post], self.blocks * BLOCK).astype(float)
         if skip >= 0:
             score[skip] = 0
-        floor = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0
-        n = np.flatnonzero((score >= floor) & (score > 0))
-        n = n[np.lexsort((n, -score[n]))[: self.k]]
+        if len(often):
+            bound = (w[~rare] @ self.most[often] + score.reshape(-1, BLOCK).max(1)) * (1 + 1e-6)
+            chosen = np.flatnonzero(bound >= self._floor(score))
+            first, last = (self.start[often[:, None], chosen + k].ravel() for k in (0, 1))
+            post = _ranges(first, last - first)
+            own = np.repeat(np.repeat(w[~rare], len(chosen)), last - first)
+            score = score + np.bincount(self.number[post], own * self.value[post], len(score))
+            if skip >= 0:
+                score[skip] = 0
+        n = np.flatnonzero((score >= self._floor(score)) & (score > 0))
+        n = n[np.lexsort((self.rank[n], -score[n]))[: self.k]]
         return n, score[n]
 
+    def _floor(self, score: np.ndarray) -> float:
+        return np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
+
     def vote(self, n: np.ndarray, s: np.ndarray) -> float:
         w = self.imp[n] / (1 - np.minimum(s, 1) + self.eps)
         return float((w * self.y[n]).sum() / w.sum())
 
-    def _calibrate(self) -> None:
+    def left_out(self, number: int) -> float | None:
+        """The vote on an example by the others."""
+        n, s = self.nearest(*self.vectors[number], skip=number)
+        return self.vote(n, s) if len(n) else None
+
+    def calibrate(self, votes: dict[int, float]) -> None:
+        """votes: of left_out(). From then on votes are mapped to scores, and the examples' vectors are gone."""
         own: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        for k, (terms, w) in enumerate(self.vectors):
-            n, s = self.nearest(terms, w, skip=k)
-            if len(n):
-                cell = own[round(self.vote(n, s), 2)]
-                cell[0] += self.imp[k] * self.y[k]
-                cell[1] += self.imp[k]
+        for k, v in votes.items():
+            cell = own[round(v, 2)]
+            cell[0] += self.imp[k] * self.y[k]
+            cell[1] += self.imp[k]
         pools: list[list[float]] = []
         for x in sorted(own):
             pools.append([own[x][0], own[x][1], x, x])
@@ -95,69 +150,76 @@ class Index:
                 pools[-2:] = [[a[0] + b[0], a[1] + b[1], a[2], b[3]]]
         self.x = np.array([v for p in pools for v in p[2:]])
         self.p = np.array([p[0] / p[1] for p in pools for _ in range(2)])
+        self.vectors = []
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         key = xxhash.xxh3_128_digest(text or "")
-        if key in self.memo:
-            return self.memo[key]
-        counts = Counter(WORD.findall(text.lower())) if text else {}
-        terms, w = self.vector(counts)
-        n, s = self.nearest(terms, w) if len(terms) else (terms, w)
-        out = (float(np.interp(self.vote(n, s), self.x, self.p)) if len(self.x) else self.blank, self.ids[n].tolist()) if len(n) else (self.blank, [])
-        if len(self.memo) > 20_000:
-            self.memo.clear()
-        self.memo[key] = out
-        return out
-
-
-def term_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """a, b: toxic and other examples with each term, of n1 and n0. IDF times FLOOR to about 1, by association with the toxic class."""
-    part = lambda x, n, m: np.where(x > 0, x * np.log(np.maximum(x, 1) * (n1 + n0) / np.maximum(n * m, 1)), 0.0)
-    a, b = a.astype(float), b.astype(float)
-    g = np.maximum(part(a, n1, a + b) + part(b, n0, a + b) + part(n1 - a, n1, n1 + n0 - a - b) + part(n0 - b, n0, n1 + n0 - a - b), 0)
-    more = np.maximum(0, 1 - b * n1 / np.maximum(a * n0, 1e-9))
-    return (np.log((1 + n1 + n0) / (1 + a + b)) + 1) * (FLOOR + g / (g + 8) * more)
+        if key not in self.memo:
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            n, s = self.nearest(*self.vector(text))
+            own = float(np.interp(self.vote(n, s), self.x, self.p)) if len(n) and len(self.x) else self.blank
+            self.memo[key] = own, self.ids[n].tolist()
+        return self.memo[key]
+
+
+def examples(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """docs(doc_id, t), picked(doc_id, y), bounded -> (doc_id, y, digest, terms, counts): a row of words for each row."""
+
+    def run(batches):
+        for b in batches:
+            got = [counted(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["doc_id", "y", "digest", "terms", "counts"])
+
+    rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "t", F.coalesce(F.md5("t"), F.lit("")).alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, y int, digest string, terms binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = 4000, k: int = 15) -> Index:
     """docs(doc_id, text), labels(doc_id, toxic); learn: condition on doc_id of the labels that may be learned from."""
+    kept = lambda key, rate, seed: F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0))) * (1 << 30)
+    sizes = lambda df: {r.y: r["count"] for r in df.groupBy("y").count().collect()}
     pool = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    size = {r.y: r["count"] for r in pool.groupBy("y").count().collect()}
+    size = sizes(pool)
     rate = {y: min(1.0, max_per_class / size[y]) for y in size}
-    limit = F.when(F.col("y") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))
-    picked = pool.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) < limit * (1 << 30))
-    picked = docs.select(F.col("doc_id"), F.col("text").alias("t")).join(F.broadcast(picked), "doc_id")  # bounded by max_per_class
-
-    def terms(batches):
-        for b in batches:
-            out = [(i, y, t, c) for i, y, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "y", "t")), strict=True) for t, c in (Counter(WORD.findall((x or "").lower())) or {"": 0}).items()]
-            yield pa.RecordBatch.from_pylist([{"id": i, "y": y, "t": t, "c": c} for i, y, t, c in out], schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("t", pa.string()), ("c", pa.int32())]))
-
-    rows = picked.mapInArrow(terms, "id long, y int, t string, c int")
-    got = rows.toArrow()  # the words of max_per_class texts of each class
-    own, first, which = np.unique(got.column("id").to_numpy(), return_index=True, return_inverse=True)
-    y = got.column("y").to_numpy()[first]
+    picked = pool.where(kept([F.col("doc_id").cast("string")], rate, 3))
+    found = written(examples(docs.select("doc_id", F.col("text").alias("t")), picked))
+    own = found.dropDuplicates(["doc_id", "digest"])
+    n = sizes(own)
+    again = {y: min(1.0, 1.5 * max_per_class / n[y]) for y in n}  # an id may have any number of texts
+    got = own.where(kept(["doc_id", "digest"], again, 4)).orderBy("doc_id", "digest").toArrow()  # the words of 1.5 max_per_class texts of each class at most
+    discard(found)
+    ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy()
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    none = np.zeros(0, np.uint64)
     if not n1 or not n0:
-        return Index({}, [], (1.0, 1.0), float(bool(n1)), k)
-    coded = got.column("t").combine_chunks().dictionary_encode()
-    words, code, count = coded.dictionary.to_pylist(), coded.indices.to_numpy(), got.column("c").to_numpy()
-    weights = term_weights(*(np.bincount(code[y[which] == v], minlength=len(words)) for v in (1, 0)), n1, n0)
-    idf = {t: x for t, x in zip(words, weights.tolist(), strict=True) if t}
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(len(own) + 1))
-    examples = []
-    for n, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        held: dict[str, int] = defaultdict(int)
-        for t, c in zip(code[order[i:j]].tolist(), count[order[i:j]].tolist(), strict=True):
-            if words[t]:
-                held[words[t]] += c
-        if held:
-            examples.append((int(own[n]), int(y[n]), held))
-    weight = (1 / rate[0], 1 / rate[1])
-    with1, with0 = (sum(e[1] == v for e in examples) for v in (1, 0))
-    blank1, blank0 = (n1 - with1) * weight[1], (n0 - with0) * weight[0]
-    return Index(idf, examples, weight, blank1 / max(blank1 + blank0, 1e-9), k)
+        return Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k)
+    held = [np.frombuffer(x, np.uint64) for x in got.column("terms").to_pylist()]
+    count = [np.frombuffer(x, np.int32) for x in got.column("counts").to_pylist()]
+    terms, at = np.unique(np.concatenate(held), return_inverse=True)
+    owner = np.repeat(y, [len(x) for x in held])
+    idf = delta_idf(*(np.bincount(at[owner == v], minlength=len(terms)) for v in (1, 0)), n1, n0)
+    places = np.split(at, np.cumsum([len(x) for x in held])[:-1])
+    weight = tuple(1 / (rate[v] * again[v]) for v in (0, 1))
+    useful = [n for n, p in enumerate(places) if (idf[p] > 0).any()]
+    blank = [weight[v] * ((y == v).sum() - (y[useful] == v).sum()) for v in (0, 1)]
+    index = Index(terms, idf, ids[useful], y[useful], [(places[n], count[n]) for n in useful], weight, float(blank[1] / max(sum(blank), 1e-9)), k)
+    index.calibrate(_left_out(docs, index))
+    return index
+
+
+def _left_out(docs: DataFrame, index: Index) -> dict[int, float]:
+    spark, n = docs.sparkSession, len(index.ids)
+    shared, key = spark.sparkContext.broadcast(index), uuid.uuid4().hex
+
+    def run(batches):
+        own = once(("left out", key), lambda: shared.value)
+        for b in batches:
+            votes = [own.left_out(k) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["k", "v"])
+
+    got = spark.range(0, n, 1, -(-n // 256) or 1).mapInArrow(run, "k long, v double").toArrow()  # a number for each example
+    return {k: v for k, v in zip(*(got.column(c).to_pylist() for c in "kv"), strict=True) if v is not None}
 
 
 def with_scores(docs: DataFrame, index: Index, text_col: str = "text", name: str = "_toxicity") -> DataFrame:
