@@ -32,6 +32,9 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
+    if not hasattr(spark, "_foliant_tables"):
+        spark._foliant_tables = set()
+    spark._foliant_tables.add(path)
     return out
 
 
@@ -60,12 +63,22 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._foliant_tables.discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by written() that no result needs any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._foliant_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._foliant_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that written() made in this session; results that were not stored yet are lost with them."""
+    for path in list(getattr(spark, "_foliant_tables", ())):
+        _delete(spark, path)
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:

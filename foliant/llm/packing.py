@@ -1,7 +1,7 @@
 """Operator 4: packing by first-fit decreasing with a tournament tree of bin capacities, in randomised groups.
 
-A document's ids (and the end id) are cut into full windows and one rest. Pieces are dealt at random (a hash of the
-input partition and position, not of any value) to groups of about ``group_pieces``; each group is packed by itself, so
+A document's ids (and the end id) are cut into full windows and one rest. Pieces are dealt at random (a hash of the row's place in
+its file and of the piece's start, so however the scan is cut into tasks the packing is the same) to groups of about ``group_pieces``; each group is packed by itself, so
 the memory of a task is bounded whatever the input, and one shuffle carries a few numbers per piece, never ids.
 The tree holds the free room of every bin: its root path finds the first bin with room in O(log bins).
 
@@ -9,7 +9,7 @@ Rooms are ``window`` tokens. What is left of a group's rests meets bins that are
 window per group. Sequence ids are the group's number times 2^32 plus the bin's number.
 
 Defined cases: null text is an empty text (the end id alone); empty input gives no rows; texts of any length are read
-whole; repeated rows and null ids are packed as documents of their own; columns other than those named are not read.
+whole; pieces of equal length are packed in the order of their rows' keys; repeated rows and null ids are packed as documents of their own; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -22,33 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, stored, unused, with_row_key
 
 WINDOW = 4096
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 2) -> DataFrame:
-    """One row per piece; draw is a running number that the random grouping hashes."""
+    """One row per piece; row is the key of its document's row, see with_row_key()."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from .tokens import WordTokenizer
 
         own = once(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer))
-        n = 0
         for b in (x.slice(k, 512) for x in batches for k in range(0, len(x), 512)):
             out = []
-            for i, found in zip(b.column(0).to_pylist(), own.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for i, row, found in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), own.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids = np.append(found, np.array([end_id], "<u4"))
                 for k in range(0, len(ids), window):
                     cut = ids[k : k + window]
-                    out.append((i, k, len(cut), zlib.crc32(cut.tobytes()), len(ids), n))
-                    n += 1
+                    out.append((i, k, len(cut), zlib.crc32(cut.tobytes()), len(ids), row))
             columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
+    row = unused(docs, "_row")
+    return with_row_key(docs, row).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.col(row)).mapInArrow(run, PIECES)
 
 
 def first_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +77,15 @@ def first_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 2, group_pieces: int = 8192, seed: int = 11) -> DataFrame:
     """-> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece."""
+    docs = stored(docs)
     groups = max(1, -(-docs.count() // group_pieces))
-    group = F.pmod(F.xxhash64(F.spark_partition_id(), "draw", F.lit(seed)), F.lit(groups))
+    group = F.pmod(F.xxhash64("row", "start", F.lit(seed)), F.lit(groups))
 
     def run(part: pa.Table) -> pa.Table:
         number = part.column("grp")[0].as_py()
-        part = part.sort_by([("draw", "ascending"), ("ids_crc32", "ascending")])
+        part = part.sort_by([("row", "ascending"), ("start", "ascending")])
         bins, offsets = first_fit_decreasing(part.column("length").to_numpy(), window)
-        return part.drop_columns(["draw", "grp"]).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offsets))
+        return part.drop_columns(["row", "grp"]).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offsets))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return pieces(docs, tokenizer, id_col, text_col, window, end_id).withColumn("grp", group).groupBy("grp").applyInArrow(run, schema)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import matches, pieces
 from .common import unused, with_row_key, written
 
 #: Fixed patterns of the base kinds, in their order: (kind, pattern, group of the value, least length of the value).
@@ -29,19 +30,42 @@ BASE = (
 FURTHER = ("generic", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 
 
+KIND = "array<struct<start:int,number:int,kind:string,stop:int,value:string>>"
+HIDDEN = "\x01"
+
+
 def spans(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, number, kind, stop, value>> of the leftmost non-overlapping matches whose value is long enough."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,kind:string,stop:int,value:string>>").alias("out"))
+    value = lambda x: x[f"g{group}"] if group else x.m
+    one = lambda x: F.struct(x.start.alias("start"), F.lit(number).alias("number"), F.lit(kind).alias("kind"), x.stop.alias("stop"), value(x).alias("value"))
+    return F.transform(F.filter(matches(text, pattern, group), lambda x: F.length(value(x)) >= least), one)
+
+
+def untouched(text: Column) -> Column:
+    """array<boolean>: of each match of FURTHER, whether no base span overlaps it; in time proportional to the text.
+
+    The base matches' characters that FURTHER may hold are hidden, one for one, so the runs stay the same runs, and one that
+    a base span touches holds a hidden character. A base match whose value is too short hides nothing.
+    """
+    plain = F.translate(text, HIDDEN, "\x02")
+    run = FURTHER[1].replace("[", "[" + HIDDEN, 1)
+    out = None
+    for _, pattern, group, least in BASE:
+        runs = F.regexp_extract_all(_masked(plain, pattern, group, least), F.lit(run), F.lit(0))
+        clean = F.transform(runs, lambda r: ~r.contains(HIDDEN))
+        out = clean if out is None else F.zip_with(out, clean, lambda a, b: a & b)
+    return out
+
+
+def _masked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """text with the characters hidden that matches of the pattern with a value of least characters share with FURTHER."""
+    one = FURTHER[1].split("{")[0]
 
-    def add(acc, x):
-        begin = acc.at + F.length(x["p"])
-        stop = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), F.lit(number).alias("number"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
-        return F.struct(F.coalesce(stop, acc.at).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc.out, F.array(one))).otherwise(acc.out).alias("out"))
+    def of(x):
+        value = x[f"g{group}"] if group else x.m
+        return F.concat(x["p"], F.coalesce(F.when(F.length(value) >= least, F.regexp_replace(x.m, one, HIDDEN)).otherwise(x.m), F.lit("")))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, add, lambda acc: acc.out)).otherwise(start.out)
+    return F.array_join(F.transform(pieces(text, pattern, group), of), "")
 
 
 def _text(of: Column) -> Column:
@@ -54,9 +78,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     picked = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols)).alias("repo"), text.alias("t"))
     base = F.concat(*(spans(F.col("t"), k, *b) for k, b in enumerate(BASE)))
     mixed = lambda x: x.value.rlike("[0-9]") & x.value.rlike("[a-z]") & x.value.rlike("[A-Z]")
-    more = F.filter(spans(F.col("t"), len(BASE), *FURTHER), mixed)
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda y: (y.start < x.stop) & (x.start < y.stop)))
-    return picked.withColumn("base", base).withColumn("more", more).select("row", "doc_id", "owner", "repo", "base", apart.alias("more"))
+    picked = picked.withColumn("base", base).withColumn("more", spans(F.col("t"), len(BASE), *FURTHER))
+    apart = F.filter(F.zip_with("more", untouched(F.col("t")), lambda x, ok: F.when(ok & mixed(x), x)), lambda x: x.isNotNull())
+    more = F.when(F.size("more") == 0, F.col("more")).when(F.size("base") == 0, F.filter("more", mixed)).otherwise(apart)
+    return picked.select("row", "doc_id", "owner", "repo", "base", more.alias("more"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:

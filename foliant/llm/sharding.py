@@ -7,10 +7,11 @@ histograms: every pass counts bytes of all open nodes in ``BINS`` bins at once (
 combining), so a level costs a few jobs however many nodes it has, and nothing but histograms reaches the driver.
 
 Only ids, sizes and digests are carried; texts are never shuffled. A group larger than a shard stays whole, and its shard is
-that much larger. Slots come from counts of hash buckets, so no task numbers a whole shard.
+that much larger. A group with many rows is broadcast to them. Slots come from counts of hash buckets of rows, so no task numbers a whole shard.
 
 Defined cases: null text has size 1 (no bytes plus 1), crc32 0, and nulls are one group; empty input gives no rows;
-null metadata is the least value; repeated rows are rows of one group; columns other than those named are not read.
+null metadata counts as an empty string, of a repeated text the least value counts; repeated rows are rows of one group, told apart by their place
+in the table; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, join_counted, stored, unused, with_row_key, written
 
 BINS = 512
 SPAN = 1 << 40  # a coordinate: 24 bits of the value's place, 16 bits of hash
@@ -128,27 +130,28 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """-> (doc_id, size, text_crc32, law, shard, slot, grown_shard); shards of near-equal bytes, equal texts together."""
     text = F.col(text_col)
     digest = F.coalesce(F.md5(text), F.lit("null"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), digest.alias("grp"), *(F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"m{k}") for k, m in enumerate(metadata)))
+    docs = stored(docs)
+    key = unused(docs, "_row")
+    rows = with_row_key(docs, key).select(F.xxhash64(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), digest.alias("grp"), *(F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"m{k}") for k, m in enumerate(metadata)))
     rows = written(rows)
     unit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)) / float(1 << 24)  # noqa: E731  a category's coordinate
     scale = rows.agg(F.max(F.log("size")), F.max("doc_id"), F.min("doc_id"), F.count("*")).first()
     top, last, first, n = scale[0] or 1.0, scale[1] or 0, scale[2] or 0, scale[3]
     dims = ["d_size", "d_id", *(f"d{k}" for k in range(len(metadata)))]
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("weight"), F.xxhash64("grp").alias("tie"), (F.log(F.max("size")) / max(top, 1e-9)).alias("d_size"), F.coalesce((F.min("doc_id") - first) / float(max(last - first, 1)), F.lit(0.0)).alias("d_id"), *(unit(F.min(f"m{k}")).alias(f"d{k}") for k in range(len(metadata))))
+    groups = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.xxhash64("grp").alias("tie"), (F.log(F.max("size")) / max(top, 1e-9)).alias("d_size"), F.coalesce((F.min("doc_id") - first) / float(max(last - first, 1)), F.lit(0.0)).alias("d_id"), *(unit(F.min(f"m{k}")).alias(f"d{k}") for k in range(len(metadata))))
     groups = written(groups)
     nodes, node = kd_leaves(groups, dims, shards)
     number = F.lit(0)
     for k, x in nodes.items():
         if not x.children:
             number = F.when(F.col("node") == k, F.lit(x.first)).otherwise(number)
-    placed = groups.withColumn("node", node).select("grp", number.alias("shard"))
-    dealt = rows.join(placed, "grp").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(5)), F.lit(max(1, -(-n // slot_rows)))).cast("int")).select("doc_id", "size", "text_crc32", "shard", "bucket")
+    placed = groups.withColumn("node", node).select("grp", "n", number.alias("shard"))
+    bucket = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(max(1, -(-n // slot_rows)))).cast("int")
+    dealt = join_counted(rows, placed, "grp", "n").select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket"), "row")
     dealt = written(dealt)
-    from pyspark.sql import Window as W
-
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
+    inside = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     out = dealt.withColumn("k", inside).join(before, ["shard", "bucket"])
     discard(groups, rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,16 +1,17 @@
 """Operator 9: URL filters by association rules over URL tokens, beside an explicit rule list.
 
 A URL's tokens are its host labels, top-level domain, path segments (numbers alike), file endings and query keys, all of them. Token
-sets are mined from a bounded sample of labelled URLs (about ``max_labelled``), level by level: tokens that always occur together count
-as one, a set that covers the same URLs as a part of it is not extended, nor one that always means block, so a host whose URLs
-share many tokens gives one rule and not all subsets. Rules that conclude ``block`` and pass support, confidence and lift are all kept,
-but where a part of their tokens is a rule of at least the same confidence. They are matched through an inverted index: each lies under its
-rarest token, and a URL visits the rules under its own tokens. Judging is map-only and reads the URL column alone.
+sets are mined by Spark's FP-growth from a bounded sample of labelled URLs (about ``max_labelled``): the frequent sets of the blocked ones, whose
+confidence is then counted among all. Tokens that always occur together count as one, and tokens that always or hardly ever mean
+block are no part of larger sets, so a host whose URLs share many tokens gives one rule and not all subsets. Rules that conclude
+``block`` and pass support, confidence and lift are all kept, but where a part of their tokens is a rule of at least the same
+confidence. They are matched through an inverted index: each lies under its rarest token, and a URL visits the rules under its own
+tokens. Judging is map-only and reads the URL column alone.
 
 The list: a rule (host, path) fits its host and all subdomains if the path starts with the rule's; the longest wins.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens and the verdict allow; no labels: no
-mined rules; repeated rows are judged alike; equal rules keep the first; columns other than those named are not read.
+mined rules; URLs of any length are judged whole; repeated rows are judged alike; equal rules keep the first; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import once
@@ -102,7 +104,7 @@ class RuleIndex:
         return max((c for x in have for t, c in self.under.get(x, ()) if t <= have), default=0.0)
 
 
-def minimal_rules(rows: list[tuple[list[str], bool]], least: int, min_confidence: float) -> RuleIndex:
+def minimal_rules(spark: SparkSession, rows: list[tuple[list[str], bool]], least: int, min_confidence: float) -> RuleIndex:
     """Rules of the tokens of rows (tokens, block) that hold for at least ``least`` blocked rows, with lift over 1."""
     n, blocked = len(rows), sum(b for _, b in rows)
     places: dict[str, list[int]] = defaultdict(list)
@@ -120,38 +122,40 @@ def minimal_rules(rows: list[tuple[list[str], bool]], least: int, min_confidence
     held = lambda x: int(np.bitwise_count(x).sum())
     by_cover: dict[tuple[int, ...], str] = {}
     same: dict[str, str] = {}
-    level: dict[tuple[str, ...], tuple[np.ndarray, int]] = {}
+    rules, covers = [], {}
     for x in sorted(places):
         if least <= len(places[x]) < n:
             first = by_cover.setdefault(tuple(places[x]), x)
+            cover = packed(places[x])
+            hits = held(cover & bad)
             if first != x:
                 same[x] = first
-            elif held((cover := packed(places[x])) & bad) >= least:
-                level[x,] = cover, len(places[x])
+            elif hits >= least:
+                if hits >= min_confidence * len(places[x]) and hits * n > blocked * len(places[x]):
+                    rules.append((frozenset([x]), hits / len(places[x]), hits / n))
+                if hits < len(places[x]):
+                    covers[x] = cover
     by_cover.clear()
-    rules, singles = [], {k[0]: v[0] for k, v in level.items()}
-    while level:
-        open_ = {}
-        for key, (cover, count) in level.items():
-            hits = held(cover & bad)
-            if hits >= min_confidence * count and hits * n > blocked * count:
-                rules.append((frozenset(key), hits / count, hits / n))
-            if hits < count:
-                open_[key] = cover, count
-        level, tails = {}, defaultdict(list)
-        for key in open_:
-            tails[key[:-1]].append(key[-1])
-        for head, ends in tails.items():
-            ends.sort()
-            for i, x in enumerate(ends):
-                for y in ends[i + 1 :]:
-                    key = (*head, x, y)
-                    parts = [open_.get(key[:k] + key[k + 1 :]) for k in range(len(key))]
-                    if all(parts):
-                        cover = open_[(*head, x)][0] & singles[y]
-                        if held(cover & bad) >= least and (count := held(cover)) < min(c for _, c in parts):
-                            level[key] = cover, count
-    return RuleIndex(rules, same)
+    baskets = [(own,) for t, b in rows if b and len(own := [x for x in t if x in covers]) > 1]
+    if len(baskets) < least:
+        return RuleIndex(rules, same)
+    shared, key = spark.sparkContext.broadcast((covers, bad)), uuid.uuid4().hex
+
+    def passing(batches):
+        cover_of, bad = once(("covers", key), lambda: shared.value)
+        for b in batches:
+            out = []
+            for t, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                count = held(np.bitwise_and.reduce([cover_of[x] for x in t]))
+                if hits >= min_confidence * count and hits * n > blocked * count:
+                    out.append((t, hits / count, hits / n))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.string()), pa.float64(), pa.float64()), strict=True)], names=["items", "confidence", "support"])
+
+    frame = spark.createDataFrame(baskets, "items array<string>")
+    sets = FPGrowth(itemsCol="items", minSupport=least / len(baskets)).fit(frame).freqItemsets
+    found = sets.where((F.size("items") > 1) & (F.col("freq") >= least)).mapInArrow(passing, "items array<string>, confidence double, support double")
+    return RuleIndex(rules + [(frozenset(r["items"]), r.confidence, r.support) for r in found.collect()], same)
 
 
 def mine(urls: DataFrame, min_support: float = 0.002, least_pages: int = 20, min_confidence: float = 0.6, max_labelled: int = 50_000) -> RuleIndex:
@@ -160,10 +164,11 @@ def mine(urls: DataFrame, min_support: float = 0.002, least_pages: int = 20, min
     if not n:
         return RuleIndex([])
     rate = min(1.0, max_labelled / n)
-    picked = urls.where(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("url", "block").toArrow()
+    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(9))  # any URL may be that of most rows
+    picked = urls.where(F.pmod(place, F.lit(1 << 30)) < int(rate * (1 << 30))).select("url", "block").toArrow()
     rows = [(tokens(u), bool(b)) for u, b in zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True)]
     share = min(1.0, max(min_support, least_pages / max(1, n * rate)))
-    return minimal_rules(rows, max(1, math.ceil(share * len(rows))), min_confidence)
+    return minimal_rules(urls.sparkSession, rows, max(1, math.ceil(share * len(rows))), min_confidence)
 
 
 def judge(pages: DataFrame, index: RuleIndex, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
