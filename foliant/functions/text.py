@@ -78,5 +78,5 @@ def matches(t: Column, pattern: str, groups: int = 0) -> Column:
     return F.when(t.rlike(pattern), found).otherwise(none)
 
 
-def short_id(seed: Column) -> Column:
+def short_id(seed: Column | str) -> Column:
     return F.substring(F.sha2(seed, 256), 1, 12)

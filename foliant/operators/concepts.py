@@ -1,13 +1,12 @@
 """Key concepts of chapters: ten extraction steps, merged, counted, scored and ranked.
 
-Steps are array expressions inside the row. Rows are made for the merge (one aggregate by chapter and key) and, only for chapters
-that the first steps leave short, for bigram counts.
+Everything is an array expression inside the row, from the text to the ranked list: nothing is shuffled, and rows with equal ids stay
+apart. Merging and bigram counting sort an array and cut it into runs of equal keys, so they cost n log n in the findings of a text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import groups, let, occurrences, pieces, strip, tokens
@@ -24,11 +23,18 @@ HYPHENATED = r"\b([a-z]+-[a-z]+(?:-[a-z]+)?)\b"
 LISTED = r"(?md)(?:^[-*•]\s+|\d+\.\s+)(?:\*\*(.+?)\*\*|__(.+?)__)\s*[:—–\-]+\s*(.+?)$"
 BLOCK = r"(?sid)(?:^|\n)\s*\*?\*?(Theorem|Lemma|Definition|Corollary|Proposition|Axiom|Conjecture)\s*[\d.]*\*?\*?\s*[:(.\-]\s*(.+?)(?=\n\s*\*?\*?(?:Theorem|Lemma|Definition|Corollary|Proposition|Axiom|Conjecture|Proof|$)|\n\n)"
 FIRST_USE = r"\b((?:[A-Z][a-z]{2,}(?:\s+|-)){1,3}[A-Z][a-z]{2,})\b"
-NOISE = tuple(
-    "the and for that this with from are was were been have has had will would could should may might can not but also which when where who what how why all each every some any most more less very "
-    "just only then than into over such other figure table chapter section page example note see however therefore thus hence".split()
+NOISE = (
+    "the", "and", "for", "that", "this", "with", "from", "are", "was", "were", "been", "have", "has", "had", "will", "would", "could", "should",
+    "may", "might", "can", "not", "but", "also", "which", "when", "where", "who", "what", "how", "why", "all", "each", "every", "some", "any", "most",
+    "more", "less", "very", "just", "only", "then", "than", "into", "over", "such", "other", "figure", "table", "chapter", "section", "page",
+    "example", "note", "see", "however", "therefore", "thus", "hence",
+)
+FIRST_USE_NOISE = (
+    "the", "and", "for", "that", "this", "with", "from", "are", "was", "were", "been", "have", "has", "had", "will", "would", "could", "should",
+    "may", "might", "can", "not", "but", "also", "which", "when", "where", "who", "what", "how", "why", "all", "each", "every", "some", "any", "most",
+    "more", "less", "very", "just", "only", "then", "than", "into", "over", "such", "other", "figure", "table", "chapter", "section", "page",
+    "example", "note", "see", "however", "therefore", "thus", "hence", "these", "those", "many",
 )
-FIRST_USE_NOISE = (*NOISE, "these", "those", "many")
 COMMON_PHRASES = ("can be", "such as", "used to", "based on", "in order", "as well", "due to", "need to", "able to", "want to", "how to")
 COMMON_ACRONYMS = ("IT", "OR", "IF", "IS", "AS", "IN", "ON", "TO")
 
@@ -120,21 +126,26 @@ def first_uses(t: Column, have: Column) -> Column:
     return F.slice(let(fresh, once), 1, 10)
 
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """rows(id, t, have) -> (id, found): the top 40 new word pairs seen twice or more, most frequent first, ties by first place."""
-    words = F.transform(F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)), F.lower)
-    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(~a.isin(*NOISE) & ~b.isin(*NOISE), F.concat(a, F.lit(" "), b)))
-    each = rows.withColumn("w", words).select("id", F.posexplode(pairs).alias("at", "b")).where(F.length("b") > 5)
-    counts = each.groupBy("id", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "at"))).where("r <= 40 and n >= 2").where(~F.col("b").isin(*COMMON_PHRASES))
-    name = F.initcap("b")
-    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", _one(name, F.lit(""), "tfidf").alias("c")))).alias("x")).select("id", F.transform("x", lambda x: x.c).alias("found"))
+def runs(a: Column) -> Column:
+    """array<array<x>>: the runs of equal key in an array that is sorted by key."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i).key != F.get(s, i - 1).key))
+    cut = lambda s: let(starts(s), lambda b: F.transform(b, lambda i, k: F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i)))
+    return let(a, lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.array()))
+
+
+def bigrams(t: Column) -> Column:
+    """The top 40 word pairs seen twice or more, most frequent first, ties by first place."""
+    words = F.transform(F.regexp_extract_all(t, F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)), F.lower)
+    pair = lambda a, b: F.when(~a.isin(*NOISE) & ~b.isin(*NOISE), F.concat(a, F.lit(" "), b))
+    pairs = let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), pair))
+    placed = F.filter(F.transform(pairs, lambda b, k: F.struct(b.alias("key"), k.alias("at"))), lambda x: F.length(x.key) > 5)
+    counted = F.transform(F.filter(runs(F.array_sort(placed)), lambda r: F.size(r) >= 2), lambda r: F.struct((-F.size(r)).alias("n"), r[0]["at"].alias("at"), r[0].key.alias("key")))
+    kept = F.filter(F.slice(F.array_sort(counted), 1, 40), lambda x: ~x.key.isin(*COMMON_PHRASES))
+    return F.transform(kept, lambda x: _one(F.initcap(x.key), F.lit(""), "tfidf"))
 
 
-def candidates(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, t, c): all steps' findings in the order of their priority; later steps only for chapters with few so far."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = F.col("t")
+def candidates(t: Column) -> Column:
+    """All steps' findings in the order of their priority; later steps only for texts with few so far."""
     keys = lambda a: F.array_distinct(F.transform(a, lambda x: x.key))
     few = lambda c, n: F.size(keys(c)) < n
     # every stage names the one before once, so a filter on the result holds one copy of it
@@ -142,30 +153,61 @@ def candidates(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     c = F.concat(bold(t), definitions(t), parentheticals(t), expansions(t))
     c = let(c, lambda c: F.concat(c, fresh(c, acronyms(t)), list_definitions(t), heading_terms(t), hyphenated(t)))
     c = let(c, lambda c: F.when(few(c, 5), F.concat(c, theorem_blocks(t))).otherwise(c))
-    rows = rows.withColumn("c", c)
-    short = rows.where(few(F.col("c"), 5))
-    rows = rows.join(bigrams(short.select("id", "t")), "id", "left")
-    c = let(F.col("c"), lambda c: F.concat(c, fresh(c, F.coalesce("found", F.array().cast(CANDIDATE)))))
-    c = let(c, lambda c: F.when(few(c, 3), F.concat(c, let(keys(c), lambda k: first_uses(t, k)))).otherwise(c))
-    return rows.select("id", "t", c.alias("c"))
+    c = let(c, lambda c: F.when(few(c, 5), F.concat(c, fresh(c, bigrams(t)))).otherwise(c))
+    return let(c, lambda c: F.when(few(c, 3), F.concat(c, let(keys(c), lambda k: first_uses(t, k)))).otherwise(c))
+
+
+def merged(c: Column) -> Column:
+    """Findings of equal key as one, ordered by key: array<struct<key, seq, name, definition, sources>>, the first name and the first definition."""
+    placed = F.array_sort(F.transform(c, lambda x, k: F.struct(x.key.alias("key"), k.alias("seq"), x["name"].alias("name"), x["def"].alias("def"), x["source"].alias("source"))))
+
+    def one(r):
+        said = F.get(F.filter(r, lambda x: x["def"] != ""), F.lit(0))["def"]
+        return F.struct(r[0].key.alias("key"), r[0].seq.alias("seq"), r[0]["name"].alias("name"), F.coalesce(said, F.lit("")).alias("definition"), F.array_sort(F.array_distinct(F.transform(r, lambda x: x["source"]))).alias("sources"))
+
+    return F.transform(runs(placed), one)
+
+
+def _scored(x: Column, low_text: Column, words: Column) -> Column:
+    """A merged concept with mentions, importance and, first, what it is ranked by. words: the text's tokens, each between two spaces."""
+    low = F.lower(x["name"])
+    single = ~(low.contains(" ") | low.contains("-"))
+    mentions = F.when(single, occurrences(words, F.concat(F.lit(" "), low, F.lit(" ")))).otherwise(occurrences(low_text, low))
+
+    def of(m):
+        has = lambda s: F.array_contains(x.sources, s)
+        points = lambda c, n: F.when(c, n).otherwise(0)
+        n = F.size(x.sources)
+        score = points(has("heading"), 3) + points(has("bold"), 2) + points(has("definition") | has("list_definition"), 2) + points(has("acronym"), 1) + points(x.definition != "", 1)
+        score = score + F.when(m >= 10, 2).when(m >= 5, 1).otherwise(0) + F.when(n >= 3, 2).when(n >= 2, 1).otherwise(0)
+        order = F.when(score >= 5, 0).when(score >= 3, 1).otherwise(2)
+        return F.struct(order.alias("order"), (-m).alias("less"), x.seq.alias("seq"), x.key.alias("key"), x["name"].alias("name"), x.definition.alias("definition"), x.sources.alias("sources"), F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low").alias("importance"), m.alias("mentions"))
+
+    return let(mentions, of)
+
+
+FIELDS = ("key", "name", "definition", "sources", "importance", "mentions")
+
+
+def ranked(t: Column) -> Column:
+    """A text's concepts, the most important first: array<struct<key, name, definition, sources, importance, mentions>>."""
+    words = F.concat(F.lit(" "), F.array_join(tokens(t), "  "), F.lit(" "))
+    found = let(F.lower(t), lambda low: let(words, lambda w: F.transform(merged(candidates(t)), lambda x: _scored(x, low, w))))
+    return F.transform(F.array_sort(found), lambda x: F.struct(*(x[f].alias(f) for f in FIELDS)))
+
+
+def with_concepts(docs: DataFrame, text_col: str = "text", name: str = "concepts") -> DataFrame:
+    """docs and the ranked concepts of each text, computed once a row."""
+    return docs.withColumn(name, let(F.coalesce(F.col(text_col), F.lit("")), ranked))
 
 
 def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, rank, key, name, definition, sources, importance, mentions)."""
-    rows = candidates(docs, id_col, text_col)
-    each = rows.select("id", F.posexplode("c").alias("seq", "x"))
-    merged = each.groupBy("id", F.col("x.key").alias("key")).agg(F.min("seq").alias("seq"), F.min_by("x.name", "seq").alias("name"), F.coalesce(F.min_by(F.col("x.def"), F.when(F.col("x.def") != "", F.col("seq"))), F.lit("")).alias("definition"), F.array_sort(F.collect_set("x.source")).alias("sources"))
-    low, w = F.lower("name"), F.col("words")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("words", tokens(F.col("t")))
-    single = ~(low.contains(" ") | low.contains("-"))
-    counted = merged.join(texts, "id").withColumn("mentions", F.when(single, F.size(F.filter(w, lambda x: x == low))).otherwise(occurrences(F.lower("t"), low))).drop("t", "words")
-    has = lambda s: F.array_contains("sources", s)
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    n = F.size("sources")
-    score = points(has("heading"), 3) + points(has("bold"), 2) + points(has("definition") | has("list_definition"), 2) + points(has("acronym"), 1) + points(F.col("definition") != "", 1)
-    score = score + F.when(F.col("mentions") >= 10, 2).when(F.col("mentions") >= 5, 1).otherwise(0) + F.when(n >= 3, 2).when(n >= 2, 1).otherwise(0)
-    band = F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")
-    order = F.when(F.col("importance") == "high", 0).when(F.col("importance") == "medium", 1).otherwise(2)
-    out = counted.withColumn("importance", band)
-    rank = F.row_number().over(W.partitionBy("id").orderBy(order, F.desc("mentions"), "seq"))
-    return out.select("id", rank.alias("rank"), "key", "name", "definition", "sources", "importance", "mentions")
+    rows = with_concepts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "c")
+    return rows.select("id", F.posexplode("c").alias("at", "x")).select("id", (F.col("at") + 1).alias("rank"), *(F.col(f"x.{f}").alias(f) for f in FIELDS))
+
+
+def storable(concepts: DataFrame, least: str = "medium") -> DataFrame:
+    """extract()'s rows of at least that importance, as chapters keep them."""
+    bands = ("high", "medium", "low")
+    return concepts.where(F.col("importance").isin(*bands[: bands.index(least) + 1]))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs, strip, word_count
-from .structure import sections
+from ..functions.text import let, paragraphs, strip, word_count
+from .structure import section_list
 
 # Marker families. (?i) is ASCII-only in Java.
 DISPLAY_MATH = r"(?s)\$\$.+?\$\$"
@@ -22,6 +24,7 @@ BOLD = r"\*\*[^*]+\*\*"
 LIST = r"(?md)^\s*[-*•]\s+|^\s*\d+\.\s+"
 
 COUNTS = (("display_math", DISPLAY_MATH), ("inline_math", INLINE_MATH), ("code", CODE), ("example", EXAMPLE), ("comparison", COMPARISON), ("algorithm", ALGORITHM), ("definition", DEFINITION), ("bold", BOLD), ("list", LIST), ("proof", PROOF), ("problem", PROBLEM))
+NAMES = ("word_count", "para_count", "math_per_para", "display_math_count", "inline_math_count", "code_per_para", "code_count", "example_ratio", "example_count", "comparison_ratio", "comparison_count", "algorithm_ratio", "definition_ratio", "definition_count", "bold_ratio", "bold_count", "list_ratio", "list_count", "proof_ratio", "proof_count", "problem_ratio", "problem_count")
 #: Labels in their order of declaration, which breaks ties.
 LABELS = ("concept-dense", "math-heavy", "example-rich", "implementation-focused", "comparison", "proof-heavy", "problem-set", "introductory")
 
@@ -48,9 +51,8 @@ def _steps(*rules: tuple[Column, float]) -> Column:
     return out
 
 
-def labels() -> Column:
-    """Ranked labels of a row that has the statistics as columns."""
-    c = F.col
+def labels(c: Callable[[str], Column] = F.col) -> Column:
+    """Ranked labels from the statistics, which c gives by name: columns of the row, or fields of a struct."""
     ratios = [c(f"{k}_ratio") for k in ("example", "comparison", "algorithm", "definition", "bold", "list", "proof", "problem")]
     score = {
         "concept-dense": _steps((c("definition_ratio") >= 0.3, 2.0)) + _steps((c("bold_ratio") >= 0.5, 2.0), (c("bold_ratio") >= 0.2, 1.0)),
@@ -74,12 +76,22 @@ def analyze(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     return rows.withColumn("types", labels())
 
 
+def section_stats(t: Column, sections: Column) -> Column:
+    """array<struct<ord, title, statistics, types>> of top sections and their children, 20 words or more; a short parent hides its children."""
+    parent = lambda x: F.get(sections, x.parent_ord)
+    long = lambda x: x.word_count >= 20
+    shown = lambda x: long(x) & (x.parent_ord.isNull() | (F.when(x.parent_ord.isNotNull(), parent(x).parent_ord.isNull() & long(parent(x)))))
+
+    def one(x):
+        piece = F.substring(t, x.start + 1, x.end - x.start)
+        numbers = let(piece, lambda p: F.struct(*(v.alias(k) for k, v in stats(p).items())))
+        return let(numbers, lambda n: F.struct(x.ord.alias("ord"), x.title.alias("title"), *(n[k].alias(k) for k in NAMES), labels(lambda k: n[k]).alias("types")))
+
+    return F.transform(F.filter(sections, shown), one)
+
+
 def by_section(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ord, title, statistics, types) of top sections and their children, 20 words or more; a short parent hides its children."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    s = sections(docs, id_col, text_col)
-    up = s.where("parent_ord is null").select("id", F.col("ord").alias("parent_ord"), F.col("word_count").alias("up"))
-    kept = s.join(up, ["id", "parent_ord"], "left").where("word_count >= 20 and (parent_ord is null or up >= 20)")
-    piece = F.substring("t", F.col("start") + 1, F.col("end") - F.col("start"))
-    rows = kept.select("id", "ord", "title", "start", "end").join(texts, "id").select("id", "ord", "title", piece.alias("t"))
-    return rows.select("id", "ord", "title", *(v.alias(k) for k, v in stats(F.col("t")).items())).withColumn("types", labels())
+    """(id, ord, title, statistics, types), see section_stats(); sections are cut in the row, texts are never shuffled."""
+    found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: let(section_list(t), lambda s: section_stats(t, s)))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("x"))
+    return rows.select("id", *(F.col(f"x.{k}").alias(k) for k in ("ord", "title", *NAMES, "types")))

@@ -39,18 +39,24 @@ def variables(t: Column, start: Column, end: Column) -> Column:
     return F.concat(defined, F.transform(F.regexp_extract_all(window, F.lit(QUANTIFIER), F.lit(1)), lambda s: F.struct(strip(s).alias("symbol"), F.lit("quantified variable").alias("meaning"))))
 
 
-def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ord, latex, type, context_before, context_after, variables, position); display before inline, first of equal bodies."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+FORMULA = ("latex", "type", "context_before", "context_after", "variables", "position")
+
+
+def formula_list(t: Column) -> Column:
+    """array<struct<latex, type, context_before, context_after, variables, position>>; display before inline, first of equal bodies."""
     one = lambda x, mark, kind: F.struct(F.concat(F.lit(mark), strip(x.g1), F.lit(mark)).alias("latex"), F.lit(kind).alias("type"), x.start.alias("position"), x.stop.alias("stop"))
     body = lambda x: strip(x.g1)
     shown = lambda d: F.transform(F.filter(d, lambda x: (F.length(body(x)) >= 2) & ~body(x).rlike(TRIVIAL)), lambda x: one(x, "$$", "display"))
-    telling = F.filter(matches(F.col("t"), INLINE, 1), lambda x: (F.length(body(x)) >= 3) & body(x).rlike(SIGNIFICANT))
+    telling = F.filter(matches(t, INLINE, 1), lambda x: (F.length(body(x)) >= 3) & body(x).rlike(SIGNIFICANT))
     inline = lambda d: F.transform(F.filter(telling, lambda x: ~F.exists(d, lambda y: (y.start <= x.start) & (x.start < y.stop))), lambda x: one(x, "$", "inline"))
-    found = let(matches(F.col("t"), DISPLAY, 1), lambda d: F.concat(shown(d), inline(d)))
+    found = let(matches(t, DISPLAY, 1), lambda d: F.concat(shown(d), inline(d)))
     bare = lambda x: F.regexp_replace(x.latex, r"\s+", "")
     first = lambda f: let(F.transform(f, bare), lambda b: F.filter(f, lambda x, k: F.array_position(b, b[k]) == k + 1))
-    rows = rows.withColumn("f", let(found, first))
-    rows = rows.select("id", "t", F.posexplode("f").alias("ord", "x"))
-    t, a, b = F.col("t"), F.col("x.position"), F.col("x.stop")
-    return rows.select("id", "ord", "x.latex", "x.type", context_before(t, a).alias("context_before"), context_after(t, b).alias("context_after"), variables(t, a, b).alias("variables"), a.alias("position"))
+    full = lambda x: F.struct(x.latex.alias("latex"), x.type.alias("type"), context_before(t, x.position).alias("context_before"), context_after(t, x.stop).alias("context_after"), variables(t, x.position, x.stop).alias("variables"), x.position.alias("position"))
+    return F.transform(let(found, first), full)
+
+
+def extract(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, ord, latex, type, context_before, context_after, variables, position), see formula_list()."""
+    rows = docs.select(F.col(id_col).alias("id"), let(F.coalesce(F.col(text_col), F.lit("")), formula_list).alias("f"))
+    return rows.select("id", F.posexplode("f").alias("ord", "x")).select("id", "ord", *(F.col(f"x.{f}").alias(f) for f in FORMULA))

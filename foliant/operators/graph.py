@@ -1,17 +1,16 @@
 """Relations between a chapter's concepts: typed edges, references, co-occurrence clusters.
 
-Each chapter's concepts travel as one array beside its text, so matching a term to a concept is an array expression in the
-row; rows are made only for edges, and clusters come from an iteration over label columns of (chapter, concept) pairs.
+Each chapter's concepts are one array beside its text (concepts.with_concepts), so relations are array expressions in the row: nothing is
+shuffled, and rows are made only for results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, paragraphs, strip, tokens, word_count
-from .structure import sections
+from ..functions.text import let, matches, paragraphs, strip, tokens, word_count
+from .structure import section_list
 
 # Patterns.
 CROSS = r"(?i)(?:see|refer\s+to|as\s+(?:discussed|described|shown)\s+in)\s+(?:Chapter|Section|Part|Figure|Table)\s+([\d.]+(?:\s*[-–]\s*[\d.]+)?)"
@@ -24,12 +23,16 @@ ITEMS = r",\s*|\s+and\s+|\s+or\s+|;\s*"
 EDGE = "array<struct<src:string,dst:string,type:string>>"
 
 
-def references(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ord, text, target): references to other parts, then to earlier content."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
+def reference_list(t: Column) -> Column:
+    """array<struct<text, target>>: references to other parts, then to earlier content."""
     cross = F.transform(matches(t, CROSS, 1), lambda x: F.struct(x.m.alias("text"), x.g1.alias("target")))
-    back = F.transform(matches(t, BACK), lambda x: F.struct(x.m.alias("text"), F.lit("earlier_content").alias("target")))
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.concat(cross, back)).alias("ord", "x")).select("id", "ord", "x.text", "x.target")
+    return F.concat(cross, F.transform(matches(t, BACK), lambda x: F.struct(x.m.alias("text"), F.lit("earlier_content").alias("target"))))
+
+
+def references(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, ord, text, target), see reference_list()."""
+    found = reference_list(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("ord", "x")).select("id", "ord", "x.text", "x.target")
 
 
 def find(term: Column, names: Column) -> Column:
@@ -56,52 +59,65 @@ def _listed(t: Column, names: Column, pattern: str, kind: str) -> Column:
     return F.flatten(F.transform(matches(t, pattern, 2), of))
 
 
-def edges(docs: DataFrame, concepts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """concepts(id, rank, name) -> (id, ord, src, dst, type), first of each undirected pair and type."""
-    named = concepts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("n")).select("id", F.transform("n", lambda x: x["name"]).alias("names"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(named, "id")
-    t, names = F.col("t"), F.col("names")
-
-    def compare(x):
-        own = find(strip(x.g1), names)
+def _compared(t: Column, names: Column) -> Column:
+    def of(x):
         start = F.greatest(F.lit(0), x.start - 200)
         near = F.lower(F.substring(t, start + 1, F.least(F.length(t), x.stop + 200) - start))
-        others = F.filter(names, lambda n: own.isNotNull() & (F.lower(n) != F.lower(own)) & F.contains(near, F.lower(n)))
-        a, b = find(x.g2, names), find(x.g3, names)
-        pair = F.filter(F.array(_edge(a, b, "compared_with")), lambda e: e.src.isNotNull() & e.dst.isNotNull())
-        return F.when(x.g1 != "", F.transform(others, lambda n: _edge(own, n, "compared_with"))).otherwise(pair)
-
-    found = F.concat(F.flatten(F.transform(matches(t, COMPARISON, 3), compare)), _listed(t, names, CONTAINS, "part_of"), _listed(t, names, TYPES, "example_of"))
-    s = sections(docs, id_col, text_col)
-    tops = s.where("parent_ord is null").select("id", F.col("ord").alias("parent_ord"))
-    kids = s.join(tops, ["id", "parent_ord"], "left_semi").withColumn("before", F.lag("title").over(W.partitionBy("id", "parent_ord").orderBy("ord"))).where("before is not null")
-    pairs = kids.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "before"))).alias("kids"))
-    rows = rows.join(pairs, "id", "left")
-    follows = F.transform(F.coalesce("kids", F.array().cast("array<struct<ord:int,title:string,before:string>>")), lambda k: _edge(find(k.title, names), find(k.before, names), "depends_on"))
-    every = F.concat(found, F.filter(follows, lambda e: e.src.isNotNull() & e.dst.isNotNull())).cast(EDGE)
-    rows = rows.select("id", every.alias("e"))
-    same = lambda a, b: (a.type == b.type) & (((a.src == b.src) & (a.dst == b.dst)) | ((a.src == b.dst) & (a.dst == b.src)))
-    first = F.filter("e", lambda x, k: ~F.exists(F.slice("e", 1, k), lambda y: same(x, y)))
-    return rows.select("id", F.posexplode(first).alias("ord", "x")).select("id", "ord", "x.src", "x.dst", "x.type")
-
-
-def cooccurrence(docs: DataFrame, concepts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, a, b), a < b: concepts in one paragraph of five words or more. A paragraph's concepts are chained, not paired: the components are the same."""
-    named = concepts.groupBy("id").agg(F.collect_set("name").alias("names"))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(paragraphs(F.coalesce(F.col(text_col), F.lit("")))).alias("p")).where(word_count(F.col("p")) >= 5).join(named, "id")
-    low = F.lower("p")
-    here = F.array_sort(F.filter("names", lambda n: F.when(n.contains(" ") | n.contains("-"), F.contains(low, F.lower(n))).otherwise(F.array_contains(tokens(F.col("p")), F.lower(n)))))
-    rows = rows.select("id", here.alias("n")).where(F.size("n") >= 2)
-    return rows.select("id", F.explode(F.zip_with(F.slice("n", 1, F.size("n") - 1), F.slice("n", 2, F.size("n")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x")).select("id", "x.a", "x.b").distinct()
-
-
-def clusters(docs: DataFrame, concepts: DataFrame, id_col: str = "id", text_col: str = "text", most: int = 10) -> DataFrame:
-    """(id, rank, members): connected concepts of a chapter, largest first, at most ten.
-
-    A chapter's graph is small (its own concepts), so components are grown inside the row over the array of its edges.
-    """
-    pairs = cooccurrence(docs, concepts, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("e"))
-    none = F.array().cast("array<array<string>>")
+        others = lambda own, near: F.filter(names, lambda n: own.isNotNull() & (F.lower(n) != F.lower(own)) & F.contains(near, F.lower(n)))
+        told = let(find(strip(x.g1), names), lambda own: let(near, lambda w: F.transform(others(own, w), lambda n: _edge(own, n, "compared_with"))))
+        pair = F.filter(F.array(_edge(find(x.g2, names), find(x.g3, names), "compared_with")), lambda e: e.src.isNotNull() & e.dst.isNotNull())
+        return F.when(x.g1 != "", told).otherwise(pair)
+
+    return F.flatten(F.transform(matches(t, COMPARISON, 3), of))
+
+
+def _following(sections: Column, names: Column) -> Column:
+    """Each second-level section depends on the one before it under the same top section."""
+    top = lambda x: x.parent_ord.isNotNull() & F.get(sections, x.parent_ord).parent_ord.isNull()
+    before = lambda kids, k: F.when(k > 0, F.get(kids, k - 1))
+    pair = lambda kids, x, k: F.when(before(kids, k).parent_ord == x.parent_ord, _edge(find(x.title, names), find(before(kids, k).title, names), "depends_on"))
+    return let(F.filter(sections, top), lambda kids: F.filter(F.transform(kids, lambda x, k: pair(kids, x, k)), lambda e: e.src.isNotNull() & e.dst.isNotNull()))
+
+
+def edge_list(t: Column, names: Column, sections: Column) -> Column:
+    """array<struct<src, dst, type>>, first of each undirected pair and type. names: of the concepts, in rank order."""
+    every = F.concat(_compared(t, names), _listed(t, names, CONTAINS, "part_of"), _listed(t, names, TYPES, "example_of"), _following(sections, names)).cast(EDGE)
+    pair = lambda e: F.struct(e.type.alias("type"), F.least(e.src, e.dst).alias("a"), F.greatest(e.src, e.dst).alias("b"))
+    first = lambda e: let(F.transform(e, pair), lambda p: F.filter(e, lambda x, k: F.array_position(p, F.get(p, k)) == k + 1))
+    return let(every, first)
+
+
+def _names(concepts: Column) -> Column:
+    return F.transform(concepts, lambda x: x["name"])
+
+
+def edges(docs: DataFrame, id_col: str = "id", text_col: str = "text", concepts_col: str = "concepts") -> DataFrame:
+    """docs with ranked concepts -> (id, ord, src, dst, type), see edge_list()."""
+    found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: let(_names(F.col(concepts_col)), lambda n: let(section_list(t), lambda s: edge_list(t, n, s))))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("ord", "x")).select("id", "ord", "x.src", "x.dst", "x.type")
+
+
+def pair_list(t: Column, names: Column) -> Column:
+    """array<struct<a, b>>, a < b, distinct and sorted: concepts in one paragraph of five words or more. A paragraph's
+    concepts are chained, not paired: the components are the same."""
+
+    def of(p):
+        inside = lambda low, words: F.filter(names, lambda n: F.when(n.contains(" ") | n.contains("-"), F.contains(low, F.lower(n))).otherwise(F.array_contains(words, F.lower(n))))
+        here = let(F.lower(p), lambda low: let(tokens(p), lambda words: F.array_sort(F.array_distinct(inside(low, words)))))
+        chain = lambda h: F.when(F.size(h) >= 2, F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())
+        return let(here, chain)
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(paragraphs(t), lambda p: word_count(p) >= 5), of))))
+
+
+def cooccurrence(docs: DataFrame, id_col: str = "id", text_col: str = "text", concepts_col: str = "concepts") -> DataFrame:
+    """docs with ranked concepts -> (id, a, b), see pair_list()."""
+    found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: let(_names(F.col(concepts_col)), lambda n: pair_list(t, n)))
+    return docs.select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select("id", "x.a", "x.b")
+
+
+def cluster_list(t: Column, names: Column, most: int = 10) -> Column:
+    """array<array<string>>: connected concepts, largest first, then by their best rank, at most ``most``; a text's graph is small."""
 
     def add(acc, e):
         own = F.array(e.a, e.b)
@@ -109,8 +125,13 @@ def clusters(docs: DataFrame, concepts: DataFrame, id_col: str = "id", text_col:
         apart = F.filter(acc, lambda g: ~F.arrays_overlap(g, own))
         return F.concat(apart, F.array(F.array_sort(F.array_distinct(F.concat(F.flatten(touched), own)))))
 
-    rows = pairs.select("id", F.aggregate("e", none, add).alias("g"))
-    first = concepts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "rank"))).alias("ranks"))
-    rows = rows.join(first, "id")
-    keyed = F.array_sort(F.transform("g", lambda g: F.struct((-F.size(g)).alias("n"), F.array_min(F.transform(g, lambda m: F.try_element_at("ranks", m))).alias("r"), g.alias("m"))))
-    return rows.select("id", F.posexplode(F.slice(keyed, 1, most)).alias("k", "x")).select("id", (F.col("k") + 1).alias("rank"), F.col("x.m").alias("members"))
+    grown = F.aggregate(pair_list(t, names), F.array().cast("array<array<string>>"), add)
+    rank = lambda g: F.array_min(F.transform(g, lambda m: F.array_position(names, m)))
+    keyed = F.array_sort(F.transform(grown, lambda g: F.struct((-F.size(g)).alias("n"), rank(g).alias("r"), g.alias("m"))))
+    return F.transform(F.slice(keyed, 1, most), lambda x: x.m)
+
+
+def clusters(docs: DataFrame, id_col: str = "id", text_col: str = "text", concepts_col: str = "concepts", most: int = 10) -> DataFrame:
+    """docs with ranked concepts -> (id, rank, members), see cluster_list()."""
+    found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: let(_names(F.col(concepts_col)), lambda n: cluster_list(t, n, most)))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("k", "members")).select("id", (F.col("k") + 1).alias("rank"), "members")

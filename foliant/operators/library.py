@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -50,9 +51,11 @@ def _sequence(a: list[str], b: list[str]) -> float:
 
 
 def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tuple[float, float, float] = (0.2, 0.3, 0.5)) -> DataFrame:
-    """inputs(id), books(id, title), chapters(book_id, number, title, terms) -> scores of every other book for each input.
+    """inputs(id), books(id, title), chapters(book_id, number, title, terms) -> scores of every other book for each input,
+    ranked: rank 1 is the largest total, ties by book id.
 
-    The input set is stated by the caller; each of its books meets every other book, as every pair gets a score.
+    The input set is stated by the caller; each of its books meets every other book, as every pair gets a score. Titles and chapter
+    lists travel once per input and side, dealt by input, and ranks are numbered within an input.
     """
     titles = chapters.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "title"))), lambda x: x.title).alias("chapters"))
     full = books.join(titles, books.id == titles.book_id, "left").select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("chapters", F.array().cast("array<string>")).alias("chapters"))
@@ -70,4 +73,9 @@ def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tup
     rated = pairs.mapInPandas(ratios, "input_id string, book_id string, n double, s double").join(scores, ["input_id", "book_id"], "left")
     c = F.coalesce("concept_score", F.lit(0.0))
     total = weights[0] * F.col("n") + weights[1] * F.col("s") + weights[2] * c
-    return rated.select("input_id", "book_id", F.round("n", 4).alias("name_score"), F.round("s", 4).alias("structure_score"), c.alias("concept_score"), F.round(total, 4).alias("total_score"))
+    return rated.select("input_id", "book_id", F.round("n", 4).alias("name_score"), F.round("s", 4).alias("structure_score"), c.alias("concept_score"), F.round(total, 4).alias("total_score")).withColumn("rank", F.row_number().over(W.partitionBy("input_id").orderBy(F.desc("total_score"), "book_id")))
+
+
+def with_input(books: DataFrame, chapters: DataFrame, book: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A library and a book that is not in it yet, book(id, title) and its chapters, as one library for match()."""
+    return books.select("id", "title").unionByName(book.select("id", "title")), chapters.select(*own.columns).unionByName(own)

@@ -18,7 +18,7 @@ SKIPPED = ("table of contents", "contents", "preface", "foreword", "acknowledgme
 
 def with_ends(found: Column, text: Column) -> Column:
     """Adds end: the next match's start, or the text's length."""
-    nxt = F.concat(F.transform(F.slice(found, 2, 1_000_000), lambda x: x.start), F.array(F.length(text)))
+    nxt = F.concat(F.transform(F.slice(found, 2, F.size(found)), lambda x: x.start), F.array(F.length(text)))
     return F.zip_with(found, F.when(F.size(found) > 0, nxt).otherwise(F.array().cast("array<int>")), lambda x, e: x.withField("end", e))
 
 
@@ -27,18 +27,37 @@ def headings(text: Column) -> Column:
     return F.transform(with_ends(matches(text, HEADING, 2), text), lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), F.length(x.g1).alias("level"), strip(x.g2).alias("title"), word_count(F.substring(text, x.start + 1, x.end - x.start)).alias("word_count")))
 
 
-def sections(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ord, level, title, start, end, word_count, parent_ord); a text without headings is one section, level 1."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
+SECTION = ("ord", "level", "title", "start", "end", "word_count", "parent_ord")
+
+
+def section_list(t: Column) -> Column:
+    """array<struct<ord, level, title, start, end, word_count, parent_ord>>; a text without headings is one section, level 1."""
     none = F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"), F.lit(1).alias("level"), F.lit("(No headings detected)").alias("title"), word_count(t).alias("word_count")))
-    rows = docs.select(F.col(id_col).alias("id"), t.alias("t")).withColumn("h", headings(F.col("t")))
-    none = F.array(F.struct(F.lit(0).alias("start"), F.length("t").alias("end"), F.lit(1).alias("level"), F.lit("(No headings detected)").alias("title"), word_count(F.col("t")).alias("word_count")))
-    h = F.when(F.size("h") > 0, F.col("h")).otherwise(none)
-    h = F.transform(h, lambda x, k: x.withField("ord", k))
-    rows = rows.select("id", h.alias("h"))
+    placed = let(headings(t), lambda h: F.transform(F.when(F.size(h) > 0, h).otherwise(none), lambda x, k: x.withField("ord", k)))
     # the parent is the nearest earlier heading of a smaller level
-    parent = let(F.col("h"), lambda h: F.transform(h, lambda x: x.withField("parent_ord", F.array_max(F.transform(F.filter(h, lambda y: (y.ord < x.ord) & (y.level < x.level)), lambda y: y.ord)))))
-    return rows.select("id", F.explode(parent).alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in ("ord", "level", "title", "start", "end", "word_count", "parent_ord")))
+    above = lambda h, x: F.array_max(F.transform(F.filter(h, lambda y: (y.ord < x.ord) & (y.level < x.level)), lambda y: y.ord))
+    one = lambda h, x: F.struct(*(x[f].alias(f) for f in SECTION[:-1]), above(h, x).alias("parent_ord"))
+    return let(placed, lambda h: F.transform(h, lambda x: one(h, x)))
+
+
+def depths(sections: Column) -> Column:
+    """Of each section how many are above it: array<int>. Levels only say who is above; six of them bound the steps."""
+    up = lambda p: F.when(p.isNotNull(), F.get(sections, p).parent_ord)
+
+    def depth(x):
+        n, p = F.lit(0), x.parent_ord
+        for _ in range(5):
+            n = n + F.when(p.isNotNull(), 1).otherwise(0)
+            p = up(p)
+        return n
+
+    return F.transform(sections, depth)
+
+
+def sections(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, ord, level, title, start, end, word_count, parent_ord), see section_list()."""
+    rows = docs.select(F.col(id_col).alias("id"), let(F.coalesce(F.col(text_col), F.lit("")), section_list).alias("s"))
+    return rows.select("id", F.explode("s").alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in SECTION))
 
 
 def summary(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -63,7 +82,7 @@ def chapters(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     one = lambda num, title, level, start, end, text, seed: F.struct(num.cast("int").alias("number"), title.alias("title"), level.cast("int").alias("level"), start.cast("int").alias("start_index"), end.cast("int").alias("end_index"), text.alias("full_text"), seed.alias("seed"))
     digits = lambda x: F.when(x.g2 != "", x.g2).when(x.g4 != "", x.g4).otherwise(x.g6)
     name = lambda x: strip(F.when(x.g2 != "", x.g3).when(x.g4 != "", x.g5).otherwise(x.g7))
-    number = lambda x, k: F.coalesce(F.expr("cast(null as int)"), F.when(digits(x).rlike(r"^\d+$"), digits(x).try_cast("int")).otherwise(k + 1))
+    number = lambda x, k: F.when(digits(x).rlike(r"^\d+$"), digits(x).try_cast("int")).otherwise(k + 1)
     by_number = F.transform("n", lambda x, k: one(number(x, k), name(x), F.length(x.g1), x.start, x.end, piece(x), F.concat(F.lit(":ch"), number(x, k).cast("string"), F.lit(":"), name(x))))
     kept = F.filter("h", lambda x: ~F.lower(strip(x.g1)).isin(*SKIPPED))
     by_top = F.transform(kept, lambda x, k: one(k + 1, strip(x.g1), F.lit(1), x.start, x.end, piece(x), F.concat(F.lit(":h:"), strip(x.g1))))
@@ -74,6 +93,6 @@ def chapters(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     whole = F.array(one(F.lit(1), F.lit("Full Document"), F.lit(1), F.lit(0), F.length("t"), F.col("t"), F.lit(":full")))
     chosen = F.when(F.size("n") >= 2, by_number).when((F.size("h") >= 2) & (F.size(kept) > 0), by_top).when(F.size(large) > 0, by_page).otherwise(whole)
     rows = rows.select("book_id", chosen.alias("c"))
-    last = let(F.col("c"), lambda c: F.filter(c, lambda x, k: ~F.exists(F.slice(c, k + 2, 1_000_000), lambda y: y.seed == x.seed)))
+    last = let(F.col("c"), lambda c: F.filter(c, lambda x, k: ~F.exists(F.slice(c, k + 2, F.size(c)), lambda y: y.seed == x.seed)))
     rows = rows.select("book_id", F.explode(last).alias("x"))
     return rows.select("book_id", short_id(F.concat("book_id", "x.seed")).alias("id"), "x.number", "x.title", "x.level", "x.start_index", "x.end_index", word_count(F.col("x.full_text")).alias("word_count"), "x.full_text", _subs(F.col("x.full_text")).alias("sub_headings"))

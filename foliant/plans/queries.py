@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, short_id, tokens, word_count
-from ..operators import catalog, concepts, density, formulas, graph, library, metadata, prompts, structure
+from ..operators import analysis, catalog, concepts, density, formulas, graph, ingest, library, metadata, prompts, structure
 from ..sources.tables import library as as_library
 from ..sources.tables import page_markdown, table
 from ..streaming import progress
@@ -22,12 +22,47 @@ TEXTS: tuple[tuple[int, str], ...] = (
     (9000005, "سلسلة من الكلمات العربية في نص قصير"),
     (9000006, "#\n# Alpha\n### Gamma\n## Beta\ntext\n# Preface\nwords\n# Omega\nwrite-ahead log and write-ahead log; log-structured log-structured"),
     (9000007, ""),
+    (9000008, "Memory includes the Heap, pools and the Stack. A Container consists of **Queue**; Heap or nothing else.\n\nKinds of Memory: Heap, Stack or pools.\n\nStack versus Queue, similar to a Heap, differs from Memory.\n\nThe Heap and the Stack and Memory meet here.\n\nA Queue waits near a Container every day."),
+    (9000009, "# Top\n\n## Queue\n\nThe queue holds more than the twenty words that a section needs before it is counted as one by the density of its text, so here they are.\n\n## Stack\n\n### Heap\n\nx\n\n## Memory\n\ny\n\n# Other\n\n## Heap\n\nz"),
 )
+#: Concepts that the relation queries are asked about, in rank order; the same stand in the SQL.
+NAMES = ("Hash Index", "Sorted Table", "Queue", "Stack", "Heap", "Container", "Memory")
+#: Words that occur in the documents, for co-occurrence.
+COMMON = ("the", "und", "de la", "que", "heap", "stack", "queue", "memory", "container")
 _V = "(VALUES " + ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in TEXTS) + ") AS v(id, text)"
 _D = f"d AS (SELECT CAST(id AS BIGINT) AS id, text AS t FROM {_V} UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)"
 _ID = "substring(sha256(source), 1, 12)"
 
 
+def _re2(p: str) -> str:
+    return p.replace("(?md)", "(?m)").replace("(?d)", "").replace("++", "+").replace("'", "''")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _page_sql() -> str:
+    """html as markdown, as page_markdown() makes it."""
+    t = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+    for pattern, by in (("(?s)<h1[^>]*>(.*?)</h1>", "\n\n# \\1\n\n"), ("<p[^>]*>", "\n\n"), ("<[^>]+>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return _strip(t)
+
+
+_P = f"p AS (SELECT CAST(id AS BIGINT) AS id, text AS t FROM {_V} UNION ALL SELECT page_id, coalesce({_page_sql()}, '') FROM pages)"
+
+
+def _matches_sql(source: str, pattern: str, groups: int) -> str:
+    """(id, t, k, m, g1.., start, stop): all matches in source(id, t), with offsets in code points."""
+    g = "".join(f", regexp_extract_all(t, '{pattern}', {n}) AS g{n}" for n in range(1, groups + 1))
+    names = "".join(f", g{n}[k] AS g{n}" for n in range(1, groups + 1))
+    size = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+    inner = f"SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT id, t, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_split_to_array(t, '{pattern}') AS p{g} FROM {source})"
+    placed = f"SELECT id, t, k, m[k] AS m{names}, CAST({size('p[1:k]')} + {size('m[1:k-1]')} AS BIGINT) AS start FROM ({inner})"
+    return f"SELECT *, start + length(m) AS stop FROM ({placed})"
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture texts and all documents: (id, text)."""
     own = spark.createDataFrame(TEXTS, "id long, text string")
@@ -106,7 +141,7 @@ def upsert_latest(spark, sf_dir):
     return catalog.upsert(old.withColumn("v", F.lit(0)), both, ["doc_id"], F.col("v")).select("doc_id", "quality")
 
 
-@query("SELECT page_id, url AS path FROM pages WHERE regexp_extract(url, '[^/]+$') NOT IN (SELECT regexp_extract(url, '[^/]+$') FROM pages WHERE page_id % 3 = 0)")
+@query("SELECT page_id, url AS path FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages s WHERE s.page_id % 3 = 0 AND contains(s.url, regexp_extract(p.url, '[^/]+$')))")
 def new_files_anti(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
     return catalog.new_files(p, p.where("page_id % 3 = 0"))
@@ -179,12 +214,20 @@ def heading_parents(spark, sf_dir):
     return structure.sections(spark.createDataFrame(TEXTS, "id long, text string")).select("id", "ord", "level", "title", "parent_ord")
 
 
-@query()
+def _sections_sql() -> str:
+    """CTEs h (headings) and s (sections) of p."""
+    h = _matches_sql("p", "(?m)^(#{1,6})\\s+(.+)$", 2)
+    e = f"SELECT id, t, k - 1 AS ord, length(g1) AS level, {_strip('g2')} AS title, start, coalesce(lead(start) OVER (PARTITION BY id ORDER BY k), length(t)) AS stop FROM h"
+    none = "SELECT id, t, 0, 1, '(No headings detected)', 0, length(t) FROM p WHERE id NOT IN (SELECT id FROM h)"
+    return f"h AS ({h}), e AS ({e} UNION ALL {none}), s AS (SELECT id, ord, level, title, start, stop, substring(t, CAST(start AS INT) + 1, CAST(stop - start AS INT)) AS t, (SELECT max(x.ord) FROM e x WHERE x.id = e.id AND x.ord < e.ord AND x.level < e.level) AS parent_ord FROM e)"
+
+
+@query(f"WITH {_P}, {_sections_sql()} SELECT id, ord, level, title, start, stop AS \"end\", len(regexp_extract_all(t, '\\S+')) AS word_count, parent_ord FROM s")
 def section_spans(spark, sf_dir):
     return structure.sections(marked(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_P}, {_sections_sql()} SELECT p.id, (SELECT count(*) FROM h WHERE h.id = p.id) AS heading_count, coalesce((SELECT max(length(g1)) FROM h WHERE h.id = p.id), 1) AS max_depth FROM p")
 def structure_summary(spark, sf_dir):
     return structure.summary(marked(spark, sf_dir))
 
@@ -194,28 +237,57 @@ def chapters(spark, sf_dir):
     return structure.chapters(texts(spark, sf_dir))
 
 
-def _re2(p: str) -> str:
-    return p.replace("(?md)", "(?m)").replace("(?d)", "").replace("++", "+").replace("'", "''")
+def _count_sql(name: str, pattern: str) -> str:
+    if name == "inline_math":  # without look-around: runs of two and more dollars are hidden first
+        return f"len(regexp_extract_all({_LONE}, '\\$[^$\\n\\x01]+?\\$'))"
+    return f"len(regexp_extract_all(t, '{_re2(pattern)}'))"
 
 
-_COUNTED = [(k, p) for k, p in density.COUNTS if k not in ("inline_math",)]
+_LONE = "regexp_replace(regexp_replace(t, '\\$\\$', chr(1) || chr(1), 'g'), '\\x01\\$', chr(1) || chr(1), 'g')"
 
 
-@query(f"WITH {_D} SELECT id, len(regexp_extract_all(t, '\\S+')) AS word_count, " + ", ".join(f"CASE WHEN regexp_matches(t, '\\S') THEN len(regexp_extract_all(t, '{_re2(p)}')) ELSE 0 END AS {k}_count" for k, p in _COUNTED) + " FROM d")
+@query(f"WITH {_D} SELECT id, len(regexp_extract_all(t, '\\S+')) AS word_count, " + ", ".join(f"CASE WHEN regexp_matches(t, '\\S') THEN {_count_sql(k, p)} ELSE 0 END AS {k}_count" for k, p in density.COUNTS) + " FROM d")
 def density_counts(spark, sf_dir):
     own = density.stats(F.col("text"))
-    n = {f"{k}_count": F.when(word_count(F.col("text")) > 0, F.regexp_count("text", F.lit(p))).otherwise(0) for k, p in _COUNTED}
+    n = {f"{k}_count": F.when(word_count(F.col("text")) > 0, F.regexp_count("text", F.lit(p))).otherwise(0) for k, p in density.COUNTS}
     return texts(spark, sf_dir).select("id", own["word_count"].alias("word_count"), *(c.alias(k) for k, c in n.items()))
 
 
-@query()
+def _stats_sql(source: str, keys: str) -> str:
+    """keys, the statistics and the labels of source(keys.., t)."""
+    counts = ", ".join(f"CASE WHEN words > 0 THEN {_count_sql(k, p)} ELSE 0 END AS n_{k}" for k, p in density.COUNTS)
+    paras = f"CASE WHEN words > 0 THEN greatest(1, len(list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: {_strip('x')} <> ''))) ELSE 0 END"
+    base = f"SELECT *, {paras} AS paras, {counts} FROM (SELECT *, len(regexp_extract_all(t, '\\S+')) AS words FROM {source})"
+    per = lambda x: f"coalesce(CAST({x} AS DOUBLE) / nullif(paras, 0), 0.0)"
+    own = {"word_count": "words", "para_count": "paras", "math_per_para": per("n_display_math + n_inline_math"), "code_per_para": per("n_code")}
+    own |= {f"{k}_count": f"n_{k}" for k, _ in density.COUNTS if k != "algorithm"}
+    own |= {f"{k}_ratio": per(f"n_{k}") for k in ("example", "comparison", "algorithm", "definition", "bold", "list", "proof", "problem")}
+    assert set(own) == set(density.NAMES)
+    stats = ", ".join(f"{v} AS {k}" for k, v in own.items())
+    steps = lambda *r: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in r) + " ELSE 0.0 END"
+    score = {
+        "concept-dense": steps(("definition_ratio >= 0.3", 2.0)) + " + " + steps(("bold_ratio >= 0.5", 2.0), ("bold_ratio >= 0.2", 1.0)),
+        "math-heavy": steps(("math_per_para >= 1.0", 3.0), ("math_per_para >= 0.3", 1.5)) + " + " + steps(("display_math_count >= 3", 2.0)),
+        "example-rich": steps(("example_ratio >= 0.3", 2.0), ("example_ratio >= 0.15", 1.0)),
+        "implementation-focused": steps(("code_per_para >= 0.3", 3.0), ("code_count >= 2", 1.5)) + " + " + steps(("algorithm_ratio >= 0.2", 1.5)),
+        "comparison": steps(("comparison_ratio >= 0.3", 2.5), ("comparison_ratio >= 0.15", 1.0)),
+        "proof-heavy": steps(("proof_ratio >= 0.3", 3.0), ("proof_ratio >= 0.15", 1.5)) + " + " + steps(("proof_count >= 5", 1.0)),
+        "problem-set": steps(("problem_ratio >= 0.3", 3.0), ("problem_ratio >= 0.15", 1.5)) + " + " + steps(("problem_count >= 5", 1.5)),
+        "introductory": steps(("word_count < 300", 1.0)) + " + " + steps(("greatest(example_ratio, comparison_ratio, algorithm_ratio, definition_ratio, bold_ratio, list_ratio, proof_ratio, problem_ratio) < 0.1", 2.0)),
+    }
+    pairs = ", ".join(f"{{'s': -CAST({score[k]} AS DOUBLE), 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(density.LABELS))
+    types = f"array_to_string(list_transform(list_sort(list_filter([{pairs}], lambda x: x.s <= -1.0)), lambda x: x.k), ',')"
+    return f"SELECT {keys}, {', '.join(density.NAMES)}, CASE {types} WHEN '' THEN 'general' ELSE {types} END AS types FROM (SELECT {keys}, {stats} FROM ({base}))"
+
+
+@query(f"WITH {_D}, {_P}, a AS (SELECT * FROM p UNION ALL SELECT * FROM d) {_stats_sql('a', 'id')}")
 def density_stats(spark, sf_dir):
-    return density.analyze(marked(spark, sf_dir).union(texts(spark, sf_dir)))
+    return density.analyze(marked(spark, sf_dir).union(texts(spark, sf_dir))).withColumn("types", F.array_join("types", ","))
 
 
-@query()
+@query(f"WITH {_P}, {_sections_sql()}, w AS (SELECT *, len(regexp_extract_all(t, '\\S+')) AS n FROM s), k AS (SELECT id, ord, title, t FROM w WHERE n >= 20 AND (parent_ord IS NULL OR EXISTS (SELECT 1 FROM w u WHERE u.id = w.id AND u.ord = w.parent_ord AND u.parent_ord IS NULL AND u.n >= 20))) {_stats_sql('k', 'id, ord, title')}")
 def density_sections(spark, sf_dir):
-    return density.by_section(marked(spark, sf_dir))
+    return density.by_section(marked(spark, sf_dir)).withColumn("types", F.array_join("types", ","))
 
 
 def _pairs(name: str, step, pattern: str, term: int, definition: int | None, more: str = ""):
@@ -237,20 +309,61 @@ _pairs("concept_parenthetical", concepts.parentheticals, concepts.PARENTHETICAL,
 _pairs("concept_acronym", concepts.expansions, concepts.EXPANSION, 1, 2)
 
 
-def _step(name: str, step):
+_QUOTED = ", ".join(f"'{w}'" for w in concepts.NOISE)
+_KEPT = f"length(name) >= 3 AND lower(name) NOT IN ({_QUOTED}) AND NOT regexp_matches(name, '^\\d+$')"
+
+
+def _step(name: str, step, sql: str | None = None):
     def run(spark, sf_dir):
         return texts(spark, sf_dir).select("id", F.explode(step(F.col("text"))).alias("x")).select("id", "x.name", F.col("x.def").alias("definition"))
 
     run.__name__ = name
-    query()(run)
+    query(sql and f"WITH {_D}, r AS ({sql}) SELECT id, name, definition FROM r WHERE {_KEPT}")(run)
+
 
+def _heading_sql(k: str = "") -> str:
+    clean = f"regexp_replace(regexp_replace({_strip('h')}, '^[\\d.]+\\s*', ''), '(?i)^(?:Chapter|Part|Section)\\s+\\d+\\s*[:.\\-]*\\s*', '')"
+    return f"SELECT id, {_strip(clean)} AS name, '' AS definition{k and ', k'} FROM (SELECT id, h[k] AS h, k FROM (SELECT id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT id, regexp_extract_all(t, '(?m)^(#{{1,6}})\\s+(.+)$', 2) AS h FROM d)))"
 
-for _n, _f in (("concept_bold", concepts.bold), ("concept_list", concepts.list_definitions), ("concept_hyphenated", concepts.hyphenated), ("concept_heading", concepts.heading_terms), ("concept_theorem", concepts.theorem_blocks), ("concept_bare_acronym", concepts.acronyms)):
-    _step(_n, _f)
 
+def _either_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} <> '' THEN {a} ELSE {b} END"
 
-def _fixtures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "id long, text string")
+
+def _repeated_sql(pattern: str, more: str = "TRUE") -> str:
+    ascii = "regexp_replace(t, '[À-ÖØ-öø-ʯͰ-ϿЀ-ӿ]', '0', 'g')"  # RE2 takes only ASCII letters for parts of words
+    return f"SELECT id, name, '' AS definition FROM (SELECT id, unnest(regexp_extract_all({ascii}, '{pattern}', 1)) AS name FROM d) WHERE {more} GROUP BY id, name HAVING count(*) >= 2"
+
+
+_BOLD_SQL = f"SELECT id, {_strip('n')} AS name, {_strip(chr(114) + 'egexp_extract(substring(t, CAST(stop AS INT) + 1, 300), ' + chr(39) + '^' + chr(92) + 's*[:—–' + chr(92) + '-]+' + chr(92) + 's*(.+?)(?:' + chr(92) + '.|' + chr(92) + 'n?' + chr(92) + 'z)' + chr(39) + ', 1)')} AS definition FROM (SELECT *, {_either_sql('g1', 'g2')} AS n FROM ({_matches_sql('d', _re2(concepts.BOLD), 2)})) WHERE length(n) < 60"
+_LISTED_SQL = f"SELECT id, {_strip(_either_sql('g1', 'g2'))} AS name, {_strip('g3')} AS definition, k FROM ({_matches_sql('d', _re2(concepts.LISTED), 3)})"
+_step("concept_bold", concepts.bold, _BOLD_SQL)
+_step("concept_list", concepts.list_definitions, _LISTED_SQL)
+_step("concept_hyphenated", concepts.hyphenated, _repeated_sql(concepts.HYPHENATED))
+_step("concept_heading", concepts.heading_terms, _heading_sql())
+_step("concept_theorem", concepts.theorem_blocks)
+_step("concept_bare_acronym", concepts.acronyms, _repeated_sql(concepts.ACRONYM, "name NOT IN (" + ", ".join(f"'{x}'" for x in concepts.COMMON_ACRONYMS) + ")"))
+_step("concept_first_use", lambda t: concepts.first_uses(t, F.array().cast("array<string>")))
+
+
+def _merged_sql() -> str:
+    """Definitions, parentheses, list entries and headings, merged by lower-cased name."""
+    pair = lambda p, n, extra: f"SELECT id, {_strip('g1')} AS name, {_strip('g2')} AS definition, k, {n} AS step, '{extra}' AS source FROM ({_matches_sql('d', _re2(p), 2)})"
+    steps = [
+        pair(concepts.DEFINITION, 0, "definition"),
+        f"SELECT * FROM ({pair(concepts.PARENTHETICAL, 1, 'parenthetical')}) WHERE definition <> '' AND NOT regexp_matches(definition, '^\\d')",
+        f"SELECT *, 2, 'list_definition' FROM ({_LISTED_SQL})",
+        f"SELECT *, 3, 'heading' FROM ({_heading_sql('k')})",
+    ]
+    each = " UNION ALL ".join(steps)
+    return f"WITH {_D}, c AS (SELECT *, lower(name) AS key, row_number() OVER (PARTITION BY id ORDER BY step, k) AS seq FROM ({each}) WHERE {_KEPT}) SELECT id, key, arg_min(name, seq) AS name, coalesce(arg_min(definition, seq) FILTER (definition <> ''), '') AS definition, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM c GROUP BY id, key"
+
+
+@query(_merged_sql())
+def concept_merged(spark, sf_dir):
+    t = F.col("text")
+    found = concepts.merged(F.concat(concepts.definitions(t), concepts.parentheticals(t), concepts.list_definitions(t), concepts.heading_terms(t)))
+    return texts(spark, sf_dir).select("id", F.explode(found).alias("x")).select("id", "x.key", "x.name", "x.definition", F.array_join("x.sources", ",").alias("sources"))
 
 
 @query()
@@ -263,6 +376,49 @@ def formula_unique(spark, sf_dir):
     return formulas.extract(texts(spark, sf_dir))
 
 
+_SHOWN = f"SELECT id, t, k, {_strip('g1')} AS body, start, stop FROM ({_matches_sql('d', '(?s)' + chr(92) + '$' + chr(92) + '$(.+?)' + chr(92) + '$' + chr(92) + '$', 1)})"
+_FIRST = "row_number() OVER (PARTITION BY id, regexp_replace(body, '\\s+', '', 'g') ORDER BY start) = 1"
+_TRIVIAL = "regexp_matches(body, '^\\\\?[a-zA-Z]$|^\\d+$')"
+
+
+def _formulas(spark, sf_dir, kind: str) -> DataFrame:
+    return formulas.extract(texts(spark, sf_dir)).where(F.col("type") == kind)
+
+
+@query(f"WITH {_D}, x AS ({_SHOWN}) SELECT id, '$$' || body || '$$' AS latex, start AS position FROM x WHERE length(body) >= 2 AND NOT {_TRIVIAL} QUALIFY {_FIRST}")
+def formula_display(spark, sf_dir):
+    return _formulas(spark, sf_dir, "display").select("id", "latex", "position")
+
+
+_HIDDEN = f"l AS (SELECT id, {_LONE} AS t FROM d)"
+
+
+@query(f"WITH {_D}, {_HIDDEN}, x AS ({_SHOWN}), y AS (SELECT id, {_strip('g1')} AS body, start FROM ({_matches_sql('l', chr(92) + '$([^$' + chr(92) + 'n' + chr(92) + 'x01]+?)' + chr(92) + '$', 1)})) SELECT id, '$' || body || '$' AS latex, start AS position FROM y WHERE length(body) >= 3 AND regexp_matches(body, '[=<>+\\-*/_^]|\\\\[a-z]+|\\{{.*\\}}') AND NOT EXISTS (SELECT 1 FROM x WHERE x.id = y.id AND x.start <= y.start AND y.start < x.stop) QUALIFY {_FIRST}")
+def formula_inline(spark, sf_dir):
+    return _formulas(spark, sf_dir, "inline").select("id", "latex", "position")
+
+
+def _variables_sql() -> str:
+    low = "greatest(0, start - 200)"
+    window = f"substring(t, CAST({low} AS INT) + 1, CAST(least(length(t), stop + 400) - {low} AS INT))"
+    shown = f"SELECT * FROM x WHERE length(body) >= 2 AND NOT {_TRIVIAL} QUALIFY {_FIRST}"
+    v, q = (p.replace("'", "''") for p in (formulas.VARIABLE, formulas.QUANTIFIER))
+    told = f"SELECT id, position, {_strip('a[i]')} AS symbol, {_strip('b[i]')} AS meaning FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT id, position, regexp_extract_all(w, '{v}', 1) AS a, regexp_extract_all(w, '{v}', 2) AS b FROM w))"
+    counted = f"SELECT id, position, {_strip('s')}, 'quantified variable' FROM (SELECT id, position, unnest(regexp_extract_all(w, '{q}', 1)) AS s FROM w)"
+    return f"WITH {_D}, x AS ({_SHOWN}), w AS (SELECT id, start AS position, {window} AS w FROM ({shown})) {told} UNION ALL {counted}"
+
+
+@query(_variables_sql())
+def formula_variables(spark, sf_dir):
+    """Variables of display formulas."""
+    return _formulas(spark, sf_dir, "display").select("id", "position", F.explode("variables").alias("v")).select("id", "position", "v.symbol", "v.meaning")
+
+
+@query()
+def formula_context(spark, sf_dir):
+    return formulas.extract(texts(spark, sf_dir)).select("id", "position", "context_before", "context_after")
+
+
 _CROSS = graph.CROSS.replace("'", "''")
 
 
@@ -273,28 +429,97 @@ def cross_refs(spark, sf_dir):
 
 @query()
 def edges_unique(spark, sf_dir):
-    d = marked(spark, sf_dir)
-    return graph.edges(d, concepts.extract(d))
+    return graph.edges(concepts.with_concepts(marked(spark, sf_dir)))
 
 
 @query()
 def concept_clusters(spark, sf_dir):
-    d = marked(spark, sf_dir)
-    return graph.clusters(d, concepts.extract(d))
+    return graph.clusters(concepts.with_concepts(marked(spark, sf_dir))).withColumn("members", F.array_join("members", ","))
+
+
+def _given(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df with the same concepts for every text."""
+    return df.withColumn("concepts", F.array(*(F.struct(F.lit(n).alias("name")) for n in names)))
+
+
+def _find_sql(term: str) -> str:
+    """The name in NAMES that a term stands for, or null."""
+    low = f"lower({_strip(term)})"
+    exact = " ".join(f"WHEN {low} = '{n.lower()}' THEN '{n}'" for n in NAMES)
+    part = " ".join(f"WHEN contains('{n.lower()}', {low}) OR contains({low}, '{n.lower()}') THEN '{n}'" for n in NAMES)
+    return f"(CASE {exact} {part} END)"
+
+
+def _unique_sql(each: str, kind: str) -> str:
+    """each(id, src, dst, k, j): the first of each undirected pair."""
+    return f"SELECT id, src, dst, '{kind}' AS type FROM ({each}) WHERE src IS NOT NULL AND dst IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, least(src, dst), greatest(src, dst) ORDER BY k, j) = 1"
+
+
+def _compared_sql() -> str:
+    low = "greatest(0, start - 200)"
+    near = f"lower(substring(t, CAST({low} AS INT) + 1, CAST(least(length(t), stop + 200) - {low} AS INT)))"
+    listed = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+    m = f"SELECT *, CASE WHEN g1 <> '' THEN {_find_sql('g1')} END AS own, {near} AS near FROM ({_matches_sql('p', graph.COMPARISON, 3)})"
+    told = f"SELECT id, own AS src, n AS dst, k, j FROM (SELECT id, own, near, k, unnest({listed}) AS n, unnest(range(1, {len(NAMES) + 1})) AS j FROM m WHERE own IS NOT NULL) WHERE n <> own AND contains(near, lower(n))"
+    pair = f"SELECT id, {_find_sql('g2')} AS src, {_find_sql('g3')} AS dst, k, 0 AS j FROM m WHERE coalesce(g1, '') = ''"
+    return f"WITH {_P}, m AS ({m}) {_unique_sql(f'{told} UNION ALL {pair}', 'compared_with')}"
+
+
+def _listing_sql(pattern: str, kind: str) -> str:
+    m = f"SELECT id, k, {_find_sql('g1')} AS head, regexp_split_to_array({_strip('g2')}, ',\\s*|\\s+and\\s+|\\s+or\\s+|;\\s*') AS items FROM ({_matches_sql('p', pattern, 2)})"
+    i = f"SELECT id, k, head, j, {_strip('items[j]')} AS item FROM (SELECT *, unnest(range(1, len(items) + 1)) AS j FROM ({m}))"
+    tail = "regexp_replace(item, '^\\*+|\\*+$', '', 'g')"
+    return f"WITH {_P} {_unique_sql(f'SELECT id, {_find_sql(tail)} AS src, head AS dst, k, j FROM ({i}) WHERE item <> {chr(39) * 2}', kind)}"
+
+
+_FOLLOWS = f"SELECT id, {_find_sql('title')} AS src, {_find_sql('before')} AS dst, ord AS k, 0 AS j FROM (SELECT s.*, lag(s.title) OVER (PARTITION BY s.id, s.parent_ord ORDER BY s.ord) AS before FROM s JOIN s u ON u.id = s.id AND u.ord = s.parent_ord WHERE u.parent_ord IS NULL) WHERE before IS NOT NULL"
+
+
+def _edges(name: str, kind: str, sql: str):
+    def run(spark, sf_dir):
+        return graph.edges(_given(marked(spark, sf_dir), NAMES)).where(F.col("type") == kind).select("id", "src", "dst", "type")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_edges("edges_comparison", "compared_with", _compared_sql())
+_edges("edges_part_of", "part_of", _listing_sql(graph.CONTAINS, "part_of"))
+_edges("edges_example_of", "example_of", _listing_sql(graph.TYPES, "example_of"))
+_edges("edges_depends_on", "depends_on", f"WITH {_P}, {_sections_sql()} {_unique_sql(_FOLLOWS, 'depends_on')}")
+
+
+def _pairs_sql() -> str:
+    """Chained names of the paragraphs of d."""
+    here = " ".join(f"UNION ALL SELECT id, k, '{n}' AS n, {r} AS r FROM g WHERE " + (f"contains(lower(x), '{n}')" if " " in n else f"list_contains(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]+'), '{n}')") for r, n in enumerate(COMMON, 1))[10:]
+    return f"{_D}, g AS (SELECT id, k, x FROM (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS k FROM (SELECT id, regexp_split_to_array(t, '\\n\\s*\\n') AS l FROM d)) WHERE len(regexp_extract_all(x, '\\S+')) >= 5), f AS ({here}), q AS (SELECT DISTINCT id, a, b FROM (SELECT id, n AS a, lead(n) OVER (PARTITION BY id, k ORDER BY n) AS b FROM f) WHERE b IS NOT NULL)"
+
+
+@query(f"WITH {_pairs_sql()} SELECT id, a, b FROM q")
+def cooccurrence_pairs(spark, sf_dir):
+    return graph.cooccurrence(_given(texts(spark, sf_dir), COMMON))
+
+
+_RANK = "CASE n " + " ".join(f"WHEN '{n}' THEN {r}" for r, n in enumerate(COMMON, 1)) + " END"
+
+
+@query(f"WITH RECURSIVE {_pairs_sql()}, u AS (SELECT id, a, b FROM q UNION SELECT id, b, a FROM q), r AS (SELECT id, a, b FROM u UNION SELECT r.id, r.a, u.b FROM r JOIN u ON u.id = r.id AND u.a = r.b), c AS (SELECT id, a AS n, min(b) AS root FROM r GROUP BY id, a), m AS (SELECT id, root, string_agg(n, ',' ORDER BY n) AS members, count(*) AS size, min({_RANK}) AS best FROM c GROUP BY id, root) SELECT id, rank, members FROM (SELECT id, members, row_number() OVER (PARTITION BY id ORDER BY size DESC, best) AS rank FROM m) WHERE rank <= 10")
+def cooccurrence_clusters(spark, sf_dir):
+    return graph.clusters(_given(texts(spark, sf_dir), COMMON)).withColumn("members", F.array_join("members", ","))
 
 
 _HEAD = "lower(substring(t, 1, 10000))"
 
 
-def _subject_sql() -> str:
+def _subject_sql(title: str = "substring(t, 1, 40)") -> str:
     score = lambda keys: " + ".join(f"(length(s) - length(replace(s, '{k}', ''))) / {len(k)}" for k in keys)
     rows = " UNION ALL ".join(f"SELECT id, {k} AS o, '{n}' AS subject, {score(keys)} AS n FROM x" for k, (n, keys) in enumerate(metadata.SUBJECTS.items()))
-    return f"WITH {_D}, x AS (SELECT id, {_HEAD} AS s FROM d), y AS ({rows}), z AS (SELECT id, subject, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, o) AS r FROM y) SELECT id, CASE WHEN n > 0 THEN subject ELSE '' END AS subject FROM z WHERE r = 1"
+    return f"WITH {_D}, x AS (SELECT id, repeat(lower({title}) || ' ', 5) || {_HEAD} AS s FROM d), y AS ({rows}), z AS (SELECT id, subject, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, o) AS r FROM y) SELECT id, CASE WHEN n > 0 THEN subject ELSE '' END AS subject FROM z WHERE r = 1"
 
 
 @query(_subject_sql())
 def meta_subject(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", metadata.subject(F.lit(""), F.col("text")).alias("subject"))
+    return texts(spark, sf_dir).select("id", metadata.subject(F.substring("text", 1, 40), F.col("text")).alias("subject"))
 
 
 @query(f"WITH {_D}, f AS (SELECT id, substring(t, 1, 3000) AS t FROM d) SELECT id, CASE regexp_extract(t, '{metadata.EDITION}', 1) WHEN '' THEN '' WHEN '1' THEN '1st' WHEN '2' THEN '2nd' WHEN '3' THEN '3rd' ELSE regexp_extract(t, '{metadata.EDITION}', 1) || 'th' END AS edition, CASE WHEN regexp_extract(t, '{metadata.COPYRIGHT}', 1) <> '' THEN regexp_extract(t, '{metadata.COPYRIGHT}', 1) ELSE coalesce(list_max(regexp_extract_all(substring(t, 1, 2000), '{metadata.YEAR}', 1)), '') END AS year FROM f")
@@ -303,6 +528,30 @@ def meta_edition_year(spark, sf_dir):
     return texts(spark, sf_dir).select("id", metadata.edition(first).alias("edition"), metadata.year(first).alias("year"))
 
 
+def _author_sql() -> str:
+    name = lambda p: _strip(f"regexp_extract(substring(f, 1, 1000), '{_re2(p)}', 1)")
+    ok = lambda n: f"CASE WHEN {n} <> '' AND lower({n}) NOT IN ({', '.join(repr(x) for x in metadata.NOT_AUTHORS)}) THEN {n} END"
+    holder = _strip(f"regexp_extract(f, '{metadata.COPYRIGHT}', 2)")
+    return f"WITH {_D} SELECT id, coalesce({ok('a')}, {ok('b')}, {holder}) AS author FROM (SELECT *, {name(metadata.BY_AUTHOR)} AS a, {name(metadata.NAME_LINE)} AS b FROM (SELECT id, substring(t, 1, 3000) AS f FROM d))"
+
+
+@query(_author_sql())
+def meta_author(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", metadata.author(F.substring("text", 1, 3000)).alias("author"))
+
+
+def _language_sql() -> str:
+    head = "regexp_replace(regexp_replace(substring(t, 1, 5000), '(?s)\\$\\$.*?\\$\\$|\\$.*?\\$|```.*?```', '', 'g'), '[#*_\\[\\](){}|>]', '', 'g')"
+    counts = ", ".join(f"len(regexp_extract_all(h, '{p}')) AS {n}" for n, p in (("a", metadata.ARABIC), ("c", metadata.CJK), ("y", metadata.CYRILLIC), ("x", metadata.LATIN)))
+    share = lambda n: f"coalesce(CAST({n} AS DOUBLE) / nullif(a + c + y + x, 0), 0.0) > 0.3"
+    return f"WITH {_D} SELECT id, CASE WHEN {share('a')} THEN 'ar' WHEN {share('c')} THEN 'zh' WHEN {share('y')} THEN 'ru' ELSE 'en' END AS language FROM (SELECT id, {counts} FROM (SELECT id, {head} AS h FROM d))"
+
+
+@query(_language_sql())
+def meta_language(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", metadata.language(F.col("text")).alias("language"))
+
+
 @query()
 def meta_all(spark, sf_dir):
     return metadata.extract(texts(spark, sf_dir).withColumn("title", F.substring("text", 1, 40)))
@@ -327,6 +576,37 @@ def prompt_full(spark, sf_dir):
     return prompts.assemble(d, books)
 
 
+@query(f"WITH {_D} SELECT substring(sha256('in/book_' || id || '.pdf'), 1, 12) AS id, 'Book ' || id AS title, 'book_' || id || '.pdf' AS filename, 1 AS total_pages, CASE WHEN regexp_matches(t, '\\S') THEN len(regexp_extract_all('## Page 1\n\n' || t, '\\S+')) ELSE 0 END AS total_words, CASE WHEN regexp_matches(t, '\\S') THEN 'ready' ELSE 'error' END AS status FROM d")
+def ingest_books(spark, sf_dir):
+    """Every text as a file of one page; no layout reader."""
+    pages = texts(spark, sf_dir).select(F.concat(F.lit("in/book_"), "id", F.lit(".pdf")).alias("path"), F.lit(1).alias("page"), "text")
+    slow = spark.createDataFrame([], "path string, markdown string")
+    return ingest.ingest(pages, slow)["books"].select("id", "title", "filename", "total_pages", "total_words", "status")
+
+
+@query("SELECT event_id, CAST(props::JSON->>'$.k' AS INT) AS k, '{\"k\":' || (props::JSON->>'$.k') || '}' AS props FROM events")
+def import_json_columns(spark, sf_dir):
+    read = catalog.decode_json(table(spark, sf_dir, "events").select("event_id", "props"), props="struct<k:int>")
+    return catalog.encode_json(read.withColumn("k", F.col("props.k")), "props")
+
+
+@query("SELECT coalesce(n.id, o.id) AS book_id, coalesce(n.content, o.content) AS content FROM (SELECT doc_id AS id, text AS content FROM documents WHERE doc_id % 3 > 0 AND coalesce(text, '') <> '') n FULL JOIN (SELECT doc_id AS id, 'old' AS content FROM documents WHERE doc_id % 2 = 0) o ON n.id = o.id")
+def upsert_markdown(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    old = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("book_id"), F.lit("old").alias("content"))
+    return catalog.upsert_markdown(old, d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("full_markdown")), F.lit(1))
+
+
+@query(f"SELECT book_id, id AS chapter_id, number % 2 = 0 AS cached, CAST(word_count AS INT) AS words FROM ({_CHAPTERS}) WHERE word_count > 0")
+def analysis_cached(spark, sf_dir):
+    """Even chapters are in the cache; the others are analysed."""
+    chapters = _books(spark, sf_dir)[1]
+    count = F.to_json(F.struct(F.struct(F.struct("word_count").alias("stats")).alias("density")))
+    cache = chapters.where("number % 2 = 0").select("book_id", F.col("id").alias("chapter_id"), count.alias("data"))
+    found, _ = analysis.cached(chapters, cache)
+    return found.select("book_id", "chapter_id", "cached", F.get_json_object("data", "$.density.stats.word_count").cast("int").alias("words"))
+
+
 @query()
 def prompt_modes(spark, sf_dir):
     return prompts.mode_listing(spark)

@@ -1,13 +1,14 @@
 """The reference scenarios (FIXTURES.md) on literal rows, and hand-derived results for what has no scenario there."""
 
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.text import matches, occurrences
-from foliant.operators import catalog, concepts, density, formulas, graph, library, metadata, prompts, structure
-from foliant.sources.tables import Config, paged_files, pages_to_markdown
+from foliant.operators import analysis, catalog, concepts, density, formulas, graph, ingest, library, metadata, prompts, structure
+from foliant.sources.tables import Config, adaptive_markdown, decoded, legacy_library, paged_files, pages_to_markdown, title_of
 from foliant.streaming import progress
 
 
@@ -23,9 +24,13 @@ def labels(spark, text):
     return density.analyze(docs(spark, text)).first().types
 
 
+def given(df, *known):
+    """df with the same concepts for every text."""
+    return df.withColumn("concepts", F.array(*(F.struct(F.lit(n).alias("name")) for n in known)).cast("array<struct<name:string>>"))
+
+
 def edges(spark, text, *known):
-    own = spark.createDataFrame([(0, k, n) for k, n in enumerate(known)], "id long, rank int, name string")
-    return {(r.src, r.dst, r.type) for r in graph.edges(docs(spark, text), own).collect()}
+    return {(r.src, r.dst, r.type) for r in graph.edges(given(docs(spark, text), *known)).collect()}
 
 
 @pytest.mark.parametrize("pattern", [r"a+", r"\d+", r"(?<!x)y", r"é."])
@@ -74,9 +79,8 @@ def test_edges_of_nothing(spark):
 
 
 def test_clusters_join_over_paragraphs(spark):
-    own = spark.createDataFrame([(0, k, n) for k, n in enumerate(["alpha", "beta", "gamma"])], "id long, rank int, name string")
     text = "alpha meets beta in this paragraph\n\nbeta meets gamma in that paragraph"
-    assert [r.members for r in graph.clusters(docs(spark, text), own).collect()] == [["alpha", "beta", "gamma"]]
+    assert [r.members for r in graph.clusters(given(docs(spark, text), "alpha", "beta", "gamma")).collect()] == [["alpha", "beta", "gamma"]]
 
 
 def test_density_labels(spark):
@@ -146,6 +150,11 @@ def test_library_ranking(spark):
     got = {r.book_id: r for r in library.match(books.where("id = 'i'").select("id"), books, chapters, (0.3, 0.3, 0.4)).collect()}
     assert min(got["r"].name_score, got["r"].structure_score, got["r"].concept_score, got["r"].total_score) > 0.4
     assert got["u"].concept_score == 0 and got["u"].total_score < 0.2
+    assert (got["r"]["rank"], got["u"]["rank"]) == (1, 2)
+    # the same with a book that is not in the library yet
+    both = library.with_input(books.where("id <> 'i'"), chapters.where("book_id <> 'i'"), books.where("id = 'i'"), chapters.where("book_id = 'i'"))
+    again = {r.book_id: r for r in library.match(books.where("id = 'i'").select("id"), *both, (0.3, 0.3, 0.4)).collect()}
+    assert again == got
 
 
 def test_catalog(spark, tmp_path):
@@ -153,7 +162,7 @@ def test_catalog(spark, tmp_path):
     kids = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, book_id string")
     left = catalog.clear_errors({"books": books, "chapters": kids, "markdown": kids})
     assert [r.id for r in left["books"].collect()] == ["a"] and left["chapters"].count() == left["markdown"].count() == 1
-    once = catalog.upsert(books, books.where("id = 'b'").withColumn("status", F.lit("ready")), ["id"])
+    once = catalog.upsert(books, books.where("id = 'b'").withColumn("status", F.lit("ready")), ["id"], F.lit(1))
     assert once.where("status = 'ready'").count() == 2
     catalog.replace_table(once, str(tmp_path / "t"))
     catalog.replace_table(once.where("id = 'a'"), str(tmp_path / "t"))
@@ -186,4 +195,159 @@ def test_prompt(spark):
     text = one("deep_dive")
     for part in ("# Study Prompt: Chapter 1", "**Author:** J. M.", "## Chapter Structure", "Key Concepts Identified", "See Section 2", "<chapter>"):
         assert part in text
-    assert one("no such mode") == text
+    assert one("no such mode").replace("no such mode", "") == text and "## Instructions — Deep Dive Mode" in text
+
+
+def test_prompt_tree_is_indented_by_nesting(spark):
+    def tree(text):
+        out = docs(spark, text).select(prompts.tree(F.col("text"))).first()[0]
+        return [line.split("**")[0] for line in out.split("\n") if "**" in line]
+
+    assert tree("# A\n### C\n## B\n### D") == ["", "  ├─ ", "  ├─ ", "    ├─ "]
+    assert tree("## A\n#### C\n# B") == ["", "  ├─ ", ""]
+    assert tree("# 1\n## 2\n### 3\n#### 4\n##### 5\n###### 6")[-1] == "  " * 5 + "├─ "
+    assert tree("plain") == [""]
+
+
+def test_prompt_names_related_chapters(spark):
+    chapters = spark.createDataFrame([("c", "b", 1, "Logs", "# Logs", "Before", None), ("d", "b", 2, "Trees", "", None, None)], "id string, book_id string, number int, title string, full_text string, prev_chapter string, next_chapter string")
+    books = spark.createDataFrame([("b", "Storage", None, 3)], "id string, title string, author string, total_chapters int")
+    related = spark.createDataFrame([("c", "Disks", "Seeks", "related"), ("c", "Birds", None, None)], "id string, book_title string, chapter_title string, relevance string")
+    got = {r.id: r.prompt for r in prompts.assemble(chapters, books, "exam_prep", related=related).collect()}
+    assert "## Related Content From Your Library\n\n- **Birds** → Unknown *(related)*\n- **Disks** → Seeks *(related)*" in got["c"]
+    assert "**Previous:** Before" in got["c"] and "**Next:**" not in got["c"] and "Related Content" not in got["d"]
+    assert "No key concepts detected" in got["d"] and "## Instructions — Exam Preparation Mode" in got["d"]
+
+
+def test_prompts_are_exported_by_name(spark, tmp_path):
+    chapters = spark.createDataFrame([("c", "b", 1), ("d", "b", 2)], "id string, book_id string, number int")
+    books = spark.createDataFrame([("b", "Storage")], "id string, title string")
+    made = spark.createDataFrame([("c", "quick_review", "one\ntwo"), ("d", "quick_review", "three")], "id string, mode string, prompt string")
+    prompts.export(made, chapters, books, str(tmp_path / "out"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*")}
+    assert files == {"file=Ch_1_quick_review.txt": "one\ntwo\n", "file=Ch_2_quick_review.txt": "three\n"}
+
+
+def test_analysis_is_cached(spark):
+    chapters = spark.createDataFrame([("c", "b", "# Logs\n\n**Log**: an append only file."), ("d", "b", "# Two\n\nother"), ("e", "b", "  ")], "id string, book_id string, full_text string")
+    cache = spark.createDataFrame([("b", "d", "{}"), ("x", "y", "{}")], "book_id string, chapter_id string, data string")
+    found, after = analysis.cached(chapters, cache)
+    got = {r.chapter_id: r for r in found.collect()}
+    assert {k: r.cached for k, r in got.items()} == {"c": False, "d": True} and got["d"].data == "{}"
+    data = json.loads(got["c"].data)
+    assert data["structure"]["heading_count"] == 1 and data["density"]["stats"]["word_count"] == 7
+    assert "Log" in {c["name"] for c in data["concepts"]} and set(data) == {"structure", "concepts", "formulas", "dependencies", "density"}
+    assert after.count() == 3 and all(r.cached for r in analysis.cached(chapters, after)[0].collect())
+    assert analysis.analyze(docs(spark, None, "")).count() == 2
+
+
+def test_concepts_of_rows_with_equal_ids_stay_apart(spark):
+    rows = spark.createDataFrame([(1, "**Alpha**: one."), (1, "**Beta**: two."), (1, None)], "id long, text string")
+    assert sorted(r["name"] for r in concepts.extract(rows).collect()) == ["Alpha", "Beta"]
+    assert "Exchange" not in concepts.extract(rows)._jdf.queryExecution().executedPlan().toString()
+    assert [r.importance for r in concepts.storable(concepts.extract(docs(spark, "# Cache\n\n**Cache**: fast store. cache cache cache cache cache"))).collect()][0] == "high"
+
+
+def test_relations_need_no_shuffle(spark):
+    rows = concepts.with_concepts(docs(spark, "**Queue** vs Stack"))
+    for df in (graph.edges(rows), graph.clusters(rows), density.by_section(rows), formulas.extract(rows)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_files_are_sought_inside_stored_paths(spark):
+    found = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",), ("/in/c.pdf",)], "path string")
+    stored = spark.createDataFrame([("/raw/a.pdf",), ("/raw/1234_b.pdf",)], "path string")
+    assert [r.path for r in catalog.new_files(found, stored).collect()] == ["/in/c.pdf"]
+
+
+def test_json_columns(spark):
+    rows = spark.createDataFrame([(1, '["a","b"]'), (2, None), (3, "broken")], "id long, sub_headings string")
+    got = catalog.decode_json(rows, sub_headings="array<string>")
+    assert [r.sub_headings for r in got.orderBy("id").collect()] == [["a", "b"], [], []]
+    assert [r.sub_headings for r in catalog.encode_json(got, "sub_headings").orderBy("id").collect()] == ['["a","b"]', "[]", "[]"]
+
+
+def test_catalog_edges(spark, tmp_path):
+    books = spark.createDataFrame([("a", "ready")], "id string, status string")
+    kids = spark.createDataFrame([("1", "a", "x"), ("2", "gone", "y")], "id string, book_id string, _new string")
+    assert [r.id for r in catalog.orphans(kids, books).collect()] == ["2"] and catalog.exists(books, "a") and not catalog.exists(books, "b")
+    assert catalog.missing(kids, kids.where("id = '1'"), ["id"]).count() == 1
+    changed = catalog.set_study_status(kids.withColumn("study_status", F.lit("not_started")), spark.createDataFrame([("1", "completed"), ("2", "odd")], "id string, study_status string"))
+    assert {r.id: (r.study_status, r._new) for r in changed.collect()} == {"1": ("completed", "x"), "2": ("not_started", "y")}
+    marks = catalog.upsert_markdown(spark.createDataFrame([("a", "old")], "book_id string, content string"), spark.createDataFrame([("a", ""), ("b", "new")], "id string, full_markdown string"), F.lit(1))
+    assert {(r.book_id, r.content) for r in marks.collect()} == {("a", "old"), ("b", "new")}
+    at = str(tmp_path / "t")
+    catalog.replace_table(books, at)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as after a crash between the two renames
+    assert catalog.read_table(spark, at).count() == 1
+    catalog.replace_table(books.union(books), at)
+    assert catalog.read_table(spark, at).count() == 2
+
+
+def test_three_column_keys_and_order(spark):
+    old = spark.createDataFrame([("b", "c", "m", "old", 1)], "book_id string, chapter_id string, mode string, content string, v int")
+    new = spark.createDataFrame([("b", "c", "m", "late", 3), ("b", "c", "m", "mid", 2), ("b", "c", "n", "other", 1)], old.schema)
+    got = catalog.upsert(old, new, ["book_id", "chapter_id", "mode"], F.col("v"))
+    assert {(r.mode, r.content) for r in got.collect()} == {("m", "late"), ("n", "other")}
+
+
+def test_adaptive_source(spark, tmp_path):
+    pages = spark.createDataFrame([("thin", 1, "few"), ("thin", 2, ""), ("rich", 1, "word " * 80)], "path string, page int, text string")
+    slow = spark.createDataFrame([("thin", "# Scanned"), ("only", "a\n---\nb\n-----\nc"), ("rich", "unused")], "path string, markdown string")
+    got = {r.path: r for r in adaptive_markdown(pages, slow).collect()}
+    assert (got["thin"].markdown, got["thin"].pages, got["thin"].fast) == ("# Scanned", 2, False)
+    assert (got["only"].markdown, got["only"].pages) == ("a\n---\nb\n-----\nc", 3) and got["rich"].fast and "word" in got["rich"].markdown
+    raw = spark.createDataFrame([(b"caf\xc3\xa9 ",), (b"caf\xe9",), (None,)], "x binary")
+    assert [r[0] for r in raw.select(decoded(F.col("x"))).collect()] == ["café", "café", ""]
+    assert spark.range(1).select(title_of(F.lit("/in/deep_waters-ii.pdf"))).first()[0] == "Deep Waters Ii"
+    (tmp_path / "x.pdf").write_bytes(b"one")
+    row = paged_files(spark, str(tmp_path), lambda raw: [raw.decode()], info=lambda raw: {"author": b"Jos\xe9 ", "subject": None}).first()
+    assert (row.info_author, row.info_subject, row.error) == ("José", "", None)
+    (tmp_path / "old" / "books" / "b" / "chapters").mkdir(parents=True)
+    (tmp_path / "old" / "index.json").write_text('[{"id": "b", "title": "T"}, {"title": "none"}]')
+    (tmp_path / "old" / "books" / "b" / "chapters" / "1.json").write_text('{"id": "c", "title": "One"}')
+    books, chapters = legacy_library(spark, str(tmp_path / "old"))
+    assert [r.id for r in books.collect()] == ["b"] and [(r.id, r.book_id) for r in chapters.collect()] == [("c", "b")]
+
+
+def test_discovery_and_progress_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.pdf").write_bytes(b"1")
+
+    def run():
+        q = progress.discover(spark, str(source)).select("path").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 1
+    (source / "b.pdf").write_bytes(b"2")
+    assert run() == 2  # the first file is not seen again
+    jobs = tmp_path / "jobs"
+    spark.createDataFrame([("a", 1, "new"), ("a", 2, "done")], "job string, seq long, state string").write.parquet(str(jobs))
+    q = progress.latest_stream(spark.readStream.schema("job string, seq long, state string").parquet(str(jobs))).writeStream.outputMode("update").format("memory").queryName("latest").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.job, r.state) for r in spark.table("latest").collect()] == [("a", "done")]
+
+
+def test_jobs_report_their_progress(spark, tmp_path):
+    jobs = progress.Jobs(spark, str(tmp_path / "events"))
+    good = jobs.submit("a", lambda progress: (progress("reading", 10), progress("writing", 60), 42)[-1])
+    bad = jobs.submit("b", lambda progress: 1 / 0)
+    assert good.result(60) == 42 and isinstance(bad.exception(60), ZeroDivisionError)
+    assert {(r.job, r.state) for r in progress.latest(jobs.events()).collect()} == {("a", "done"), ("b", "error")}
+    assert [r.state for r in progress.changes(jobs.events()).where("job = 'a'").orderBy("seq").collect()] == ["reading", "writing", "done"]
+
+
+def test_ingestion(spark):
+    rich = "# One\n\n**Log**: an append only file. " + "word " * 60 + "\n# Two\n\nby Jane Miller\n\n$$a^2 + b = c$$ where a is the side of it."
+    pages = spark.createDataFrame([("in/deep_waters.pdf", 1, rich, "J. M.", None), ("in/thin.pdf", 1, "few", "", None), ("in/bad.pdf", 0, "", "", "broken")], "path string, page int, text string, info_author string, error string")
+    slow = spark.createDataFrame([("in/thin.pdf", "# Scanned\n\nby Jane Miller")], "path string, markdown string")
+    made = ingest.ingest(pages, slow, uploaded=7.0)
+    books = {r.filename: r for r in made["books"].collect()}
+    one, thin, bad = (books[f] for f in ("deep_waters.pdf", "thin.pdf", "bad.pdf"))
+    assert (one.title, one.author, one.total_chapters, one.status, one.upload_date) == ("Deep Waters", "J. M.", 2, "ready", 7.0)
+    assert (thin.author, thin.status, bad.status, bad.chapter_ids) == ("Jane Miller", "ready", "error", [])
+    chapters = {r.title: r for r in made["chapters"].where(F.col("book_id") == one.id).collect()}
+    assert set(one.chapter_ids) == {r.id for r in chapters.values()} and {c["name"] for c in chapters["One"].concepts} == {"Log"}
+    assert [f.latex for f in chapters["Two"].formulas] == ["$$a^2 + b = c$$"] and made["markdown"].count() == 2
