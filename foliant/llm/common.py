@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,12 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(spark, "_foliant_scratch"):
-        spark._foliant_scratch = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        folder = tempfile.mkdtemp(prefix="foliant-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark._foliant_scratch = "file://" + folder
     return spark._foliant_scratch
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives the loss of any executor, is computed once."""
+def written(df: DataFrame, release: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, survives the loss of any executor, is computed once.
+    release: let go of the shuffle files that made it; Spark deletes them once nothing on the driver refers to them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -35,6 +40,8 @@ def written(df: DataFrame) -> DataFrame:
     if not hasattr(spark, "_foliant_tables"):
         spark._foliant_tables = set()
     spark._foliant_tables.add(path)
+    if release:
+        spark._jvm.System.gc()
     return out
 
 
@@ -70,9 +77,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no result needs any more."""
+    """Delete tables made by written() that no result needs any more, and let go of the shuffle files that made them."""
     for df in tables:
         _delete(df.sparkSession, df._foliant_path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def discard_all(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b), longs, any direction, repeats and loops allowed -> (node, root): the least node of its component.
 
     Nodes without an edge to another node do not appear. Every step is a join and an aggregate with map-side
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     canonical = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current, seen = written(canonical(edges)), None
-    for _ in range(max_rounds):
+    while True:  # the steps settle in O(log^2) rounds
         both = current.union(current.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -30,4 +30,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
-    raise RuntimeError("components did not settle")

@@ -22,6 +22,7 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import discard, once, remainder, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Examples in a block; a term that over one in OFTEN examples holds is bounded by blocks before it is scored.
-BLOCK, OFTEN = 32, 16
+#: Examples in a block; a term that over one in OFTEN examples holds, so at most OFTEN times an example's mean number of terms, has its weights in a
+#: dense row and is bounded by blocks before it is scored.
+BLOCK, OFTEN = 32, 8
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +51,6 @@ def delta_idf(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.abs(np.log((n0 + 1) / (b + 1)) - np.log((n1 + 1) / (a + 1)))
 
 
-def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... count[0] of them, then those from first[1] on."""
-    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-
-
 class Index:
     """Unit TF-IDF vectors of the examples in blocks, largest weights by term and block, calibrated votes."""
 
@@ -68,25 +65,27 @@ class Index:
         self.vectors = [vectors[n] for n in order]
         term = np.concatenate([t for t, _ in self.vectors]) if len(order) else np.zeros(0, np.int64)
         by = np.argsort(term, kind="stable")
-        self.number = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by]
-        self.value = (np.concatenate([w for _, w in self.vectors])[by] if len(order) else np.zeros(0)).astype(np.float32)
+        value = (np.concatenate([w for _, w in self.vectors])[by] if len(order) else np.zeros(0)).astype(np.float32)
+        # a posting's two numbers lie together, as memory is what a query waits for
+        self.posting = np.stack([np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by], value.view(np.int32)], 1).view(np.int64).ravel()
         term = term[by]
         self.first = np.searchsorted(term, np.arange(len(terms) + 1))
         often = np.flatnonzero(np.diff(self.first) * OFTEN > len(order))
         self.often = np.full(len(terms), -1, np.int32)
         self.often[often] = np.arange(len(often))
         self.blocks = -(-len(order) // BLOCK)
-        edges = np.arange(0, (self.blocks + 1) * BLOCK, BLOCK)
-        self.start = np.array([self.first[t] + np.searchsorted(self.number[self.first[t] : self.first[t + 1]], edges) for t in often], np.int32).reshape(-1, self.blocks + 1)
-        self.most = np.zeros((len(often), self.blocks), np.float32)
-        for t, most in zip(often, self.most, strict=True):
-            own = slice(self.first[t], self.first[t + 1])
-            np.maximum.at(most, self.number[own] // BLOCK, self.value[own])
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        for t, row in zip(often, self.dense, strict=True):
+            own = self.posting[self.first[t] : self.first[t + 1]].view(np.int32)
+            row[own[::2]] = own[1::2].copy().view(np.float32)
+        self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
+        self.most = self.dense.max(2, initial=0)
         self.x = self.p = np.zeros(0)
         self.memo: dict = {}
+        self.places: dict[str, int] = {}  # of words met, their place in terms or -1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "places": {}}
 
     def _unit(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(count)) * self.idf[at]
@@ -94,10 +93,19 @@ class Index:
         return at, w / math.sqrt((w * w).sum()) if len(w) else w
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        key, count = counted(text)
-        at = np.searchsorted(self.terms, key)
-        known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == key) if len(self.terms) else at[:0]
-        return self._unit(at[known], count[known])
+        own = Counter(WORD.findall(text.lower())) if text else {}
+        at = np.fromiter(map(self.places.get, own, repeat(-2)), np.int64, len(own))
+        if len(new := np.flatnonzero(at == -2)):
+            words = list(own)
+            words = [words[k] for k in new.tolist()]
+            key = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            place = np.minimum(np.searchsorted(self.terms, key), max(0, len(self.terms) - 1))
+            at[new] = np.where(self.terms[place] == key, place, -1) if len(self.terms) else -1
+            if len(self.places) > 200_000:
+                self.places.clear()
+            self.places.update(zip(words, at[new].tolist(), strict=True))
+        known = at >= 0
+        return self._unit(at[known], np.fromiter(own.values(), np.int64, len(own))[known])
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, exactly: (numbers, cosines)."""
@@ -105,18 +113,20 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         row = self.often[terms]
         rare, often = row < 0, row[row >= 0]
-        count = self.first[terms[rare] + 1] - self.first[terms[rare]]
-        post = _ranges(self.first[terms[rare]], count)
-        score = np.bincount(self.number[post], np.repeat(w[rare], count) * self.value[post], self.blocks * BLOCK).astype(float)
+        spans = list(zip(self.first[terms[rare]].tolist(), self.first[terms[rare] + 1].tolist(), strict=True))
+        score = np.zeros(self.blocks * BLOCK)
+        if spans:
+            post = np.concatenate([self.posting[i:j] for i, j in spans]).view(np.int32)
+            value = post.view(np.float32)[1::2]
+            score += np.bincount(post[::2], np.repeat(w[rare], [j - i for i, j in spans]) * value, len(score))
         if skip >= 0:
             score[skip] = 0
         if len(often):
-            bound = (w[~rare] @ self.most[often] + score.reshape(-1, BLOCK).max(1)) * (1 + 1e-6)
-            chosen = np.flatnonzero(bound >= self._floor(score))
-            first, last = (self.start[often[:, None], chosen + k].ravel() for k in (0, 1))
-            post = _ranges(first, last - first)
-            own = np.repeat(np.repeat(w[~rare], len(chosen)), last - first)
-            score = score + np.bincount(self.number[post], own * self.value[post], len(score))
+            own, score = w[~rare].astype(np.float32), score.reshape(-1, BLOCK)
+            bound = (own @ self.most[often] + score.max(1)) * (1 + 1e-5)
+            chosen = np.flatnonzero(bound >= self._floor(score.ravel()))
+            score[chosen] += np.tensordot(own, self.dense[often[:, None], chosen], 1)
+            score = score.ravel()
             if skip >= 0:
                 score[skip] = 0
         n = np.flatnonzero((score >= self._floor(score)) & (score > 0))

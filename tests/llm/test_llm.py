@@ -644,3 +644,162 @@ def test_pipeline_stages_keep_columns(spark):
         docs, kept = out, out.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == kept
+
+
+def _written(spark, path, docs):
+    """A folder of tables for the pipeline: docs, a few labels and benchmark items."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "an item of its own with ten words or so"), (2, ""), (3, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_on_odd_tables(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, an empty table: one copy of each clean text is packed."""
+    out = corpus_pipeline.run(spark, _written(spark, tmp_path / "t", odd)).where("start = 0").collect()
+    n = odd.count()
+    assert sorted((r.doc_id for r in out), key=str) == ([1, 3, 5, 6, None] if n and not any(r.doc_id == 4 for r in out) else [1, 3, 4, 5, 6, None] if n else [])
+
+
+@pytest.mark.parametrize("stage", ["deduplicated", "near", "clean", "urls"])
+def test_more_edge_cases(spark, odd, stage):
+    n = odd.count()
+    bench = spark.createDataFrame([(1, "same text here now"), (2, ""), (3, None)], "item_id long, text string")
+    if stage == "clean":
+        assert decontaminate.clean(odd, bench).count() == max(0, n - 2) and decontaminate.clean(odd, bench.limit(0)).count() == n
+    elif stage == "urls":
+        pages = odd.withColumn("page_id", F.col("doc_id")).withColumn("url", F.when(F.col("doc_id") == 3, F.concat(F.lit("http://a.org/"), F.repeat(F.lit("x/"), 50_000))).otherwise(F.col("text"))).withColumn("confidence", F.lit(7)).withColumn("host", F.lit("h"))
+        labels = spark.createDataFrame([(3, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+        for known in (labels, labels.limit(0)):
+            got = urls.filtered(pages, known).collect()
+            assert len(got) == n and {r.verdict for r in got} <= {"allow"} and all((r.host == "a.org") == (r.page_id == 3) for r in got)
+    else:
+        out = (simhash if stage == "deduplicated" else nearcopies).deduplicated(odd)
+        assert out.columns == odd.columns and out.count() == (n - 2 if n else 0)
+
+
+def test_packing_does_not_hang_on_how_the_scan_is_cut(spark, tmp_path):
+    """Repeated rows and pieces of equal length included."""
+    import public_tokenizers
+
+    path = str(tmp_path / "d")
+    frame(spark, [(k % 50, f"text {k % 9} " * (k % 7 * 300)) for k in range(200)]).repartition(3).write.parquet(path)
+    before, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got.append(sorted(map(tuple, packing.pack(spark.read.parquet(path), public_tokenizers.path("word_bpe_49k.json"), group_pieces=64).collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1]
+
+
+def test_shards_match_brute_force(spark):
+    """Sizes, digests, slots and groups, recomputed from the texts."""
+    out = queries.op5_sharding(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(out) == len(texts)
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw)) and r.law == "bytes" and r.grown_shard is None
+    slots, home = {}, {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert home.setdefault(texts[r.doc_id], r.shard) == r.shard
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and slots.keys() == set(range(8))
+
+
+def test_median_splits_match_brute_force(spark):
+    """Each split of the tree lies at the weighted median of its node, along the dimension of the widest weighted spread."""
+    rng = random.Random(21)
+    rows = [(k, rng.randint(1, 50), rng.random(), rng.random() * 0.3) for k in range(400)]
+    groups = spark.createDataFrame([(w, k, x, y) for k, w, x, y in rows], "weight long, tie long, a double, b double")
+    nodes, node = sharding.kd_leaves(groups, ["a", "b"], 4)
+    of = {r.tie: r.n for r in groups.select("tie", node.alias("n")).collect()}
+    inside = {0: set(of)}
+    for n, x in nodes.items():
+        own = [r for r in rows if r[0] in inside[n]]
+        total = sum(r[1] for r in own)
+        if not x.children:
+            assert {k for k, m in of.items() if m == n} == inside[n]
+            continue
+        spread = []
+        for d in (2, 3):
+            mean = sum(r[1] * r[d] for r in own) / total
+            spread.append(sum(r[1] * (r[d] - mean) ** 2 for r in own))
+        assert x.dim == spread.index(max(spread)) and x.weight == total
+        own.sort(key=lambda r: r[2 + x.dim])
+        best = min(range(len(own) + 1), key=lambda k: abs(sum(r[1] for r in own[:k]) - total / 2))
+        left = {k for k in inside[n] if any(of[k] == c or of[k] in nodes[c].children for c in x.children[:1])}
+        assert abs(sum(r[1] for r in own if r[0] in left) - total / 2) <= abs(sum(r[1] for r in own[:best]) - total / 2) + total / 1000 + 50
+        inside[x.children[0]], inside[x.children[1]] = left, inside[n] - left
+
+
+def test_langid_matches_brute_force(spark):
+    """Word log frequencies, and for unseen words the longest known n-grams, by the definitions on plain dictionaries."""
+    rows = [(1, "the cat sat on the mat", "en"), (2, "the dog sat", "en"), (4, "le chat est sur le tapis", "fr"), (5, "le chien est grand", "fr"), (6, None, "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d, F.lit(True))
+    count, docs = {}, Counter(x for *_, x in rows)
+    for _, t, x in rows:
+        for w in (t or "").split():
+            count.setdefault(w, Counter())[x] += 1
+    langs = ["en", "fr"]
+    seen = {x: sum(c[x] for c in count.values()) for x in langs}
+    known = {w: c for w, c in count.items() if sum(c.values()) >= 2}
+    grams = {}
+    for w, c in count.items():
+        m = f"<{w}>"
+        for n in range(1, 6):
+            for k in range(len(m) - n + 1):
+                for x in c:
+                    g = grams.setdefault(m[k : k + n], Counter())
+                    g[x] += np.sqrt(c[x])
+    total = {(n, x): sum(g[x] for s, g in grams.items() if len(s) == n) for n in range(1, 6) for x in langs}
+
+    def score(text, x):
+        out = np.log(docs[x] / len(rows))
+        for w in text.split():
+            if w in known:
+                out += np.log((known[w][x] + 0.05) / (seen[x] + 0.05 * (len(known) + 1)))
+                continue
+            m, k = f"<{w}>", 0
+            while k < len(m):
+                n = next((n for n in range(min(5, len(m) - k), 0, -1) if m[k : k + n] in grams), 0)
+                if n:
+                    out += np.log((grams[m[k : k + n]][x] + 0.05) / (total[n, x] + 0.05 * (len(grams) + 1)))
+                k += n or 1
+        return out
+
+    for text in ("the chat", "tapis mat zzz", "catte", "un grand doggo est the", "q"):
+        s = np.array([score(text, x) for x in langs])
+        p = np.exp((s - s.max()) / np.sqrt(len(text.split())))
+        lang, got = model.predict(text)
+        assert lang == langs[s.argmax()] and abs(got - p.max() / p.sum()) < 1e-4, text
+    assert model.predict(None) == model.predict("12 ?!") == ("und", 0.0)
+
+
+def test_many_spans_of_one_text(spark):
+    """Thousands of spans, some touching base spans: the same as a plain scan."""
+    rng = random.Random(13)
+    parts = []
+    for _ in range(1500):
+        parts.append(rng.choice([f"token = {rng.getrandbits(64):016x}", "Zq9" + "".join(rng.choice("aB3x/=") for _ in range(25)), f"{rng.getrandbits(80):020x}", "word", 'secret="Ab1-"x', "Key9Zz" + f"{rng.getrandbits(64):016x}Xy", "\x01"]))
+    text = " ".join(parts)
+    base = []
+    for kind, p, g, least in secrets.BASE:
+        base += [(m.start(), kind, m.end()) for m in re.finditer(p.replace("(?i:password|passwd|secret|token|api_?key)", "(?:[Pp]assword|passwd|secret|token|api_?key)"), text) if len(m[g]) >= least]
+    more = [(m.start(), "generic", m.end()) for m in re.finditer(secrets.FURTHER[1], text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    starts = sorted((a, b) for a, _, b in base)
+    apart = [x for x in more if not any(a < x[2] and x[0] < b for a, b in starts)]
+    got = secrets.digests(frame(spark, [(1, text)])).first()
+    assert sorted(got.spans.split(",")) == sorted(f"{k}:{a}:{b}" for a, k, b in base + apart) and len(apart) < len(more)
+
+
+def test_fast_tokens_equal_the_tokenizer_on_random_texts():
+    import public_tokenizers
+    from foliant.llm.tokens import _RANGE, WordTokenizer
+
+    own = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(17)
+    chars = [c for c in _RANGE if ord(c) not in range(0xD800, 0xE000)] + [chr(k) for k in (*range(0x2000, 0x2070), *range(0x20A0, 0x20C0), 0x4E2D, 0x1F600, 0x3A3, 0x301)]
+    texts = ["".join(rng.choices(chars, k=rng.randint(1, 60))) for _ in range(400)] + [f"a{c}b {c}{c} 'S{c}" for c in chars]
+    assert all((a == b).all() for a, b in zip(own.many(texts), (own.whole.encode(t, add_special_tokens=False).ids for t in texts), strict=True) if len(a) == len(b)) and [len(a) for a in own.many(texts)] == [len(own.whole.encode(t, add_special_tokens=False).ids) for t in texts]
