@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -50,27 +49,28 @@ def _sequence(a: list[str], b: list[str]) -> float:
     return _ratio(a, b)
 
 
-def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tuple[float, float, float] = (0.2, 0.3, 0.5)) -> DataFrame:
+def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tuple[float, float, float] = (0.2, 0.3, 0.5), block: int = 256) -> DataFrame:
     """inputs(id), books(id, title), chapters(book_id, number, title, terms) -> scores of every other book for each input,
     ranked: rank 1 is the largest total, ties by book id.
 
-    The input set is stated by the caller; each of its books meets every other book, as every pair gets a score. Titles and chapter
-    lists travel once per input and side, dealt by input, and ranks are numbered within an input.
+    The input set is stated by the caller; each of its books meets every other book, as every pair gets a score. Inputs and books are
+    dealt to blocks of about ``block``, and block meets block in a task, so titles and chapter lists travel once a block, not once a pair.
     """
     titles = chapters.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "title"))), lambda x: x.title).alias("chapters"))
     full = books.join(titles, books.id == titles.book_id, "left").select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("chapters", F.array().cast("array<string>")).alias("chapters"))
     terms = chapters.select(F.col("book_id").alias("id"), F.explode("terms").alias("term")).select("id", F.lower("term").alias("term"))
     scores = cosine(tfidf(terms), inputs)
-    left = full.join(inputs.select("id"), "id", "left_semi").select(F.col("id").alias("input_id"), F.col("title").alias("at"), F.col("chapters").alias("ac"))
-    pairs = left.join(full.select(F.col("id").alias("book_id"), F.col("title").alias("bt"), F.col("chapters").alias("bc")), F.col("input_id") != F.col("book_id"))
+    left = full.join(inputs.select("id"), "id", "left_semi").select(F.col("id").alias("input_id"), F.col("title").alias("own"), F.col("chapters").alias("ac"))
+    right = full.select(F.col("id").alias("book_id"), F.col("title").alias("bt"), F.col("chapters").alias("bc"))
+    m, n = (max(1, -(-df.count() // block)) for df in (left, right))
+    dealt = lambda df, own, size, key, other, count: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(size))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            name = [_ratio(x.lower(), y.lower()) for x, y in zip(b["at"], b["bt"], strict=True)]
-            structure = [_sequence(list(x), list(y)) for x, y in zip(b["ac"], b["bc"], strict=True)]
-            yield pd.DataFrame({"input_id": b["input_id"], "book_id": b["book_id"], "n": name, "s": structure})
+    def ratios(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [(x.input_id, y.book_id, _ratio(x.own.lower(), y.bt.lower()), _sequence(list(x.ac), list(y.bc))) for x in own.itertuples() for y in others.itertuples() if x.input_id != y.book_id]
+        return pd.DataFrame(out, columns=["input_id", "book_id", "n", "s"])
 
-    rated = pairs.mapInPandas(ratios, "input_id string, book_id string, n double, s double").join(scores, ["input_id", "book_id"], "left")
+    met = dealt(left, "a", m, "input_id", "b", n).groupBy("a", "b").cogroup(dealt(right, "b", n, "book_id", "a", m).groupBy("a", "b"))
+    rated = met.applyInPandas(ratios, "input_id string, book_id string, n double, s double").join(scores, ["input_id", "book_id"], "left")
     c = F.coalesce("concept_score", F.lit(0.0))
     total = weights[0] * F.col("n") + weights[1] * F.col("s") + weights[2] * c
     return rated.select("input_id", "book_id", F.round("n", 4).alias("name_score"), F.round("s", 4).alias("structure_score"), c.alias("concept_score"), F.round(total, 4).alias("total_score")).withColumn("rank", F.row_number().over(W.partitionBy("input_id").orderBy(F.desc("total_score"), "book_id")))

@@ -36,7 +36,7 @@ def library(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def decoded(raw: Column) -> Column:
     """Bytes as text: UTF-8, or Latin-1 where they are not valid UTF-8; stripped, null as empty."""
-    return strip(F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, F.lit("ISO-8859-1"))), F.lit("")))
+    return strip(F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1")), F.lit("")))
 
 
 def _pypdf(raw: bytes) -> tuple[list[str], dict[str, str]]:

@@ -349,5 +349,5 @@ def test_ingestion(spark):
     assert (one.title, one.author, one.total_chapters, one.status, one.upload_date) == ("Deep Waters", "J. M.", 2, "ready", 7.0)
     assert (thin.author, thin.status, bad.status, bad.chapter_ids) == ("Jane Miller", "ready", "error", [])
     chapters = {r.title: r for r in made["chapters"].where(F.col("book_id") == one.id).collect()}
-    assert set(one.chapter_ids) == {r.id for r in chapters.values()} and {c["name"] for c in chapters["One"].concepts} == {"Log"}
+    assert set(one.chapter_ids) == {r.id for r in chapters.values()} and {c["name"] for c in chapters["One"].concepts} == {"Log", "One"}
     assert [f.latex for f in chapters["Two"].formulas] == ["$$a^2 + b = c$$"] and made["markdown"].count() == 2
