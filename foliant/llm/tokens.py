@@ -24,8 +24,10 @@ def _class(kind: str) -> str:
     return "".join(f"\\u{ord(c):04x}" for c in _RANGE if unicodedata.category(c)[0] == kind)
 
 
-#: Characters whose classes are the same in every table: Latin, Greek but capital sigma, Cyrillic, dashes and quotes, currency signs.
-_OTHER = re.compile("[^\x00-\u02ff\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+#: Characters whose lower case lies outside _RANGE.
+_FAR = "".join(c for c in _RANGE if any(x not in _RANGE for x in c.lower()))
+#: Any but the characters whose classes are the same in every table: Latin, Greek but capital sigma, Cyrillic, dashes and quotes, currency signs.
+_OTHER = re.compile(f"[^\x00-\u02ff\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[{_FAR}]")
 #: The split that the fast way knows: contractions, letter runs, single numbers, runs of anything else but white space.
 _KNOWN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
