@@ -24,6 +24,8 @@ TEXTS: tuple[tuple[int, str], ...] = (
     (9000007, ""),
     (9000008, "Memory includes the Heap, pools and the Stack. A Container consists of **Queue**; Heap or nothing else.\n\nKinds of Memory: Heap, Stack or pools.\n\nStack versus Queue, similar to a Heap, differs from Memory.\n\nThe Heap and the Stack and Memory meet here.\n\nA Queue waits near a Container every day."),
     (9000009, "# Top\n\n## Queue\n\nThe queue holds more than the twenty words that a section needs before it is counted as one by the density of its text, so here they are.\n\n## Stack\n\n### Heap\n\nx\n\n## Memory\n\ny\n\n# Other\n\n## Heap\n\nz"),
+    (9000010, "short\n---\n" + " ".join(f"w{k}" for k in range(120)) + "\n-----\n# Late\n" + "more " * 105 + "\n---\n\n---\nend"),
+    (9000011, "# Part I: Alpha\nx\n# Part V: Beta\ny\n## 7. Gamma\n### Sub\n# Part V: Beta\nlater\n# 12 Delta\n## Sub one\n## Sub two\nz"),
 )
 #: Concepts that the relation queries are asked about, in rank order; the same stand in the SQL.
 NAMES = ("Hash Index", "Sorted Table", "Queue", "Stack", "Heap", "Container", "Memory")
@@ -232,9 +234,36 @@ def structure_summary(spark, sf_dir):
     return structure.summary(marked(spark, sf_dir))
 
 
-@query()
+def _chapters_sql() -> str:
+    """The four rules, the first with a result."""
+    ends = lambda src: f"SELECT *, coalesce(lead(start) OVER (PARTITION BY id ORDER BY k), length(t)) AS fin FROM ({src})"
+    first = lambda *g: "CASE " + " ".join(f"WHEN coalesce({a}, '') <> '' THEN {b}" for a, b in g) + " ELSE '' END"
+    piece = _strip("substring(t, CAST(start AS INT) + 1, CAST(fin - start AS INT))")
+    digits, name = first(("g2", "g2"), ("g4", "g4"), ("g6", "g6")), _strip(first(("g2", "g3"), ("g4", "g5"), ("g6", "g7")))
+    number = f"CASE WHEN regexp_matches({digits}, '^\\d+$') THEN TRY_CAST({digits} AS INT) ELSE k END"
+    skipped = ", ".join(f"'{x}'" for x in structure.SKIPPED)
+    line = f"substring(regexp_replace({_strip('string_split(x, chr(10))[1]')}, '^#+\\s*', ''), 1, 80)"
+    ctes = [
+        _D,
+        f"n AS ({ends(_matches_sql('d', _re2(structure.NUMBERED), 7))})",
+        f"h AS ({ends(_matches_sql('d', _re2(structure.TOP), 1))})",
+        f"a AS (SELECT id, k, {number} AS number, {name} AS title, length(g1) AS level, start, fin, {piece} AS x, ':ch' || ({number}) || ':' || ({name}) AS seed FROM n)",
+        f"u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS r, {_strip('g1')} AS title FROM h WHERE lower({_strip('g1')}) NOT IN ({skipped}))",
+        f"b AS (SELECT id, r AS k, r AS number, title, 1 AS level, start, fin, {piece} AS x, ':h:' || title AS seed FROM u)",
+        f"l AS (SELECT id, {_strip('x')} AS x, row_number() OVER (PARTITION BY id ORDER BY j) AS k FROM (SELECT id, unnest(q) AS x, unnest(range(1, len(q) + 1)) AS j FROM (SELECT id, regexp_split_to_array(t, '\\n-{{3,}}\\n') AS q FROM d)) WHERE len(regexp_extract_all(x, '\\S+')) > 100)".replace("{{3,}}", "{3,}"),
+        f"m AS (SELECT *, CASE WHEN {line} <> '' THEN {line} ELSE 'Section ' || k END AS title FROM l)",
+        "c AS (SELECT id, k, k AS number, title, 1 AS level, 0 AS start, length(x) AS fin, x, ':sec' || k || ':' || title AS seed FROM m)",
+        "w AS (SELECT id, 1 AS k, 1 AS number, 'Full Document' AS title, 1 AS level, 0 AS start, length(t) AS fin, t AS x, ':full' AS seed FROM d)",
+        "o AS (SELECT id, CASE WHEN (SELECT count(*) FROM n WHERE n.id = d.id) >= 2 THEN 1 WHEN (SELECT count(*) FROM h WHERE h.id = d.id) >= 2 AND EXISTS (SELECT 1 FROM u WHERE u.id = d.id) THEN 2 WHEN EXISTS (SELECT 1 FROM c WHERE c.id = d.id) THEN 3 ELSE 4 END AS rule FROM d)",
+        "z AS (" + " UNION ALL ".join(f"SELECT {x}.* FROM {x} JOIN o ON o.id = {x}.id AND o.rule = {r}" for r, x in enumerate("abcw", 1)) + ")",
+    ]
+    subs = "array_to_string(regexp_extract_all(x, '(?m)^#{2,3}\\s+(.+)$', 1)[1:20], '|')"
+    return f"WITH {', '.join(ctes)} SELECT CAST(id AS VARCHAR) AS book_id, substring(sha256(CAST(id AS VARCHAR) || seed), 1, 12) AS id, number, title, level, start AS start_index, fin AS end_index, len(regexp_extract_all(x, '\\S+')) AS word_count, x AS full_text, {subs} AS sub_headings FROM z QUALIFY row_number() OVER (PARTITION BY id, seed ORDER BY k DESC) = 1"
+
+
+@query(_chapters_sql())
 def chapters(spark, sf_dir):
-    return structure.chapters(texts(spark, sf_dir))
+    return structure.chapters(texts(spark, sf_dir)).withColumn("sub_headings", F.array_join("sub_headings", "|"))
 
 
 def _count_sql(name: str, pattern: str) -> str:
