@@ -359,9 +359,12 @@ def _either_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} <> '' THEN {a} ELSE {b} END"
 
 
+#: RE2 takes only ASCII letters for parts of words, so others become digits before words are sought.
+_ASCII = "regexp_replace(t, '[À-ÖØ-öø-ʯͰ-ϿЀ-ӿ]', '0', 'g')"
+
+
 def _repeated_sql(pattern: str, more: str = "TRUE") -> str:
-    ascii = "regexp_replace(t, '[À-ÖØ-öø-ʯͰ-ϿЀ-ӿ]', '0', 'g')"  # RE2 takes only ASCII letters for parts of words
-    return f"SELECT id, name, '' AS definition FROM (SELECT id, unnest(regexp_extract_all({ascii}, '{pattern}', 1)) AS name FROM d) WHERE {more} GROUP BY id, name HAVING count(*) >= 2"
+    return f"SELECT id, name, '' AS definition FROM (SELECT id, unnest(regexp_extract_all({_ASCII}, '{pattern}', 1)) AS name FROM d) WHERE {more} GROUP BY id, name HAVING count(*) >= 2"
 
 
 _BOLD_SQL = f"SELECT id, {_strip('n')} AS name, {_strip(chr(114) + 'egexp_extract(substring(t, CAST(stop AS INT) + 1, 300), ' + chr(39) + '^' + chr(92) + 's*[:—–' + chr(92) + '-]+' + chr(92) + 's*(.+?)(?:' + chr(92) + '.|' + chr(92) + 'n?' + chr(92) + 'z)' + chr(39) + ', 1)')} AS definition FROM (SELECT *, {_either_sql('g1', 'g2')} AS n FROM ({_matches_sql('d', _re2(concepts.BOLD), 2)})) WHERE length(n) < 60"
@@ -372,7 +375,29 @@ _step("concept_hyphenated", concepts.hyphenated, _repeated_sql(concepts.HYPHENAT
 _step("concept_heading", concepts.heading_terms, _heading_sql())
 _step("concept_theorem", concepts.theorem_blocks)
 _step("concept_bare_acronym", concepts.acronyms, _repeated_sql(concepts.ACRONYM, "name NOT IN (" + ", ".join(f"'{x}'" for x in concepts.COMMON_ACRONYMS) + ")"))
-_step("concept_first_use", lambda t: concepts.first_uses(t, F.array().cast("array<string>")))
+
+
+def _first_use_sql() -> str:
+    noise = ", ".join(f"'{w}'" for w in concepts.FIRST_USE_NOISE)
+    each = f"SELECT id, t, {_strip('m[k]')} AS name, k FROM (SELECT id, t, m, unnest(range(1, len(m) + 1)) AS k FROM (SELECT id, lower(t) AS t, regexp_extract_all({_ASCII}, '{concepts.FIRST_USE}', 1) AS m FROM d))"
+    kept = f"SELECT *, lower(name) AS key FROM ({each}) WHERE lower(regexp_extract(name, '^\\S+')) NOT IN ({noise}) AND (length(t) - length(replace(t, lower(name), ''))) / length(name) >= 2"
+    return f"SELECT id, name, '' AS definition FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM (SELECT * FROM ({kept}) QUALIFY row_number() OVER (PARTITION BY id, key ORDER BY k) = 1)) WHERE r <= 10"
+
+
+_step("concept_first_use", lambda t: concepts.first_uses(t, F.array().cast("array<string>")), _first_use_sql())
+
+
+def _bigrams_sql() -> str:
+    common = ", ".join(f"'{x}'" for x in concepts.COMMON_PHRASES)
+    pair = f"SELECT id, i, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM (SELECT id, list_transform(regexp_extract_all({_ASCII}, '\\b[A-Za-z]{{2,}}\\b'), lambda x: lower(x)) AS w FROM d))"
+    counted = f"SELECT id, a, b, count(*) AS n, min(i) AS place FROM ({pair}) WHERE a NOT IN ({_QUOTED}) AND b NOT IN ({_QUOTED}) AND length(a) + length(b) > 4 GROUP BY id, a, b HAVING count(*) >= 2"
+    cap = lambda x: f"upper({x}[1]) || {x}[2:]"
+    return f"WITH {_D} SELECT id, a || ' ' || b AS key, {cap('a')} || ' ' || {cap('b')} AS name FROM (SELECT * FROM ({counted}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, place) <= 40) WHERE a || ' ' || b NOT IN ({common})"
+
+
+@query(_bigrams_sql())
+def bigram_top(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", F.explode(concepts.bigrams(F.col("text"))).alias("x")).select("id", "x.key", "x.name")
 
 
 def _merged_sql() -> str:

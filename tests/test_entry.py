@@ -13,7 +13,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["catalog_list", "token_freq", "concept_cosine", "density_counts"])
+@pytest.mark.parametrize("name", ["catalog_list", "token_freq", "concept_cosine", "density_counts", "chapters", "section_spans", "density_sections", "concept_merged", "edges_comparison", "cooccurrence_clusters", "formula_variables"])
 def test_sql_agrees(spark, name):
     import duckdb
 
