@@ -135,6 +135,36 @@ def cascade_delete(spark, sf_dir):
     return left["chapters"].join(left["books"].select(F.col("id").alias("book_id")), "book_id", "left_semi").select("id", "book_id")
 
 
+@query(f"WITH c AS ({_CHAPTERS}), b AS ({_BOOKS}) SELECT c.id, c.book_id, c.number FROM c JOIN b ON c.book_id = b.id WHERE b.title = 'src1'")
+def catalog_lookup(spark, sf_dir):
+    """A book by its title, its chapters by the book's key."""
+    books, chapters = _books(spark, sf_dir)
+    return chapters.join(catalog.lookup(books, title="src1").select(F.col("id").alias("book_id")), "book_id", "left_semi").select("id", "book_id", "number")
+
+
+@query(f"WITH c AS ({_CHAPTERS}), b AS ({_BOOKS}) SELECT c.id FROM c JOIN b ON c.book_id = b.id WHERE b.title NOT LIKE '%1'")
+def clear_errored(spark, sf_dir):
+    books, chapters = _books(spark, sf_dir)
+    failed = books.withColumn("status", F.when(F.col("title").endswith("1"), "error").otherwise("ready"))
+    return catalog.clear_errors({"books": failed, "chapters": chapters})["chapters"].select("id")
+
+
+@query(f"WITH c AS ({_CHAPTERS}), b AS ({_BOOKS}) SELECT c.id, c.book_id FROM c JOIN b ON c.book_id = b.id WHERE b.title LIKE '%0'")
+def orphan_chapters(spark, sf_dir):
+    books, chapters = _books(spark, sf_dir)
+    return catalog.orphans(chapters, books.where(~F.col("title").endswith("0"))).select("id", "book_id")
+
+
+@query("SELECT coalesce(n.conv_id, o.conv_id) AS conv_id, coalesce(n.turn, o.turn) AS turn, coalesce(n.role, o.role) AS role, coalesce(n.content, o.content) AS content FROM (SELECT conv_id, turn, role, 'new ' || max(coalesce(text, '')) AS content FROM conversations WHERE turn % 3 = 0 GROUP BY 1, 2, 3) n FULL JOIN (SELECT DISTINCT conv_id, turn, role, 'old' AS content FROM conversations WHERE turn % 2 = 0) o ON n.conv_id = o.conv_id AND n.turn = o.turn AND n.role = o.role")
+def upsert_prompts(spark, sf_dir):
+    """A key of three columns; of several new rows of a key the largest content."""
+    c = table(spark, sf_dir, "conversations")
+    keys = ["conv_id", "turn", "role"]
+    old = c.where("turn % 2 = 0").select(*keys, F.lit("old").alias("content")).distinct()
+    new = c.where("turn % 3 = 0").select(*keys, F.concat(F.lit("new "), F.coalesce("text", F.lit(""))).alias("content"))
+    return catalog.upsert(old, new, keys, F.col("content"))
+
+
 @query("SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE quality + 10 END AS quality FROM (SELECT doc_id FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def upsert_latest(spark, sf_dir):
     old = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("quality"))
