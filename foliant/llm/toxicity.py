@@ -229,6 +229,7 @@ def _left_out(docs: DataFrame, index: Index) -> dict[int, float]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["k", "v"])
 
     got = spark.range(0, n, 1, -(-n // 256) or 1).mapInArrow(run, "k long, v double").toArrow()  # a number for each example
+    shared.destroy()
     return {k: v for k, v in zip(*(got.column(c).to_pylist() for c in "kv"), strict=True) if v is not None}
 
 
