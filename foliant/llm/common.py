@@ -103,6 +103,12 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, most:
     return rows.join(hot, key).unionByName(rest)
 
 
+def keys_side(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of row keys as the side of a semi or anti join: broadcast if it has at most ``most`` rows of 16 bytes, so that the other side,
+    with its texts, need not be shuffled; else joined as any other. The result is the same."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod)), F.lit(0))

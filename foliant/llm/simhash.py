@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, unused, with_row_key, words, written
+from .common import discard, keys_side, stored, unused, with_row_key, words, written
 from .graph import connected_components
 
 BITS = 64
@@ -322,4 +322,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = stored(docs)
     row = unused(docs, "_row")
     dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("keep")).select(F.col("row").alias(row))
-    return with_row_key(docs, row).join(dropped, row, "left_anti").select(*docs.columns)
+    return with_row_key(docs, row).join(keys_side(written(dropped)), row, "left_anti").select(*docs.columns)
