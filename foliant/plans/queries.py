@@ -691,6 +691,9 @@ def analysis_cached(spark, sf_dir):
     return found.select("book_id", "chapter_id", "cached", F.get_json_object("data", "$.density.stats.word_count").cast("int").alias("words"))
 
 
-@query()
+_MODES = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in m) + ")" for m in prompts.MODES)
+
+
+@query(f"SELECT mode, mode_name, substring(instructions, 1, 200) AS preview FROM (VALUES {_MODES}) AS m(mode, mode_name, instructions)")
 def prompt_modes(spark, sf_dir):
     return prompts.mode_listing(spark)
