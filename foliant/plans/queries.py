@@ -73,7 +73,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture texts and all pages as markdown."""
-    return spark.createDataFrame(TEXTS, "id long, text string").union(page_markdown(table(spark, sf_dir, "pages")))
+    pages = page_markdown(table(spark, sf_dir, "pages"))
+    cores = spark.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:  # a small file is one task, and analyses stay in their row
+        pages = pages.repartition(cores)
+    return spark.createDataFrame(TEXTS, "id long, text string").union(pages)
 
 
 def _books(spark, sf_dir):
