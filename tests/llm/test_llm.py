@@ -122,6 +122,42 @@ def test_near_duplicate_stage_matches_brute_force(spark, bucket):
     assert len(got) < len(rows) and {r.doc_id for r in got} == _brute_kept(rows)
 
 
+def test_bitmaps_let_every_similar_pair_pass():
+    rng = np.random.default_rng(31)
+    far = 0
+    for _ in range(2000):
+        both, a, b = rng.integers(0, 700), rng.integers(0, 120), rng.integers(0, 120)
+        x = rng.integers(-(2**63), 2**63 - 1, both + a + b)
+        m, n = both + a, both + b
+        passes = nearcopies.could(m, nearcopies.parities(x[:m]), n, nearcopies.parities(np.r_[x[:both], x[m:]]))
+        assert passes or 5 * both < 4 * (both + a + b)
+        far += passes and 2 * both < both + a + b
+    assert far < 100
+
+
+def test_sets_are_stored_only_of_pairs_that_can_be_similar(spark, monkeypatch):
+    """Texts with a tenth of their words in common share shingles of their prefixes, but their sets are neither stored nor shuffled."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(40):
+        passage = [word() for _ in range(20)]
+        rows += [(2 * k + j, " ".join(passage + [word() for _ in range(180)])) for j in range(2)]
+    rows += [(1000, rows[0][1] + " one more")]
+    asked, whole = [], nearcopies.Texts.whole
+    monkeypatch.setattr(nearcopies.Texts, "whole", lambda self, r: asked.append(r.count()) or whole(self, r))
+    kept = {r.doc_id for r in nearcopies.deduplicated(frame(spark, rows)).collect()}
+    assert kept == _brute_kept(rows) == set(range(80)) and 2 <= sum(asked) <= 8
+
+
+def test_bitmap_of_shared_shingles_holds_them(spark):
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 9000)
+    bits = nearcopies.held(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    inside = lambda x: bits[(x & (8 * len(bits) - 1)) >> 3] >> (x & 7).astype(np.uint8) & 1
+    assert inside(keys).all() and inside(np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 9000)).mean() < 0.1
+    assert not nearcopies.held(spark.createDataFrame([], "key long")).any()
+
+
 def test_pipeline_stage_drops_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
