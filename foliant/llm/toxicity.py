@@ -1,13 +1,18 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Learning takes a bounded sample of labelled rows (about ``max_per_class`` of each class, by a hash rate). A term's weight is its delta
-IDF, the difference of its smoothed IDFs among the toxic and the other examples (Martineau and Finin, 2009), times 1 + log of its
-count. Every term of every example is indexed.
+Learning takes every labelled row that may be learned from. A term's weight is its delta IDF, the difference of its smoothed IDFs among the
+toxic and the other examples (Martineau and Finin, 2009), times 1 + log of its count; the frequencies are counted over all examples. Every
+term of every example is indexed.
 
-The index cuts the examples into blocks and keeps the largest weight of every frequent term in every block. A query first adds up its
+The index lies in shards of at most about SHARD examples; the driver holds one at a time and broadcasts it, tasks go through all of them for
+each batch of texts and keep the best k so far. A shard also has the weights of its share of all terms, which together give a query's norm.
+So memory is bounded by a shard, while time grows with texts times examples.
+
+A shard cuts its examples into blocks and keeps the largest weight of every frequent term in every block. A query first adds up its
 rare terms; what its frequent terms can add in a block at most is a product with those largest weights, and only blocks that can still
-reach the k-th best cosine are scored in full: the top k is exact. Votes weigh by 1 / (distance + eps) and by the sampling rate of the neighbour's class; leave-one-out votes of the examples, made monotone (pool
-adjacent violators), turn votes into calibrated scores. Neighbours are returned as evidence. Scoring reads whole texts, map-only.
+reach the k-th best cosine of all shards so far are scored in full: the top k is exact. Votes weigh by 1 / (distance + eps); leave-one-out
+votes of all examples, made monotone (pool adjacent violators), turn votes into calibrated scores. Neighbours are returned as evidence.
+Scoring reads whole texts, map-only.
 
 Defined cases: a null text is an empty one; texts without a term of positive weight score as the share of toxic examples among such
 examples; without learning rows of both classes that share is 0 or the base rate; an example is a row of documents (equal rows of one id
@@ -20,22 +25,23 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
-from collections import Counter, defaultdict
-from itertools import repeat
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, once, remainder, unused, written
+from .common import discard, keys_side, remainder, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples in a block; a term that over one in OFTEN examples holds, so at most OFTEN times an example's mean number of terms, has its weights in a
 #: dense row and is bounded by blocks before it is scored.
 BLOCK, OFTEN = 32, 8
+#: Examples of a shard, but for the last file that is put into it, which has as many at most; and texts that are scored at a time.
+SHARD = 8192
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +58,18 @@ def delta_idf(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples in blocks, largest weights by term and block, calibrated votes."""
+    """A shard: unit TF-IDF vectors of its examples in blocks, largest weights by term and block."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: tuple[float, float], blank: float, k: int = 15, eps: float = 0.05):
-        """terms: sorted hashes; counts: of each example, places in terms (ascending) and counts. Examples are in the order that breaks ties."""
-        self.terms, self.idf, self.k, self.eps, self.blank = terms, idf, k, eps, blank
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: tuple[float, float], blank: float, k: int = 15, ties: np.ndarray | None = None, home: tuple[np.ndarray, np.ndarray] | None = None):
+        """terms: sorted hashes; counts: of each example, places in terms (ascending) and counts. Examples are in the order that breaks ties,
+        by id and ties. home: the terms, sorted, that this shard adds to the norms of queries, and their weights; all terms if there is one shard."""
+        self.terms, self.idf, self.k, self.blank = terms, idf, k, blank
+        self.home = home or (terms, idf)
         vectors = [self._unit(*c) for c in counts]
         heaviest = np.array([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
         order = np.lexsort((heaviest, y))  # blocks of one class that share a heavy term have tight bounds
         self.rank, self.ids, self.y = order, ids[order], y[order].astype(float)
+        self.ties = np.zeros(len(order), np.uint64) if ties is None else ties[order]
         self.imp = np.array([weight[int(v)] for v in self.y], float)
         self.vectors = [vectors[n] for n in order]
         term = np.concatenate([t for t, _ in self.vectors]) if len(order) else np.zeros(0, np.int64)
@@ -80,35 +89,22 @@ class Index:
             row[own[::2]] = own[1::2].copy().view(np.float32)
         self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
         self.most = self.dense.max(2, initial=0)
-        self.x = self.p = np.zeros(0)
-        self.memo: dict = {}
-        self.places: dict[str, int] = {}  # of words met, their place in terms or -1
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "places": {}}
 
     def _unit(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(count)) * self.idf[at]
         at, w = at[w > 0], w[w > 0]
         return at, w / math.sqrt((w * w).sum()) if len(w) else w
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        own = Counter(WORD.findall(text.lower())) if text else {}
-        at = np.fromiter(map(self.places.get, own, repeat(-2)), np.int64, len(own))
-        if len(new := np.flatnonzero(at == -2)):
-            words = list(own)
-            words = [words[k] for k in new.tolist()]
-            key = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            place = np.minimum(np.searchsorted(self.terms, key), max(0, len(self.terms) - 1))
-            at[new] = np.where(self.terms[place] == key, place, -1) if len(self.terms) else -1
-            if len(self.places) > 200_000:
-                self.places.clear()
-            self.places.update(zip(words, at[new].tolist(), strict=True))
-        known = at >= 0
-        return self._unit(at[known], np.fromiter(own.values(), np.int64, len(own))[known])
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, exactly: (numbers, cosines)."""
+    @staticmethod
+    def _looked_up(sorted_terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, or -1."""
+        if not len(sorted_terms):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(sorted_terms, keys), len(sorted_terms) - 1)
+        return np.where(sorted_terms[place] == keys, place, -1)
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive product with w, exactly: (numbers, products). Those below floor may be left out."""
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
         row = self.often[terms]
@@ -124,137 +120,222 @@ class Index:
         if len(often):
             own, score = w[~rare].astype(np.float32), score.reshape(-1, BLOCK)
             bound = (own @ self.most[often] + score.max(1)) * (1 + 1e-5)
-            chosen = np.flatnonzero(bound >= self._floor(score.ravel()))
+            chosen = np.flatnonzero(bound >= max(floor, self._floor(score.ravel())))
             score[chosen] += np.tensordot(own, self.dense[often[:, None], chosen], 1)
             score = score.ravel()
             if skip >= 0:
                 score[skip] = 0
-        n = np.flatnonzero((score >= self._floor(score)) & (score > 0))
+        n = np.flatnonzero((score >= max(floor, self._floor(score))) & (score > 0))
         n = n[np.lexsort((self.rank[n], -score[n]))[: self.k]]
         return n, score[n]
 
     def _floor(self, score: np.ndarray) -> float:
         return np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
 
-    def vote(self, n: np.ndarray, s: np.ndarray) -> float:
-        w = self.imp[n] / (1 - np.minimum(s, 1) + self.eps)
-        return float((w * self.y[n]).sum() / w.sum())
-
-    def left_out(self, number: int) -> float | None:
-        """The vote on an example by the others."""
-        n, s = self.nearest(*self.vectors[number], skip=number)
-        return self.vote(n, s) if len(n) else None
-
-    def calibrate(self, votes: dict[int, float]) -> None:
-        """votes: of left_out(). From then on votes are mapped to scores, and the examples' vectors are gone."""
-        own: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        for k, v in votes.items():
-            cell = own[round(v, 2)]
-            cell[0] += self.imp[k] * self.y[k]
-            cell[1] += self.imp[k]
+
+class Model:
+    """All shards, each a broadcast Index, and calibrated votes."""
+
+    def __init__(self, shards: list[Broadcast], blank: float, k: int = 15, eps: float = 0.05):
+        self.shards, self.blank, self.k, self.eps = shards, blank, k, eps
+        self.x = self.p = np.zeros(0)
+
+    def indexes(self):
+        """The shards, one at a time: of several, none stays in memory."""
+        for b in self.shards:
+            yield b.value
+            if len(self.shards) > 1 and b._path is not None:
+                b.__dict__.pop("_value", None)
+
+    ids = property(lambda self: np.concatenate([i.ids for i in self.indexes()]))
+    ties = property(lambda self: np.concatenate([i.ties for i in self.indexes()]))
+    rank = property(lambda self: np.lexsort((self.ties, self.ids)).argsort(), doc="Places of the examples in the order that breaks ties.")
+    y = property(lambda self: np.concatenate([i.y for i in self.indexes()]))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], own: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """queries: of counted() -> cosines, ids and classes of the k nearest examples of each. own: id and ties of the example that a query is and leaves out."""
+        size = np.array([len(t) for t, _ in queries], np.int64)
+        end = np.cumsum(size)
+        owner = np.repeat(np.arange(len(queries)), size)
+        every, at = np.unique(np.concatenate([t for t, _ in queries]), return_inverse=True) if queries else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        tf = 1 + np.log(np.concatenate([c for _, c in queries])) if queries else np.zeros(0)
+        square = np.zeros(len(queries))
+        none = np.zeros(0)
+        best = [(none, none.astype(np.int64), none.astype(np.uint64), none)] * len(queries)
+        for index in self.indexes():
+            place = index._looked_up(index.home[0], every)
+            square += np.bincount(owner, np.where(place >= 0, index.home[1][place], 0.0)[at] ** 2 * tf**2, len(queries)) if len(index.home[0]) else 0
+            place = index._looked_up(index.terms, every)[at]
+            w = np.where(place >= 0, index.idf[place], 0.0) * tf if len(index.terms) else np.zeros(len(at))
+            number = {key: n for n, key in enumerate(zip(index.ids.tolist(), index.ties.tolist(), strict=True))} if own else {}
+            for q in range(len(queries)):
+                a, b = end[q] - size[q], end[q]
+                known = w[a:b] > 0
+                old = best[q]
+                skip = number.get((int(own[0][q]), int(own[1][q])), -1) if own else -1
+                n, s = index.nearest(place[a:b][known], w[a:b][known], skip, old[0][-1] * (1 - 1e-6) if len(old[0]) == self.k else 0.0)
+                if len(n):
+                    both = [np.concatenate(x) for x in zip(old, (s, index.ids[n], index.ties[n], index.y[n]), strict=True)]
+                    first = np.lexsort((both[2], both[1], -both[0]))[: self.k]
+                    best[q] = tuple(x[first] for x in both)
+        norm = np.sqrt(square)
+        return [(s / norm[q] if len(s) else s, ids, y) for q, (s, ids, _, y) in enumerate(best)]
+
+    def vote(self, s: np.ndarray, y: np.ndarray) -> float:
+        w = 1 / (1 - np.minimum(s, 1) + self.eps)
+        return float((w * y).sum() / w.sum())
+
+    def calibrate(self, cells: dict[float, tuple[int, int]]) -> None:
+        """cells: by vote, the toxic and all examples whose left-out vote it is. From then on votes are mapped to scores."""
         pools: list[list[float]] = []
-        for x in sorted(own):
-            pools.append([own[x][0], own[x][1], x, x])
+        for x in sorted(cells):
+            pools.append([*cells[x], x, x])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 a, b = pools[-2:]
                 pools[-2:] = [[a[0] + b[0], a[1] + b[1], a[2], b[3]]]
         self.x = np.array([v for p in pools for v in p[2:]])
         self.p = np.array([p[0] / p[1] for p in pools for _ in range(2)])
-        self.vectors = []
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        places: dict[str, int] = {}
+        at = [places.setdefault(t or "", len(places)) for t in texts]  # copies score alike
+        out = []
+        for s, ids, y in self.nearest([counted(t) for t in places]):
+            out.append((float(np.interp(self.vote(s, y), self.x, self.p)) if len(s) and len(self.x) else self.blank, ids.tolist()))
+        return [out[k] for k in at]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        key = xxhash.xxh3_128_digest(text or "")
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            n, s = self.nearest(*self.vector(text))
-            own = float(np.interp(self.vote(n, s), self.x, self.p)) if len(n) and len(self.x) else self.blank
-            self.memo[key] = own, self.ids[n].tolist()
-        return self.memo[key]
+        return self.scores([text])[0]
 
 
 def examples(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """docs(doc_id, t), picked(doc_id, y), bounded -> (doc_id, y, digest, terms, counts): a row of words for each row."""
+    """docs(doc_id, t), picked(doc_id, y) -> (doc_id, y, digest, terms, counts): a row of words for each row."""
 
     def run(batches):
         for b in batches:
             got = [counted(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["doc_id", "y", "digest", "terms", "counts"])
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "t", F.coalesce(F.md5("t"), F.lit("")).alias("digest"))
+    rows = docs.join(keys_side(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "t", F.coalesce(F.md5("t"), F.lit("")).alias("digest"))
     return rows.mapInArrow(run, "doc_id long, y int, digest string, terms binary, counts binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_per_class: int = 4000, k: int = 15) -> Index:
-    """docs(doc_id, text), labels(doc_id, toxic); learn: condition on doc_id of the labels that may be learned from."""
-    kept = lambda key, rate, seed: F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0))) * (1 << 30)
-    sizes = lambda df: {r.y: r["count"] for r in df.groupBy("y").count().collect()}
-    pool = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    size = sizes(pool)
-    rate = {y: min(1.0, max_per_class / size[y]) for y in size}
-    picked = pool.where(kept([F.col("doc_id").cast("string")], rate, 3))
-    found = written(examples(docs.select("doc_id", F.col("text").alias("t")), picked))
-    own = found.dropDuplicates(["doc_id", "digest"])
-    n = sizes(own)
-    again = {y: min(1.0, 1.5 * max_per_class / n[y]) for y in n}  # an id may have any number of texts
-    got = own.where(kept(["doc_id", "digest"], again, 4)).orderBy("doc_id", "digest").toArrow()  # the words of 1.5 max_per_class texts of each class at most
-    discard(found)
-    ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy()
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    none = np.zeros(0, np.uint64)
+def tie(digests: list[str]) -> np.ndarray:
+    """The first 64 bits of digests, in the same order."""
+    return np.array([int(d[:16] or "0", 16) for d in digests], np.uint64)
+
+
+def frequencies(found: DataFrame, shard: dict[str, int], n: int) -> DataFrame:
+    """found: examples -> (term, a, b: toxic and other examples with it, shards: those that hold it and the one it is at home in)."""
+
+    def run(batches):
+        for b in batches:
+            own, y = np.array(b.column(2).to_pylist()), b.column(0).to_numpy()
+            for s in set(own.tolist()):
+                rows = np.flatnonzero(own == s)
+                keys = [np.frombuffer(b.column(1)[k].as_py(), np.int64) for k in rows.tolist()]
+                term, at = np.unique(np.concatenate(keys), return_inverse=True)
+                a = np.bincount(at, np.repeat(y[rows], [len(k) for k in keys]), len(term)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(a), pa.array(np.bincount(at, minlength=len(term)) - a), pa.array(np.full(len(term), s, np.int32))], names=["term", "a", "b", "s"])
+
+    places = F.broadcast(found.sparkSession.createDataFrame(list(shard.items()), "file string, s int"))
+    rows = found.withColumn("file", found.metadataColumn("_metadata")["file_path"]).join(places, "file").select("y", "terms", "s")
+    home = F.pmod("term", F.lit(n)).cast("int")
+    return rows.mapInArrow(run, "term long, a long, b long, s int").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.collect_set("s").alias("shards")).withColumn("home", home).withColumn("shards", F.array_union("shards", F.array("home")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model:
+    """docs(doc_id, text), labels(doc_id, toxic); learn: condition on doc_id of the labels that may be learned from. All of them are examples."""
+    spark = docs.sparkSession
+    picked = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    found = written(examples(docs.select("doc_id", F.col("text").alias("t")), picked), most=SHARD)
+    if len(found.groupBy("doc_id", "digest").count().where("count > 1").take(1)):
+        own = written(found.dropDuplicates(["doc_id", "digest"]), most=SHARD)
+        discard(found)
+        found = own
+    sizes = found.groupBy(found.metadataColumn("_metadata")["file_path"].alias("file")).agg(F.count("*").alias("n"), F.sum("y").alias("n1")).orderBy("file").collect()
+    n1 = sum(r.n1 for r in sizes)
+    n0 = sum(r.n for r in sizes) - n1
     if not n1 or not n0:
-        return Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k)
-    held = [np.frombuffer(x, np.uint64) for x in got.column("terms").to_pylist()]
-    count = [np.frombuffer(x, np.int32) for x in got.column("counts").to_pylist()]
-    terms, at = np.unique(np.concatenate(held), return_inverse=True)
-    owner = np.repeat(y, [len(x) for x in held])
-    idf = delta_idf(*(np.bincount(at[owner == v], minlength=len(terms)) for v in (1, 0)), n1, n0)
-    places = np.split(at, np.cumsum([len(x) for x in held])[:-1])
-    weight = tuple(1 / (rate[v] * again[v]) for v in (0, 1))
-    useful = [n for n, p in enumerate(places) if (idf[p] > 0).any()]
-    blank = [weight[v] * ((y == v).sum() - (y[useful] == v).sum()) for v in (0, 1)]
-    index = Index(terms, idf, ids[useful], y[useful], [(places[n], count[n]) for n in useful], weight, float(blank[1] / max(sum(blank), 1e-9)), k)
-    index.calibrate(_left_out(docs, index))
-    return index
-
-
-def _left_out(docs: DataFrame, index: Index) -> dict[int, float]:
-    spark, n = docs.sparkSession, len(index.ids)
-    shared, key = spark.sparkContext.broadcast(index), uuid.uuid4().hex
+        discard(found)
+        none = np.zeros(0, np.uint64)
+        return Model([spark.sparkContext.broadcast(Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k))], float(bool(n1)), k)
+    files: list[list[str]] = [[]]
+    held = 0
+    for r in sizes:
+        if held >= SHARD or held and held + r.n > SHARD * 5 // 4:
+            files.append([])
+            held = 0
+        files[-1].append(r.file)
+        held += r.n
+    freq = written(frequencies(found, {f: s for s, own in enumerate(files) for f in own}, len(files)))
+    model, blank = Model([], 0.0, k), np.zeros(2)
+    for s, own in enumerate(files):
+        index, rest = _shard(spark.read.schema(found.schema).parquet(*own), freq.where(F.array_contains("shards", s)), s, (n1, n0), k)
+        model.shards.append(spark.sparkContext.broadcast(index))
+        blank += rest
+        del index
+    model.blank = float(blank[1] / max(blank.sum(), 1e-9))
+    model.calibrate(_left_out(found, model))
+    discard(found, freq)
+    return model
+
+
+def _shard(rows: DataFrame, freq: DataFrame, s: int, n: tuple[int, int], k: int) -> tuple[Index, np.ndarray]:
+    """Index of some examples, and how many of either class have no term of positive weight."""
+    df = freq.select("term", "a", "b", (F.col("home") == s).alias("home")).toArrow()
+    terms = df.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, home = terms[order], df.column("home").to_numpy()[order]
+    idf = delta_idf(*(df.column(c).to_numpy()[order] for c in "ab"), *n)
+    del df
+    got = rows.orderBy("doc_id", "digest").toArrow()
+    ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy()
+    places = [np.searchsorted(terms, np.frombuffer(x.as_py(), np.uint64)) for x in got.column("terms")]
+    held = np.zeros(len(terms), bool)
+    for p in places:
+        held[p] = True
+    new = np.cumsum(held) - 1
+    useful = [j for j, p in enumerate(places) if (idf[p] > 0).any()]
+    count = [(new[places[j]], np.frombuffer(got.column("counts")[j].as_py(), np.int32)) for j in useful]
+    index = Index(terms[held], idf[held], ids[useful], y[useful], count, (1.0, 1.0), 0.0, k, tie(got.column("digest").to_pylist())[useful], (terms[home], idf[home]))
+    index.vectors = []
+    return index, np.array([(y == v).sum() - (y[useful] == v).sum() for v in (0, 1)])
+
+
+def _left_out(found: DataFrame, model: Model) -> dict[float, tuple[int, int]]:
+    """By vote of the others, the toxic and all examples."""
 
     def run(batches):
-        own = once(("left out", key), lambda: shared.value)
         for b in batches:
-            votes = [own.left_out(k) for k in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["k", "v"])
+            ids, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            queries = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            near = model.nearest(queries, (ids, tie(b.column(2).to_pylist())))
+            votes = [(model.vote(s, c), int(y[j])) for j, (s, _, c) in enumerate(near) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([round(v, 2) for v, _ in votes], pa.float64()), pa.array([v for _, v in votes], pa.int32())], names=["v", "y"])
 
-    got = spark.range(0, n, 1, -(-n // 256) or 1).mapInArrow(run, "k long, v double").toArrow()  # a number for each example
-    shared.destroy()
-    return {k: v for k, v in zip(*(got.column(c).to_pylist() for c in "kv"), strict=True) if v is not None}
+    return {r.v: (r.n1, r.n) for r in found.mapInArrow(run, "v double, y int").groupBy("v").agg(F.sum("y").alias("n1"), F.count("*").alias("n")).collect()}
 
 
-def with_scores(docs: DataFrame, index: Index, text_col: str = "text", name: str = "_toxicity") -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_toxicity") -> DataFrame:
     """docs and name (struct of score and evidence, the neighbours' ids)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    key = uuid.uuid4().hex
 
     @F.arrow_udf("struct<score double, evidence array<bigint>>")
     def score(text: pa.Array) -> pa.Array:
-        own = once(("toxicity", key), lambda: shared.value)
-        got = [own.score(t) for t in text.to_pylist()]
+        got = [x for k in range(0, len(text), SHARD) for x in model.scores(text.slice(k, SHARD).to_pylist())]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["score", "evidence"])
 
     return docs.withColumn(name, score(F.col(text_col)))
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> Index:
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(docs, labels, remainder("doc_id", 5) != 0)
 
 
-def acceptable(docs: DataFrame, index: Index) -> DataFrame:
+def acceptable(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those whose score is 0.5 or more."""
     name = unused(docs, "_toxicity")
-    return with_scores(docs, index, name=name).where(F.col(name)["score"] < 0.5).drop(name)
+    return with_scores(docs, model, name=name).where(F.col(name)["score"] < 0.5).drop(name)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

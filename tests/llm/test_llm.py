@@ -868,3 +868,24 @@ def test_fast_tokens_equal_the_tokenizer_on_random_texts():
     chars = [c for c in _RANGE if ord(c) not in range(0xD800, 0xE000)] + [chr(k) for k in (*range(0x2000, 0x2070), *range(0x20A0, 0x20C0), 0x4E2D, 0x1F600, 0x3A3, 0x301)]
     texts = ["".join(rng.choices(chars, k=rng.randint(1, 60))) for _ in range(400)] + [f"a{c}b {c}{c} 'S{c}" for c in chars]
     assert all((a == b).all() for a, b in zip(own.many(texts), (own.whole.encode(t, add_special_tokens=False).ids for t in texts), strict=True) if len(a) == len(b)) and [len(a) for a in own.many(texts)] == [len(own.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_toxicity_learns_every_labelled_row(spark):
+    """More rows of a class than a sample held, each with a word of its own, in several shards: each is its copy's nearest."""
+    rows = [(k, f"own{k} w{k % 7}".translate({ord("0") + d: c for d, c in enumerate("abcdefghij")}) + (" vile" if k % 4 == 0 else "")) for k in range(13_000)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, F.lit(True))
+    assert sorted(model.ids.tolist()) == [k for k, _ in rows] and len(model.shards) > 1
+    asked = rows[::401]
+    assert [e[0] for _, e in model.scores([t for _, t in asked])] == [k for k, _ in asked]
+
+
+def test_toxicity_shards_match_one_index(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one = toxicity.assess(docs, labels).select("doc_id", "score", "evidence").orderBy("doc_id", "score").collect()
+    monkeypatch.setattr(toxicity, "SHARD", 9)
+    model = toxicity.learned(docs, labels)
+    assert len(model.shards) > 3
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r, (score, evidence) in zip(one, model.scores([texts[r.doc_id] for r in one]), strict=True):
+        assert abs(r.score - score) < 1e-4 and len(set(r.evidence) ^ set(evidence)) <= 2
