@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keys_side, remainder, unused, written
+from .common import discard, keys_side, remainder, settle, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples in a block; a term that over one in OFTEN examples holds, so at most OFTEN times an example's mean number of terms, has its weights in a
@@ -275,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
         model.shards.append(spark.sparkContext.broadcast(index))
         blank += rest
         del index
+        settle()
     model.blank = float(blank[1] / max(blank.sum(), 1e-9))
     model.calibrate(_left_out(found, model))
     discard(found, freq)
@@ -288,17 +289,20 @@ def _shard(rows: DataFrame, freq: DataFrame, s: int, n: tuple[int, int], k: int)
     order = np.argsort(terms)
     terms, home = terms[order], df.column("home").to_numpy()[order]
     idf = delta_idf(*(df.column(c).to_numpy()[order] for c in "ab"), *n)
-    del df
+    del df, order
     got = rows.orderBy("doc_id", "digest").toArrow()
     ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy()
-    places = [np.searchsorted(terms, np.frombuffer(x.as_py(), np.uint64)) for x in got.column("terms")]
+    places = [np.searchsorted(terms, np.frombuffer(x.as_py(), np.uint64)).astype(np.int32) for x in got.column("terms")]
     held = np.zeros(len(terms), bool)
     for p in places:
         held[p] = True
-    new = np.cumsum(held) - 1
+    new = np.cumsum(held, dtype=np.int32) - np.int32(1)
     useful = [j for j, p in enumerate(places) if (idf[p] > 0).any()]
     count = [(new[places[j]], np.frombuffer(got.column("counts")[j].as_py(), np.int32)) for j in useful]
-    index = Index(terms[held], idf[held], ids[useful], y[useful], count, (1.0, 1.0), 0.0, k, tie(got.column("digest").to_pylist())[useful], (terms[home], idf[home]))
+    ties = tie(got.column("digest").to_pylist())[useful]
+    del got, places
+    settle()
+    index = Index(terms[held], idf[held], ids[useful], y[useful], count, (1.0, 1.0), 0.0, k, ties, (terms[home], idf[home]))
     index.vectors = []
     return index, np.array([(y == v).sum() - (y[useful] == v).sum() for v in (0, 1)])
 
