@@ -4,8 +4,8 @@ Learning takes every labelled row that may be learned from. A term's weight is i
 toxic and the other examples (Martineau and Finin, 2009), times 1 + log of its count; the frequencies are counted over all examples. Every
 term of every example is indexed.
 
-The index lies in shards of at most about SHARD examples; the driver holds one at a time and broadcasts it, tasks go through all of them for
-each batch of texts and keep the best k so far. A shard also has the weights of its share of all terms, which together give a query's norm.
+The index lies in shards of at most about SHARD examples, made by tasks; the driver broadcasts them packed, one at a time, and tasks unpack one after
+the other for each batch of texts and keep the best k so far. A shard also has the weights of its share of all terms, which together give a query's norm.
 So memory is bounded by a shard, while time grows with texts times examples.
 
 A shard cuts its examples into blocks and keeps the largest weight of every frequent term in every block. A query first adds up its
@@ -24,17 +24,20 @@ those named are not read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keys_side, remainder, settle, unused, written
+from .common import discard, keys_side, once, remainder, settle, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples in a block; a term that over one in OFTEN examples holds, so at most OFTEN times an example's mean number of terms, has its weights in a
@@ -42,6 +45,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK, OFTEN = 32, 8
 #: Examples of a shard, but for the last file that is put into it, which has as many at most; and texts that are scored at a time.
 SHARD = 8192
+#: Texts that are compared with a shard at a time.
+TOGETHER = 128
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -65,30 +70,70 @@ class Index:
         by id and ties. home: the terms, sorted, that this shard adds to the norms of queries, and their weights; all terms if there is one shard."""
         self.terms, self.idf, self.k, self.blank = terms, idf, k, blank
         self.home = home or (terms, idf)
-        vectors = [self._unit(*c) for c in counts]
-        heaviest = np.array([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), [len(t) for t, _ in counts])
+        term, count = (np.concatenate([c[j] for c in counts]).astype(np.int32) if counts else np.zeros(0, np.int32) for j in (0, 1))
+        if not (idf > 0).all():
+            some = idf[term] > 0
+            term, doc, count = term[some], doc[some], count[some]
+        w = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.bincount(doc, w * w, len(counts)))
+        heaviest = np.full(len(counts), -1, np.int64)
+        if len(w):
+            own, first = np.unique(doc, return_index=True)
+            at = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, first), np.diff(np.r_[first, len(w)])))[::-1]
+            heaviest[doc[at]] = term[at]
+        del w
         order = np.lexsort((heaviest, y))  # blocks of one class that share a heavy term have tight bounds
-        self.rank, self.ids, self.y = order, ids[order], y[order].astype(float)
+        self.rank, self.ids, self.y, self.norm = order, ids[order], y[order].astype(float), norm[order]
         self.ties = np.zeros(len(order), np.uint64) if ties is None else ties[order]
-        self.imp = np.array([weight[int(v)] for v in self.y], float)
-        self.vectors = [vectors[n] for n in order]
-        term = np.concatenate([t for t, _ in self.vectors]) if len(order) else np.zeros(0, np.int64)
-        by = np.argsort(term, kind="stable")
-        value = (np.concatenate([w for _, w in self.vectors])[by] if len(order) else np.zeros(0)).astype(np.float32)
+        doc = order.argsort().astype(np.int32)[doc]
+        by = np.lexsort((doc, term))
+        self.first = np.searchsorted(term[by], np.arange(len(terms) + 1))
+        self._lay(doc[by], count[by])
+
+    def _lay(self, doc: np.ndarray, count: np.ndarray) -> None:
+        """Postings by term and example, and dense rows of the frequent terms."""
+        held = np.diff(self.first)
+        value = (1 + np.log(count)) * np.repeat(self.idf, held)
+        value /= self.norm[doc]
         # a posting's two numbers lie together, as memory is what a query waits for
-        self.posting = np.stack([np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by], value.view(np.int32)], 1).view(np.int64).ravel()
-        term = term[by]
-        self.first = np.searchsorted(term, np.arange(len(terms) + 1))
-        often = np.flatnonzero(np.diff(self.first) * OFTEN > len(order))
-        self.often = np.full(len(terms), -1, np.int32)
+        self.posting = np.stack([doc, value.astype(np.float32).view(np.int32)], 1).view(np.int64).ravel()
+        self.doc, self.value, self.count = self.posting.view(np.int32)[::2], self.posting.view(np.float32)[1::2], count
+        often = np.flatnonzero(held * OFTEN > len(self.ids))
+        self.often = np.full(len(self.terms), -1, np.int32)
         self.often[often] = np.arange(len(often))
-        self.blocks = -(-len(order) // BLOCK)
-        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        for t, row in zip(often, self.dense, strict=True):
-            own = self.posting[self.first[t] : self.first[t + 1]].view(np.int32)
-            row[own[::2]] = own[1::2].copy().view(np.float32)
-        self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
-        self.most = self.dense.max(2, initial=0)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
+        for n, t in enumerate(often):
+            own = slice(self.first[t], self.first[t + 1])
+            self.dense[doc[own] // BLOCK, n, doc[own] % BLOCK] = self.value[own]
+        self.most = np.ascontiguousarray(self.dense.max(2, initial=0).T)
+
+    def packed(self) -> bytes:
+        """What unpacked() needs: gaps between examples and counts instead of weights, compressed."""
+        narrow = np.uint16 if len(self.ids) <= 1 << 16 else np.uint32
+        most = int(self.count.max(initial=0))
+        parts = [self.terms, np.diff(self.first).astype(np.uint32), self.idf, *self.home, self.ids, self.y, self.ties, self.rank, self.norm]
+        parts += [np.diff(self.doc.astype(narrow), prepend=narrow(0)), self.count.astype(np.uint8 if most < 1 << 8 else np.uint32)]
+        return pickle.dumps((self.k, self.blank, [(x.dtype.str, x.nbytes, pa.compress(x.tobytes(), "zstd", asbytes=True)) for x in parts]), 5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Index:
+        self = cls.__new__(cls)
+        self.k, self.blank, parts = pickle.loads(data)
+        self.terms, held, self.idf, a, b, self.ids, self.y, self.ties, self.rank, self.norm, gap, count = (np.frombuffer(pa.decompress(x, size, "zstd"), kind) for kind, size, x in parts)
+        self.home = a, b
+        self.first = np.r_[0, np.cumsum(held, dtype=np.int64)]
+        self._lay(np.cumsum(gap, dtype=gap.dtype).astype(np.int32), count.astype(np.int32))
+        return self
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each example, places in terms and weights."""
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+        by = np.argsort(self.doc, kind="stable")
+        end = np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))[:-1]
+        return list(zip(np.split(term[by], end), np.split(self.value[by], end), strict=True))
 
     def _unit(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(count)) * self.idf[at]
@@ -105,46 +150,71 @@ class Index:
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive product with w, exactly: (numbers, products). Those below floor may be left out."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        row = self.often[terms]
-        rare, often = row < 0, row[row >= 0]
-        spans = list(zip(self.first[terms[rare]].tolist(), self.first[terms[rare] + 1].tolist(), strict=True))
-        score = np.zeros(self.blocks * BLOCK)
-        if spans:
-            post = np.concatenate([self.posting[i:j] for i, j in spans]).view(np.int32)
-            value = post.view(np.float32)[1::2]
-            score += np.bincount(post[::2], np.repeat(w[rare], [j - i for i, j in spans]) * value, len(score))
-        if skip >= 0:
-            score[skip] = 0
-        if len(often):
-            own, score = w[~rare].astype(np.float32), score.reshape(-1, BLOCK)
-            bound = (own @ self.most[often] + score.max(1)) * (1 + 1e-5)
-            chosen = np.flatnonzero(bound >= max(floor, self._floor(score.ravel())))
-            score[chosen] += np.tensordot(own, self.dense[often[:, None], chosen], 1)
-            score = score.ravel()
+        return self.many([(terms, w, skip, floor)])[0]
+
+    def many(self, queries: list[tuple[np.ndarray, np.ndarray, int, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each query. Frequent terms of all of them are multiplied together, block by block, in 32 bits; what comes near the k-th best is
+        then added up again in 64 bits, in an order that doesn't depend on the other queries."""
+        size, width = len(queries), self.blocks * BLOCK
+        rare, score = np.zeros((size, width)), np.zeros((size, width))
+        weights = np.zeros((size, self.dense.shape[1]), np.float32)
+        floors, frequent = np.zeros(size), []
+        for q, (terms, w, skip, floor) in enumerate(queries):
+            row = self.often[terms]
+            m = row >= 0
+            frequent.append((row[m], w[m]))
+            weights[q, row[m]] = w[m]
+            some = terms[~m]
+            if len(some):
+                spans = list(zip(self.first[some].tolist(), self.first[some + 1].tolist(), strict=True))
+                post = np.concatenate([self.posting[i:j] for i, j in spans]).view(np.int32)
+                rare[q] = np.bincount(post[::2], np.repeat(w[~m], [j - i for i, j in spans]) * post.view(np.float32)[1::2], width)
             if skip >= 0:
-                score[skip] = 0
-        n = np.flatnonzero((score >= max(floor, self._floor(score))) & (score > 0))
-        n = n[np.lexsort((self.rank[n], -score[n]))[: self.k]]
-        return n, score[n]
+                rare[q, skip] = 0
+            floors[q] = floor or self._floor(rare[q])
+        score[:] = rare
+        if self.dense.shape[1]:
+            need = (weights @ self.most + rare.reshape(size, self.blocks, BLOCK).max(2)) * (1 + 1e-4) >= floors[:, None]
+            for b in np.flatnonzero(need.any(0)).tolist():
+                own = np.flatnonzero(need[:, b])
+                score[own, b * BLOCK : (b + 1) * BLOCK] += weights[own] @ self.dense[b]
+        out = []
+        for q, (_, _, skip, floor) in enumerate(queries):
+            row, w = frequent[q]
+            slack = 1e-4 * math.sqrt((w * w).sum())
+            if skip >= 0:
+                score[q, skip] = -1 - slack
+            n = np.flatnonzero(score[q] >= floors[q] - slack)
+            if len(n) > self.k:
+                n = n[score[q, n] >= max(floors[q], self._floor(score[q, n])) - slack]
+            n = n[n != skip]
+            s = rare[q, n]
+            if len(row) and len(n):
+                s = s + (w[:, None] * self.dense[(n // BLOCK)[None], row[:, None], (n % BLOCK)[None]]).sum(0)
+            n, s = n[m := (s > 0) & (s >= floor)], s[m]
+            best = np.lexsort((self.rank[n], -s))[: self.k]
+            out.append((n[best], s[best]))
+        return out
 
     def _floor(self, score: np.ndarray) -> float:
         return np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
 
 
 class Model:
-    """All shards, each a broadcast Index, and calibrated votes."""
+    """All shards, each a broadcast Index.packed(), and calibrated votes."""
 
     def __init__(self, shards: list[Broadcast], blank: float, k: int = 15, eps: float = 0.05):
-        self.shards, self.blank, self.k, self.eps = shards, blank, k, eps
+        self.shards, self.blank, self.k, self.eps, self.key = shards, blank, k, eps, uuid.uuid4().hex
         self.x = self.p = np.zeros(0)
 
     def indexes(self):
         """The shards, one at a time: of several, none stays in memory."""
+        if len(self.shards) == 1:
+            yield once(("toxicity", self.key), lambda: Index.unpacked(self.shards[0].value))
+            return
         for b in self.shards:
-            yield b.value
-            if len(self.shards) > 1 and b._path is not None:
+            yield Index.unpacked(b.value)
+            if b._path is not None:
                 b.__dict__.pop("_value", None)
 
     ids = property(lambda self: np.concatenate([i.ids for i in self.indexes()]))
@@ -168,16 +238,19 @@ class Model:
             place = index._looked_up(index.terms, every)[at]
             w = np.where(place >= 0, index.idf[place], 0.0) * tf if len(index.terms) else np.zeros(len(at))
             number = {key: n for n, key in enumerate(zip(index.ids.tolist(), index.ties.tolist(), strict=True))} if own else {}
-            for q in range(len(queries)):
-                a, b = end[q] - size[q], end[q]
-                known = w[a:b] > 0
-                old = best[q]
-                skip = number.get((int(own[0][q]), int(own[1][q])), -1) if own else -1
-                n, s = index.nearest(place[a:b][known], w[a:b][known], skip, old[0][-1] * (1 - 1e-6) if len(old[0]) == self.k else 0.0)
-                if len(n):
-                    both = [np.concatenate(x) for x in zip(old, (s, index.ids[n], index.ties[n], index.y[n]), strict=True)]
-                    first = np.lexsort((both[2], both[1], -both[0]))[: self.k]
-                    best[q] = tuple(x[first] for x in both)
+            for start in range(0, len(queries), TOGETHER):
+                some = range(start, min(start + TOGETHER, len(queries)))
+                asked = []
+                for q in some:
+                    a, b = end[q] - size[q], end[q]
+                    known = w[a:b] > 0
+                    skip = number.get((int(own[0][q]), int(own[1][q])), -1) if own else -1
+                    asked.append((place[a:b][known], w[a:b][known], skip, best[q][0][-1] * (1 - 1e-6) if len(best[q][0]) == self.k else 0.0))
+                for q, (n, s) in zip(some, index.many(asked), strict=True):
+                    if len(n):
+                        both = [np.concatenate(x) for x in zip(best[q], (s, index.ids[n], index.ties[n], index.y[n]), strict=True)]
+                        first = np.lexsort((both[2], both[1], -both[0]))[: self.k]
+                        best[q] = tuple(x[first] for x in both)
         norm = np.sqrt(square)
         return [(s / norm[q] if len(s) else s, ids, y) for q, (s, ids, _, y) in enumerate(best)]
 
@@ -225,8 +298,14 @@ def tie(digests: list[str]) -> np.ndarray:
     return np.array([int(d[:16] or "0", 16) for d in digests], np.uint64)
 
 
-def frequencies(found: DataFrame, shard: dict[str, int], n: int) -> DataFrame:
-    """found: examples -> (term, a, b: toxic and other examples with it, shards: those that hold it and the one it is at home in)."""
+def placed(found: DataFrame, shard: dict[str, int]) -> DataFrame:
+    """found: examples -> with s, the shard that their file belongs to."""
+    places = F.broadcast(found.sparkSession.createDataFrame(list(shard.items()), "file string, s int"))
+    return found.withColumn("file", found.metadataColumn("_metadata")["file_path"]).join(places, "file").drop("file")
+
+
+def frequencies(rows: DataFrame, n: int) -> DataFrame:
+    """rows: of placed(), in n shards -> (term, a, b: toxic and other examples with it, shards: those that hold it and the one it is at home in)."""
 
     def run(batches):
         for b in batches:
@@ -238,10 +317,22 @@ def frequencies(found: DataFrame, shard: dict[str, int], n: int) -> DataFrame:
                 a = np.bincount(at, np.repeat(y[rows], [len(k) for k in keys]), len(term)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(a), pa.array(np.bincount(at, minlength=len(term)) - a), pa.array(np.full(len(term), s, np.int32))], names=["term", "a", "b", "s"])
 
-    places = F.broadcast(found.sparkSession.createDataFrame(list(shard.items()), "file string, s int"))
-    rows = found.withColumn("file", found.metadataColumn("_metadata")["file_path"]).join(places, "file").select("y", "terms", "s")
     home = F.pmod("term", F.lit(n)).cast("int")
-    return rows.mapInArrow(run, "term long, a long, b long, s int").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.collect_set("s").alias("shards")).withColumn("home", home).withColumn("shards", F.array_union("shards", F.array("home")))
+    return rows.select("y", "terms", "s").mapInArrow(run, "term long, a long, b long, s int").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.collect_set("s").alias("shards")).withColumn("home", home).withColumn("shards", F.array_union("shards", F.array("home")))
+
+
+def indexed(rows: DataFrame, freq: DataFrame, n: tuple[int, int], k: int) -> DataFrame:
+    """rows: of placed(), freq: of frequencies(), n: toxic and other examples -> (s, data: Index.packed(), bare0, bare1: other and toxic examples of the
+    shard without a term of positive weight). The shards are made in tasks, so that the driver holds no more than one, packed."""
+
+    def run(rows: pa.Table, freq: pa.Table) -> pa.Table:
+        s = (rows if rows.num_rows else freq).column("s")[0].as_py()
+        data, bare = _shard(rows, freq, n, k)
+        settle()
+        return pa.table({"s": pa.array([s], pa.int32()), "data": pa.array([data], pa.binary()), "bare0": pa.array([bare[0]], pa.int64()), "bare1": pa.array([bare[1]], pa.int64())})
+
+    terms = freq.select(F.explode("shards").alias("s"), "term", "a", "b", "home")
+    return rows.groupBy("s").cogroup(terms.groupBy("s")).applyInArrow(run, "s int, data binary, bare0 long, bare1 long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model:
@@ -259,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
     if not n1 or not n0:
         discard(found)
         none = np.zeros(0, np.uint64)
-        return Model([spark.sparkContext.broadcast(Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k))], float(bool(n1)), k)
+        return Model([spark.sparkContext.broadcast(Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k).packed())], float(bool(n1)), k)
     files: list[list[str]] = [[]]
     held = 0
     for r in sizes:
@@ -268,43 +359,44 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
             held = 0
         files[-1].append(r.file)
         held += r.n
-    freq = written(frequencies(found, {f: s for s, own in enumerate(files) for f in own}, len(files)))
+    rows = placed(found, {f: s for s, own in enumerate(files) for f in own})
+    freq = written(frequencies(rows, len(files)), release=True)
+    shards = written(indexed(rows, freq, (n1, n0), k), release=True)
+    discard(freq)
     model, blank = Model([], 0.0, k), np.zeros(2)
-    for s, own in enumerate(files):
-        index, rest = _shard(spark.read.schema(found.schema).parquet(*own), freq.where(F.array_contains("shards", s)), s, (n1, n0), k)
-        model.shards.append(spark.sparkContext.broadcast(index))
-        blank += rest
-        del index
+    for s in range(len(files)):
+        row = shards.where(F.col("s") == s).first()
+        model.shards.append(spark.sparkContext.broadcast(bytes(row.data)))
+        blank += row.bare0, row.bare1
+        del row
         settle()
+        spark._jvm.System.gc()  # else the driver's heap grows with each shard that goes through it
+    discard(shards)
     model.blank = float(blank[1] / max(blank.sum(), 1e-9))
     model.calibrate(_left_out(found, model))
-    discard(found, freq)
+    discard(found)
     return model
 
 
-def _shard(rows: DataFrame, freq: DataFrame, s: int, n: tuple[int, int], k: int) -> tuple[Index, np.ndarray]:
-    """Index of some examples, and how many of either class have no term of positive weight."""
-    df = freq.select("term", "a", "b", (F.col("home") == s).alias("home")).toArrow()
-    terms = df.column("term").to_numpy().view(np.uint64)
+def _shard(rows: pa.Table, freq: pa.Table, n: tuple[int, int], k: int) -> tuple[bytes, np.ndarray]:
+    """Index of some examples, packed, and how many of either class, other and toxic, have no term of positive weight."""
+    terms = freq.column("term").to_numpy().view(np.uint64)
     order = np.argsort(terms)
-    terms, home = terms[order], df.column("home").to_numpy()[order]
-    idf = delta_idf(*(df.column(c).to_numpy()[order] for c in "ab"), *n)
-    del df, order
-    got = rows.orderBy("doc_id", "digest").toArrow()
-    ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy()
-    places = [np.searchsorted(terms, np.frombuffer(x.as_py(), np.uint64)).astype(np.int32) for x in got.column("terms")]
+    terms, home = terms[order], (freq.column("home").to_numpy() == freq.column("s").to_numpy())[order]
+    idf = delta_idf(*(freq.column(c).to_numpy()[order] for c in "ab"), *n)
+    order = pc.sort_indices(rows.select(["doc_id", "digest"]), [("doc_id", "ascending"), ("digest", "ascending")]).to_pylist()
+    ids, y = (rows.column(c).to_numpy()[order] for c in ("doc_id", "y"))
+    words, times, digests = (rows.column(c) for c in ("terms", "counts", "digest"))
+    places = [np.searchsorted(terms, np.frombuffer(words[j].as_buffer(), np.uint64)).astype(np.int32) for j in order]
     held = np.zeros(len(terms), bool)
     for p in places:
         held[p] = True
     new = np.cumsum(held, dtype=np.int32) - np.int32(1)
     useful = [j for j, p in enumerate(places) if (idf[p] > 0).any()]
-    count = [(new[places[j]], np.frombuffer(got.column("counts")[j].as_py(), np.int32)) for j in useful]
-    ties = tie(got.column("digest").to_pylist())[useful]
-    del got, places
-    settle()
+    count = [(new[places[j]], np.frombuffer(times[order[j]].as_buffer(), np.int32)) for j in useful]
+    ties = tie([digests[order[j]].as_py() for j in useful])
     index = Index(terms[held], idf[held], ids[useful], y[useful], count, (1.0, 1.0), 0.0, k, ties, (terms[home], idf[home]))
-    index.vectors = []
-    return index, np.array([(y == v).sum() - (y[useful] == v).sum() for v in (0, 1)])
+    return index.packed(), np.array([(y == v).sum() - (y[useful] == v).sum() for v in (0, 1)])
 
 
 def _left_out(found: DataFrame, model: Model) -> dict[float, tuple[int, int]]:

@@ -891,6 +891,36 @@ def test_toxicity_shards_match_one_index(spark, monkeypatch):
         assert abs(r.score - score) < 1e-4 and len(set(r.evidence) ^ set(evidence)) <= 2
 
 
+def test_toxicity_driver_makes_no_index(spark, monkeypatch):
+    """The driver's memory holds a packed shard at most: indexes are made in tasks, which don't see what is replaced here."""
+    rng = random.Random(8)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(40)) + " vile" * (k % 3 == 0)) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    with monkeypatch.context() as m:
+        m.setattr(toxicity.Index, "__init__", lambda *_: pytest.fail("an index is made on the driver"))
+        model = toxicity.fit(frame(spark, rows), labels, F.lit(True))
+    assert len(model.shards) > 3 and sorted(model.ids.tolist()) == [k for k, _ in rows]
+    postings = sum(len(set(t.split())) for _, t in rows)
+    assert sum(len(b.value) for b in model.shards) < 40 * postings
+    assert [e[0] for _, e in model.scores([t for _, t in rows[::50]])] == [k for k, _ in rows[::50]]
+
+
+@pytest.mark.parametrize("most", [1, 3, 255, 256, 70_000])
+def test_toxicity_packed_index(most):
+    rng = np.random.default_rng(most)
+    own = [np.sort(rng.choice(300, rng.integers(0, 30), replace=False)) for _ in range(200)]
+    counts = [(t, rng.integers(1, most + 1, len(t))) for t in own]
+    index = toxicity.Index(np.arange(300, dtype=np.uint64), np.r_[0.0, 1 + np.arange(299) / 7], np.arange(200), rng.integers(0, 2, 200), counts, (1.0, 1.0), 0.1, k=5)
+    again = toxicity.Index.unpacked(index.packed())
+    for name in ("terms", "idf", "ids", "y", "ties", "rank", "first", "doc", "count", "value", "often", "dense", "most"):
+        assert np.array_equal(getattr(index, name), getattr(again, name)), name
+    asked = [(*index._unit(*c), -1, 0.0) for c in counts]
+    for alone, (n, s), (m, r) in zip(asked, index.many(asked), again.many(asked), strict=True):
+        one = index.nearest(*alone)
+        assert n.tolist() == m.tolist() == one[0].tolist() and s.tolist() == r.tolist() == one[1].tolist()
+
+
 def test_freed_memory_goes_back():
     """Small arrays freed around one that stays: without settle() the C library keeps their pages."""
 
