@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from .common import discard, keys_side, once, remainder, settle, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Examples in a block; a term that over one in OFTEN examples holds, so at most OFTEN times an example's mean number of terms, has its weights in a
-#: dense row and is bounded by blocks before it is scored.
-BLOCK, OFTEN = 32, 8
-#: Examples of a shard, but for the last file that is put into it, which has as many at most; and texts that are scored at a time.
+#: Examples in a block; a term that over one in OFTEN examples holds, at most DENSE of them, has its weights in a dense row and is bounded by blocks before
+#: it is scored. They change the time and memory, not the result.
+BLOCK, OFTEN, DENSE = 32, 32, 2048
+#: Examples of a shard, but for the last file that is put into it, which has as many at most.
 SHARD = 8192
-#: Texts that are compared with a shard at a time.
-TOGETHER = 128
+#: Texts that are taken through all shards at a time, and those of them that are compared with a shard at a time.
+TEXTS, TOGETHER = 4096, 128
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +62,16 @@ def delta_idf(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.abs(np.log((n0 + 1) / (b + 1)) - np.log((n1 + 1) / (a + 1)))
 
 
+def _top(owner: np.ndarray, term: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """The first term of the largest value of each owner, or -1; owners ascend."""
+    out = np.full(size, -1, np.int64)
+    if len(owner):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        at = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, first), np.diff(np.r_[first, len(owner)])))[::-1]
+        out[owner[at]] = term[at]
+    return out
+
+
 class Index:
     """A shard: unit TF-IDF vectors of its examples in blocks, largest weights by term and block."""
 
@@ -77,13 +87,9 @@ class Index:
             term, doc, count = term[some], doc[some], count[some]
         w = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(doc, w * w, len(counts)))
-        heaviest = np.full(len(counts), -1, np.int64)
-        if len(w):
-            own, first = np.unique(doc, return_index=True)
-            at = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, first), np.diff(np.r_[first, len(w)])))[::-1]
-            heaviest[doc[at]] = term[at]
+        # blocks of one language and class that share a heavy term have tight bounds
+        order = np.lexsort((_top(doc, term, w, len(counts)), y, _top(doc, term, np.bincount(term, minlength=len(terms))[term], len(counts))))
         del w
-        order = np.lexsort((heaviest, y))  # blocks of one class that share a heavy term have tight bounds
         self.rank, self.ids, self.y, self.norm = order, ids[order], y[order].astype(float), norm[order]
         self.ties = np.zeros(len(order), np.uint64) if ties is None else ties[order]
         doc = order.argsort().astype(np.int32)[doc]
@@ -94,12 +100,15 @@ class Index:
     def _lay(self, doc: np.ndarray, count: np.ndarray) -> None:
         """Postings by term and example, and dense rows of the frequent terms."""
         held = np.diff(self.first)
-        value = (1 + np.log(count)) * np.repeat(self.idf, held)
+        value = np.log(count, dtype=float)
+        value += 1
+        value *= np.repeat(self.idf, held)
         value /= self.norm[doc]
         # a posting's two numbers lie together, as memory is what a query waits for
         self.posting = np.stack([doc, value.astype(np.float32).view(np.int32)], 1).view(np.int64).ravel()
         self.doc, self.value, self.count = self.posting.view(np.int32)[::2], self.posting.view(np.float32)[1::2], count
         often = np.flatnonzero(held * OFTEN > len(self.ids))
+        often = np.sort(often[np.argsort(-held[often], kind="stable")[:DENSE]])
         self.often = np.full(len(self.terms), -1, np.int32)
         self.often[often] = np.arange(len(often))
         self.blocks = -(-len(self.ids) // BLOCK)
@@ -124,7 +133,7 @@ class Index:
         self.terms, held, self.idf, a, b, self.ids, self.y, self.ties, self.rank, self.norm, gap, count = (np.frombuffer(pa.decompress(x, size, "zstd"), kind) for kind, size, x in parts)
         self.home = a, b
         self.first = np.r_[0, np.cumsum(held, dtype=np.int64)]
-        self._lay(np.cumsum(gap, dtype=gap.dtype).astype(np.int32), count.astype(np.int32))
+        self._lay(np.cumsum(gap, dtype=gap.dtype).astype(np.int32), count)
         return self
 
     @property
@@ -174,10 +183,12 @@ class Index:
             floors[q] = floor or self._floor(rare[q])
         score[:] = rare
         if self.dense.shape[1]:
-            need = (weights @ self.most + rare.reshape(size, self.blocks, BLOCK).max(2)) * (1 + 1e-4) >= floors[:, None]
+            used = np.flatnonzero(weights.any(0))
+            weights = np.ascontiguousarray(weights[:, used])
+            need = (weights @ self.most[used] + rare.reshape(size, self.blocks, BLOCK).max(2)) * (1 + 1e-4) >= floors[:, None]
             for b in np.flatnonzero(need.any(0)).tolist():
                 own = np.flatnonzero(need[:, b])
-                score[own, b * BLOCK : (b + 1) * BLOCK] += weights[own] @ self.dense[b]
+                score[own, b * BLOCK : (b + 1) * BLOCK] += weights[own] @ self.dense[b][used]
         out = []
         for q, (_, _, skip, floor) in enumerate(queries):
             row, w = frequent[q]
@@ -228,29 +239,38 @@ class Model:
         end = np.cumsum(size)
         owner = np.repeat(np.arange(len(queries)), size)
         every, at = np.unique(np.concatenate([t for t, _ in queries]), return_inverse=True) if queries else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        owner, at = owner.astype(np.int32), at.astype(np.int32)
         tf = 1 + np.log(np.concatenate([c for _, c in queries])) if queries else np.zeros(0)
         square = np.zeros(len(queries))
         none = np.zeros(0)
         best = [(none, none.astype(np.int64), none.astype(np.uint64), none)] * len(queries)
+        order = None
         for index in self.indexes():
             place = index._looked_up(index.home[0], every)
             square += np.bincount(owner, np.where(place >= 0, index.home[1][place], 0.0)[at] ** 2 * tf**2, len(queries)) if len(index.home[0]) else 0
-            place = index._looked_up(index.terms, every)[at]
-            w = np.where(place >= 0, index.idf[place], 0.0) * tf if len(index.terms) else np.zeros(len(at))
+            place = index._looked_up(index.terms, every).astype(np.int32)
+            idf = np.where(place >= 0, index.idf[place], 0.0) if len(index.terms) else np.zeros(len(every))
             number = {key: n for n, key in enumerate(zip(index.ids.tolist(), index.ties.tolist(), strict=True))} if own else {}
+            if order is None:  # texts of a language have terms in common
+                m = idf[at] > 0
+                held = place[at[m]]
+                order = np.argsort(_top(owner[m], held, np.diff(index.first)[held], len(queries)), kind="stable").tolist()
+                del m, held
             for start in range(0, len(queries), TOGETHER):
-                some = range(start, min(start + TOGETHER, len(queries)))
+                some = order[start : start + TOGETHER]
                 asked = []
                 for q in some:
                     a, b = end[q] - size[q], end[q]
-                    known = w[a:b] > 0
+                    known = idf[at[a:b]] > 0
+                    own_at = at[a:b][known]
                     skip = number.get((int(own[0][q]), int(own[1][q])), -1) if own else -1
-                    asked.append((place[a:b][known], w[a:b][known], skip, best[q][0][-1] * (1 - 1e-6) if len(best[q][0]) == self.k else 0.0))
+                    asked.append((place[own_at], idf[own_at] * tf[a:b][known], skip, best[q][0][-1] * (1 - 1e-6) if len(best[q][0]) == self.k else 0.0))
                 for q, (n, s) in zip(some, index.many(asked), strict=True):
                     if len(n):
                         both = [np.concatenate(x) for x in zip(best[q], (s, index.ids[n], index.ties[n], index.y[n]), strict=True)]
                         first = np.lexsort((both[2], both[1], -both[0]))[: self.k]
                         best[q] = tuple(x[first] for x in both)
+            del index, place, idf, number  # before the next shard is unpacked
         norm = np.sqrt(square)
         return [(s / norm[q] if len(s) else s, ids, y) for q, (s, ids, _, y) in enumerate(best)]
 
@@ -403,7 +423,7 @@ def _left_out(found: DataFrame, model: Model) -> dict[float, tuple[int, int]]:
     """By vote of the others, the toxic and all examples."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             ids, y = b.column(0).to_numpy(), b.column(1).to_numpy()
             queries = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             near = model.nearest(queries, (ids, tie(b.column(2).to_pylist())))
@@ -418,7 +438,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
     @F.arrow_udf("struct<score double, evidence array<bigint>>")
     def score(text: pa.Array) -> pa.Array:
-        got = [x for k in range(0, len(text), SHARD) for x in model.scores(text.slice(k, SHARD).to_pylist())]
+        got = [x for k in range(0, len(text), TEXTS) for x in model.scores(text.slice(k, TEXTS).to_pylist())]
+        settle()
         return pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["score", "evidence"])
 
     return docs.withColumn(name, score(F.col(text_col)))
