@@ -100,12 +100,15 @@ class Index:
     def _lay(self, doc: np.ndarray, count: np.ndarray) -> None:
         """Postings by term and example, and dense rows of the frequent terms."""
         held = np.diff(self.first)
-        value = np.log(count, dtype=float)
-        value += 1
-        value *= np.repeat(self.idf, held)
-        value /= self.norm[doc]
+        term = np.repeat(np.arange(len(held), dtype=np.int32), held)
         # a posting's two numbers lie together, as memory is what a query waits for
-        self.posting = np.stack([doc, value.astype(np.float32).view(np.int32)], 1).view(np.int64).ravel()
+        post = np.empty((len(doc), 2), np.int32)
+        post[:, 0] = doc
+        for k in range(0, len(doc), 1 << 18):
+            p = slice(k, k + (1 << 18))
+            post[p, 1] = ((np.log(count[p], dtype=float) + 1) * self.idf[term[p]] / self.norm[doc[p]]).astype(np.float32).view(np.int32)
+        del term
+        self.posting = post.view(np.int64).ravel()
         self.doc, self.value, self.count = self.posting.view(np.int32)[::2], self.posting.view(np.float32)[1::2], count
         often = np.flatnonzero(held * OFTEN > len(self.ids))
         often = np.sort(often[np.argsort(-held[often], kind="stable")[:DENSE]])
@@ -425,6 +428,7 @@ def _left_out(found: DataFrame, model: Model) -> dict[float, tuple[int, int]]:
     def run(batches):
         for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             ids, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            settle()
             queries = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             near = model.nearest(queries, (ids, tie(b.column(2).to_pylist())))
             votes = [(model.vote(s, c), int(y[j])) for j, (s, _, c) in enumerate(near) if len(s)]
@@ -438,6 +442,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
     @F.arrow_udf("struct<score double, evidence array<bigint>>")
     def score(text: pa.Array) -> pa.Array:
+        settle()
         got = [x for k in range(0, len(text), TEXTS) for x in model.scores(text.slice(k, TEXTS).to_pylist())]
         settle()
         return pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["score", "evidence"])
