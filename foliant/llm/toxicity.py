@@ -4,8 +4,8 @@ Learning takes every labelled row that may be learned from. A term's weight is i
 toxic and the other examples (Martineau and Finin, 2009), times 1 + log of its count; the frequencies are counted over all examples. Every
 term of every example is indexed.
 
-The index lies in shards of at most about SHARD examples, made by tasks; the driver broadcasts them packed, one at a time, and tasks unpack one after
-the other for each batch of texts and keep the best k so far. A shard also has the weights of its share of all terms, which together give a query's norm.
+The index lies in shards of at most about SHARD examples, made by tasks; the driver hands them out as packed files, one at a time, from its disk to the
+disks of the executors, and tasks unpack one after the other for each batch of texts and keep the best k so far. A shard also has the weights of its share of all terms, which together give a query's norm.
 So memory is bounded by a shard, while time grows with texts times examples.
 
 A shard cuts its examples into blocks and keeps the largest weight of every frequent term in every block. A query first adds up its
@@ -24,6 +24,7 @@ those named are not read.
 from __future__ import annotations
 
 import math
+import os
 import pickle
 import re
 import uuid
@@ -33,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keys_side, once, remainder, settle, unused, written
+from .common import discard, once, remainder, settle, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples in a block; a term that over one in OFTEN examples holds, at most DENSE of them, has its weights in a dense row and is bounded by blocks before
@@ -45,6 +46,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK, OFTEN, DENSE = 32, 32, 2048
 #: Examples of a shard, but for the last file that is put into it, which has as many at most.
 SHARD = 8192
+#: Labelled ids that are broadcast at a time.
+PICKED = 250_000
 #: Texts that are taken through all shards at a time, and those of them that are compared with a shard at a time.
 TEXTS, TOGETHER = 4096, 128
 
@@ -214,10 +217,27 @@ class Index:
         return np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
 
 
+class Shard:
+    """An Index.packed() as a file that executors fetch. Unlike a broadcast's, its bytes lie in no process's memory, neither the driver's nor an
+    executor's, so that these don't grow with the number of shards. The files stay until the session's context stops."""
+
+    def __init__(self, spark: SparkSession, data: bytes):
+        self.name = f"foliant-shard-{uuid.uuid4().hex}"
+        path = os.path.join(spark.sparkContext._temp_dir, self.name)
+        with open(path, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(path)
+
+    @property
+    def value(self) -> bytes:
+        with open(SparkFiles.get(self.name), "rb") as f:
+            return f.read()
+
+
 class Model:
-    """All shards, each a broadcast Index.packed(), and calibrated votes."""
+    """All shards and calibrated votes."""
 
-    def __init__(self, shards: list[Broadcast], blank: float, k: int = 15, eps: float = 0.05):
+    def __init__(self, shards: list[Shard], blank: float, k: int = 15, eps: float = 0.05):
         self.shards, self.blank, self.k, self.eps, self.key = shards, blank, k, eps, uuid.uuid4().hex
         self.x = self.p = np.zeros(0)
 
@@ -228,8 +248,6 @@ class Model:
             return
         for b in self.shards:
             yield Index.unpacked(b.value)
-            if b._path is not None:
-                b.__dict__.pop("_value", None)
 
     ids = property(lambda self: np.concatenate([i.ids for i in self.indexes()]))
     ties = property(lambda self: np.concatenate([i.ties for i in self.indexes()]))
@@ -312,10 +330,21 @@ def examples(docs: DataFrame, picked: DataFrame) -> DataFrame:
             got = [counted(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["doc_id", "y", "digest", "terms", "counts"])
 
-    rows = docs.join(keys_side(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "t", F.coalesce(F.md5("t"), F.lit("")).alias("digest"))
+    rows = docs.join(picked, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "t", F.coalesce(F.md5("t"), F.lit("")).alias("digest"))
     return rows.mapInArrow(run, "doc_id long, y int, digest string, terms binary, counts binary")
 
 
+def _learnt(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """examples() as a table. Ids are broadcast in parts of about PICKED, each to a scan of its own, so that what the driver holds of them is bounded
+    and texts are not shuffled."""
+    n = max(1, -(-picked.count() // PICKED))
+    part = lambda df, k: df.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)) == k) if n > 1 else df
+    found = None
+    for k in range(n):
+        found = written(examples(part(docs, k), F.broadcast(part(picked, k))), into=found, most=SHARD)
+    return found
+
+
 def tie(digests: list[str]) -> np.ndarray:
     """The first 64 bits of digests, in the same order."""
     return np.array([int(d[:16] or "0", 16) for d in digests], np.uint64)
@@ -362,7 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
     """docs(doc_id, text), labels(doc_id, toxic); learn: condition on doc_id of the labels that may be learned from. All of them are examples."""
     spark = docs.sparkSession
     picked = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    found = written(examples(docs.select("doc_id", F.col("text").alias("t")), picked), most=SHARD)
+    found = _learnt(docs.select("doc_id", F.col("text").alias("t")), picked)
     if len(found.groupBy("doc_id", "digest").count().where("count > 1").take(1)):
         own = written(found.dropDuplicates(["doc_id", "digest"]), most=SHARD)
         discard(found)
@@ -373,7 +402,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
     if not n1 or not n0:
         discard(found)
         none = np.zeros(0, np.uint64)
-        return Model([spark.sparkContext.broadcast(Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k).packed())], float(bool(n1)), k)
+        return Model([Shard(spark, Index(none, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], (1.0, 1.0), float(bool(n1)), k).packed())], float(bool(n1)), k)
     files: list[list[str]] = [[]]
     held = 0
     for r in sizes:
@@ -389,7 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15) -> Model
     model, blank = Model([], 0.0, k), np.zeros(2)
     for s in range(len(files)):
         row = shards.where(F.col("s") == s).first()
-        model.shards.append(spark.sparkContext.broadcast(bytes(row.data)))
+        model.shards.append(Shard(spark, bytes(row.data)))
         blank += row.bare0, row.bare1
         del row
         settle()

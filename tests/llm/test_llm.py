@@ -906,6 +906,28 @@ def test_toxicity_driver_makes_no_index(spark, monkeypatch):
     assert [e[0] for _, e in model.scores([t for _, t in rows[::50]])] == [k for k, _ in rows[::50]]
 
 
+def test_toxicity_shards_lie_in_no_memory(spark, monkeypatch):
+    """Blocks of broadcasts stay in the driver's memory, which all shards together would fill. Ids are broadcast in parts."""
+    rng = random.Random(9)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300)) + " vile" * (k % 3 == 0)) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    monkeypatch.setattr(toxicity, "PICKED", 150, raising=False)
+
+    def held():
+        spark._jvm.System.gc()
+        memory = spark._jsc.sc().getExecutorMemoryStatus().head()._2()
+        return memory._1() - memory._2()
+
+    before = held()
+    model = toxicity.fit(frame(spark, rows), labels, F.lit(True))
+    assert len(model.shards) > 3 and sorted(model.ids.tolist()) == [k for k, _ in rows]
+    packed = sum(len(x.value) for x in model.shards)
+    assert packed > 2_000_000 and held() - before < packed / 4
+    found = toxicity.with_scores(frame(spark, rows), model).select("doc_id", "_toxicity.evidence").collect()
+    assert len(found) == 600 and all(r.evidence[0] == r.doc_id for r in found)
+
+
 @pytest.mark.parametrize("most", [1, 3, 255, 256, 70_000])
 def test_toxicity_packed_index(most):
     rng = np.random.default_rng(most)
