@@ -95,12 +95,17 @@ def set_study_status(chapters: DataFrame, changes: DataFrame) -> DataFrame:
 def new_files(found: DataFrame, stored: DataFrame) -> DataFrame:
     """found(path) that stored(path) does not hold: neither the path nor, as a part of any stored path, the file's name.
 
-    Equal base names meet in a hash join; only the names left over are sought inside stored paths, which are few and distinct.
+    Equal base names meet in a hash join. A name has no slash, so the names left over are sought inside the distinct segments of stored
+    paths: every part of a segment that is as long as some name is a row of a second hash join.
     """
     name = lambda c: F.regexp_extract(c, r"[^/]+$", 0)
     key = _free(found, "_name")
     left = found.withColumn(key, name(F.col("path"))).join(stored.select(name("path").alias(key)).distinct(), key, "left_anti")
-    inside = left.select(key).distinct().join(stored.select(F.col("path").alias("_path")).distinct(), F.col("_path").contains(F.col(key)), "left_semi")
+    lengths = left.agg(F.collect_set(F.length(key)).alias("_lengths"))
+    segments = stored.select(F.explode(F.split("path", "/", -1)).alias("_segment")).distinct().join(F.broadcast(lengths))  # a single row
+    sized = segments.select("_segment", F.explode(F.filter("_lengths", lambda n: n <= F.length("_segment"))).alias("_n"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("_segment") - F.col("_n") + 1), lambda k: F.substring(F.col("_segment"), k, F.col("_n")))
+    inside = sized.select(F.explode(parts).alias(key)).distinct()
     return left.join(inside, key, "left_anti").select(*found.columns)
 
 

@@ -1,7 +1,9 @@
 """The reference scenarios (FIXTURES.md) on literal rows, and hand-derived results for what has no scenario there."""
 
 import json
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +262,18 @@ def test_new_files_are_sought_inside_stored_paths(spark):
     assert [r.path for r in catalog.new_files(found, stored).collect()] == ["/in/c.pdf"]
 
 
+def test_new_files_meet_parts_of_paths_by_equality(spark):
+    """The same rows as trying every name in every path, without doing so."""
+    rng = random.Random(4)
+    paths = [None, "", "/", "a/", "é/ab.c", "x\ny/z"] + ["/".join("".join(rng.choices("abé1.", k=rng.randint(0, 6))) for _ in range(rng.randint(1, 4))) for _ in range(600)]
+    for some in (paths[6::9], [p for p in paths[6::9] if p and not p.endswith("/")], [None], []):
+        found, stored = (spark.createDataFrame([(p,) for p in x], "path string") for x in (paths, some))
+        new = catalog.new_files(found, stored)
+        assert "Contains" not in new._jdf.queryExecution().toString()
+        kept = [p for p in paths if p is None or not any(p.rsplit("/", 1)[-1] in s for s in some if s is not None)]
+        assert Counter(r.path for r in new.collect()) == Counter(kept)
+
+
 def test_json_columns(spark):
     rows = spark.createDataFrame([(1, '["a","b"]'), (2, None), (3, "broken")], "id long, sub_headings string")
     got = catalog.decode_json(rows, sub_headings="array<string>")
