@@ -52,8 +52,9 @@ def pieces(t: Column, pattern: str, n: int = 0) -> Column:
 FOLD = 64
 
 
-def matches(t: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<start, stop, m, g1..gn>> of all non-overlapping matches, offsets in code points from 0.
+def matches(t: Column, pattern: str, groups: int = 0, need: str | None = None) -> Column:
+    """array<struct<start, stop, m, g1..gn>> of all non-overlapping matches, offsets in code points from 0. need: a cheaper pattern that every text
+    with a match has one of, too.
 
     Split and extract give the pieces and the matches in turn; their lengths add up to the places. No rows are made and
     nothing leaves the JVM.
@@ -75,7 +76,8 @@ def matches(t: Column, pattern: str, groups: int = 0) -> Column:
     folds = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / FOLD).cast("int")), lambda k: F.slice(a, k * FOLD + 1, FOLD))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
     found = F.aggregate(let(pieces(t, pattern, groups), folds), begin, add_fold, lambda acc: F.flatten(acc.out))
-    return F.when(t.rlike(pattern), found).otherwise(none)
+    some = t.rlike(pattern) if need is None else t.rlike(need) & t.rlike(pattern)
+    return F.when(some, found).otherwise(none)
 
 
 def short_id(seed: Column | str) -> Column:

@@ -18,6 +18,7 @@ BACK = r"(?i)(?:as\s+we\s+(?:saw|discussed|mentioned|noted)|mentioned\s+(?:earli
 COMPARISON = r"(?i)(?:(?:unlike|compared\s+(?:to|with)|in\s+contrast\s+(?:to|with)|(?:similar|equivalent|analogous)\s+to|differs?\s+from|as\s+opposed\s+to)\s+(?:\*\*)?([^,.*]+?)(?:\*\*)?\s*[,.]|(\S+)\s+(?:vs\.?|versus)\s+(\S+))"
 CONTAINS = r"(?i)(?:\*\*)?([^.!?*]{3,40}?)(?:\*\*)?\s+(?:includes?|consists?\s+of|comprises?|contains?|is\s+(?:composed|made\s+up)\s+of)\s+([^.!?]{5,150})"
 TYPES = r"(?i)(?:types?|kinds?|forms?|varieties?|categories?)\s+of\s+(?:\*\*)?([^.!?*:]{3,40}?)(?:\*\*)?\s*(?::|include|are)\s*([^.!?]{5,200})"
+CONTAINED = r"(?i)\s(?:include|consist|compris|contain|is\s+(?:composed|made))"
 ITEMS = r",\s*|\s+and\s+|\s+or\s+|;\s*"
 
 EDGE = "array<struct<src:string,dst:string,type:string>>"
@@ -47,8 +48,8 @@ def _edge(src: Column, dst: Column, kind: str) -> Column:
     return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
 
 
-def _listed(t: Column, names: Column, pattern: str, kind: str) -> Column:
-    """Edges from each listed concept to the concept that lists it."""
+def _listed(t: Column, names: Column, pattern: str, kind: str, need: str | None = None) -> Column:
+    """Edges from each listed concept to the concept that lists it; need: see matches()."""
 
     def of(x):
         head = find(strip(x.g1), names)
@@ -56,7 +57,7 @@ def _listed(t: Column, names: Column, pattern: str, kind: str) -> Column:
         tails = F.transform(items, lambda i: find(strip(F.regexp_replace(strip(i), r"^\*+|\*+$", "")), names))
         return F.transform(F.filter(tails, lambda c: c.isNotNull() & head.isNotNull()), lambda c: _edge(c, head, kind))
 
-    return F.flatten(F.transform(matches(t, pattern, 2), of))
+    return F.flatten(F.transform(matches(t, pattern, 2, need), of))
 
 
 def _compared(t: Column, names: Column) -> Column:
@@ -81,7 +82,7 @@ def _following(sections: Column, names: Column) -> Column:
 
 def edge_list(t: Column, names: Column, sections: Column) -> Column:
     """array<struct<src, dst, type>>, first of each undirected pair and type. names: of the concepts, in rank order."""
-    every = F.concat(_compared(t, names), _listed(t, names, CONTAINS, "part_of"), _listed(t, names, TYPES, "example_of"), _following(sections, names)).cast(EDGE)
+    every = F.concat(_compared(t, names), _listed(t, names, CONTAINS, "part_of", CONTAINED), _listed(t, names, TYPES, "example_of"), _following(sections, names)).cast(EDGE)
     pair = lambda e: F.struct(e.type.alias("type"), F.least(e.src, e.dst).alias("a"), F.greatest(e.src, e.dst).alias("b"))
     first = lambda e: let(F.transform(e, pair), lambda p: F.filter(e, lambda x, k: F.array_position(p, F.get(p, k)) == k + 1))
     return let(every, first)

@@ -256,6 +256,22 @@ def test_relations_need_no_shuffle(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def _odd_texts(n, *patterns):
+    """Texts of the literals of patterns, whole and cut, in either case, between odd characters."""
+    rng = random.Random(7)
+    words = sorted({w for p in patterns for w in re.findall(r"[A-Za-z.∎■-]+", re.sub(r"\\[sbSdw][+*]?", " ", p))}) + ["by induction", "is a thing that", "it follows", "Q.E.D.", "e.g.", "vs", "class x", "step 2", "is composed of", "find the"]
+    gaps = ["", " ", "  ", "\n", "\n \n", "\t", "\u00a0", ".", ", ", "ſ", "K", "é", "x"]
+    part = lambda w: rng.choice((w, w, w.upper(), w.title(), w[: rng.randint(1, len(w))]))
+    return ["".join(part(rng.choice(words)) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(n)] + ["", " ", "\n\n", "∎", "■", "vs", "Q.E.D."]
+
+
+def test_need_of_contained(spark):
+    """What matches CONTAINS holds CONTAINED."""
+    found = F.regexp_extract_all("text", F.lit(graph.CONTAINS), F.lit(0))
+    rows = docs(spark, *(t.replace("x", " includes ") for t in _odd_texts(3000, graph.CONTAINS))).where(F.size(found) > 0)
+    assert rows.count() > 50 and rows.where(~F.col("text").rlike(graph.CONTAINED)).count() == 0
+
+
 def test_new_files_are_sought_inside_stored_paths(spark):
     found = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",), ("/in/c.pdf",)], "path string")
     stored = spark.createDataFrame([("/raw/a.pdf",), ("/raw/1234_b.pdf",)], "path string")
