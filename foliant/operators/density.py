@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, paragraphs, strip, word_count
+from ..functions.text import let, paragraphs, word_count
 from .structure import section_list
 
 # Marker families. (?i) is ASCII-only in Java.
@@ -23,19 +23,47 @@ DEFINITION = r"(?i)(?:is\s+defined\s+as|refers?\s+to|means?|is\s+(?:a|an|the)\s+
 BOLD = r"\*\*[^*]+\*\*"
 LIST = r"(?md)^\s*[-*•]\s+|^\s*\d+\.\s+"
 
+#: What the alternatives of a family begin with, beside single characters; a blank is any white space.
+HEADS = {
+    EXAMPLE: ("for", "e.g", "con", "ima", "sup", "say", "rea", "pra", "cas", "fig", "tab", "lis"),
+    COMPARISON: ("un", "co", "in", "on", "wh", "ho", "al", "ad", "di", "tr", "pr", "vs", "ve"),
+    ALGORITHM: ("alg", "ste", "pro", "fir", "sec", "thi", "fin", "pse", "imp", "fun", "cla", "def"),
+    PROOF: ("q.e", "pro", "the", "hen", "it ", "we ", "suf", "nec", "by "),
+    PROBLEM: ("exe", "pro", "que", "fin", "sho", "cal", "com", "det", "ver", "hom", "ass"),
+    DEFINITION: ("is ", "ref", "mea", "we ", "kno", "ter"),
+}
+
 COUNTS = (("display_math", DISPLAY_MATH), ("inline_math", INLINE_MATH), ("code", CODE), ("example", EXAMPLE), ("comparison", COMPARISON), ("algorithm", ALGORITHM), ("definition", DEFINITION), ("bold", BOLD), ("list", LIST), ("proof", PROOF), ("problem", PROBLEM))
 NAMES = ("word_count", "para_count", "math_per_para", "display_math_count", "inline_math_count", "code_per_para", "code_count", "example_ratio", "example_count", "comparison_ratio", "comparison_count", "algorithm_ratio", "definition_ratio", "definition_count", "bold_ratio", "bold_count", "list_ratio", "list_count", "proof_ratio", "proof_count", "problem_ratio", "problem_count")
 #: Labels in their order of declaration, which breaks ties.
 LABELS = ("concept-dense", "math-heavy", "example-rich", "implementation-focused", "comparison", "proof-heavy", "problem-set", "introductory")
 
 
-def stats(t: Column) -> dict[str, Column]:
-    """The 22 statistics of a text; all 0 for a text without words."""
-    words = word_count(t)
-    paras = F.when(words > 0, F.greatest(F.lit(1), F.size(F.filter(paragraphs(t), lambda p: strip(p) != "")))).otherwise(0)
-    n = {k: F.when(words > 0, F.regexp_count(t, F.lit(p))).otherwise(0) for k, p in COUNTS}
+def quick(pattern: str) -> str:
+    """A pattern of the same matches that turns most places away by two or three characters, before its alternatives are tried."""
+    if pattern not in HEADS:
+        return pattern
+    classes = ("[" + "".join(sorted({r"\s" if c == " " else c for c in place})) + "]" for place in zip(*HEADS[pattern], strict=True))
+    rest = f"(?={''.join(classes)}){pattern.removeprefix('(?i)')}"
+    return f"(?i)(?:[∎■]|{rest})" if pattern == PROOF else f"(?i){rest}"
+
+
+def counts(t: Column) -> Column:
+    """struct<words, paras, count of each family>, each counted once; all 0 for a text without words."""
+
+    def of(words):
+        some = lambda c: F.when(words > 0, c).otherwise(0)
+        paras = F.greatest(F.lit(1), F.size(F.filter(paragraphs(t), lambda p: p.rlike(r"\S"))))
+        return F.struct(words.alias("words"), some(paras).alias("paras"), *(some(F.regexp_count(t, F.lit(quick(p)))).alias(k) for k, p in COUNTS))
+
+    return let(word_count(t), of)
+
+
+def stats(n: Column) -> dict[str, Column]:
+    """The 22 statistics of a text from its counts()."""
+    paras = n["paras"]
     per = lambda c: F.coalesce(F.try_divide(c.cast("double"), paras), F.lit(0.0))
-    out = {"word_count": words, "para_count": paras, "math_per_para": per(n["display_math"] + n["inline_math"]), "display_math_count": n["display_math"], "inline_math_count": n["inline_math"], "code_per_para": per(n["code"]), "code_count": n["code"]}
+    out = {"word_count": n["words"], "para_count": paras, "math_per_para": per(n["display_math"] + n["inline_math"]), "display_math_count": n["display_math"], "inline_math_count": n["inline_math"], "code_per_para": per(n["code"]), "code_count": n["code"]}
     for k in ("example", "comparison", "algorithm", "definition", "bold", "list", "proof", "problem"):
         out[f"{k}_ratio"] = per(n[k])
         if k != "algorithm":
@@ -72,7 +100,7 @@ def labels(c: Callable[[str], Column] = F.col) -> Column:
 def analyze(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, 22 statistics, types) of whole texts."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), *(v.alias(k) for k, v in stats(t).items()))
+    rows = docs.select(F.col(id_col).alias("id"), counts(t).alias("n")).select("id", *(v.alias(k) for k, v in stats(F.col("n")).items()))
     return rows.withColumn("types", labels())
 
 
@@ -84,7 +112,7 @@ def section_stats(t: Column, sections: Column) -> Column:
 
     def one(x):
         piece = F.substring(t, x.start + 1, x.end - x.start)
-        numbers = let(piece, lambda p: F.struct(*(v.alias(k) for k, v in stats(p).items())))
+        numbers = let(let(piece, counts), lambda n: F.struct(*(v.alias(k) for k, v in stats(n).items())))
         return let(numbers, lambda n: F.struct(x.ord.alias("ord"), x.title.alias("title"), *(n[k].alias(k) for k in NAMES), labels(lambda k: n[k]).alias("types")))
 
     return F.transform(F.filter(sections, shown), one)

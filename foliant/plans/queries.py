@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import occurrences, short_id, tokens, word_count
 from ..operators import analysis, catalog, concepts, density, formulas, graph, ingest, library, metadata, prompts, structure
 from ..sources.tables import library as as_library
-from ..sources.tables import page_markdown, table
+from ..sources.tables import dealt, page_markdown, table
 from ..streaming import progress
 
 #: Small texts with the markup that the driver's tables lack; the same rows stand in the SQL.
@@ -73,11 +73,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture texts and all pages as markdown."""
-    pages = page_markdown(table(spark, sf_dir, "pages"))
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:  # a small file is one task, and analyses stay in their row
-        pages = pages.repartition(cores)
-    return spark.createDataFrame(TEXTS, "id long, text string").union(pages)
+    pages = table(spark, sf_dir, "pages")
+    return spark.createDataFrame(TEXTS, "id long, text string").union(dealt(page_markdown(pages), pages))
 
 
 def _books(spark, sf_dir):
@@ -311,9 +308,8 @@ _LONE = "regexp_replace(regexp_replace(t, '\\$\\$', chr(1) || chr(1), 'g'), '\\x
 
 @query(f"WITH {_D} SELECT id, len(regexp_extract_all(t, '\\S+')) AS word_count, " + ", ".join(f"CASE WHEN regexp_matches(t, '\\S') THEN {_count_sql(k, p)} ELSE 0 END AS {k}_count" for k, p in density.COUNTS) + " FROM d")
 def density_counts(spark, sf_dir):
-    own = density.stats(F.col("text"))
-    n = {f"{k}_count": F.when(word_count(F.col("text")) > 0, F.regexp_count("text", F.lit(p))).otherwise(0) for k, p in density.COUNTS}
-    return texts(spark, sf_dir).select("id", own["word_count"].alias("word_count"), *(c.alias(k) for k, c in n.items()))
+    n = dealt(texts(spark, sf_dir)).select("id", density.counts(F.col("text")).alias("n"))
+    return n.select("id", F.col("n.words").alias("word_count"), *(F.col(f"n.{k}").alias(f"{k}_count") for k, _ in density.COUNTS))
 
 
 def _stats_sql(source: str, keys: str) -> str:
@@ -345,7 +341,7 @@ def _stats_sql(source: str, keys: str) -> str:
 
 @query(f"WITH {_D}, {_P}, a AS (SELECT * FROM p UNION ALL SELECT * FROM d) {_stats_sql('a', 'id')}")
 def density_stats(spark, sf_dir):
-    return density.analyze(marked(spark, sf_dir).union(texts(spark, sf_dir))).withColumn("types", F.array_join("types", ","))
+    return density.analyze(marked(spark, sf_dir).union(dealt(texts(spark, sf_dir)))).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"WITH {_P}, {_sections_sql()}, w AS (SELECT *, len(regexp_extract_all(t, '\\S+')) AS n FROM s), k AS (SELECT id, ord, title, t FROM w WHERE n >= 20 AND (parent_ord IS NULL OR EXISTS (SELECT 1 FROM w u WHERE u.id = w.id AND u.ord = w.parent_ord AND u.parent_ord IS NULL AND u.n >= 20))) {_stats_sql('k', 'id, ord, title')}")

@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, of: DataFrame | None = None, rows: int = 512) -> DataFrame:
+    """df in tasks of about ``rows`` rows of ``of`` (df itself if not given, a table whose rows are cheap to count), and one for each core at least:
+    analyses stay in their row and take long, and splits of files neither follow the number of cores nor stay small as files grow."""
+    n = -(-(df if of is None else of).count() // rows)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, n))
+
+
 def page_markdown(pages: DataFrame) -> DataFrame:
     """pages(page_id, html) -> (id, text): the article, h1 as a heading, paragraphs apart, other tags dropped."""
     t = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)

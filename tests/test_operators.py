@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import matches, occurrences
 from foliant.operators import analysis, catalog, concepts, density, formulas, graph, ingest, library, metadata, prompts, structure
-from foliant.sources.tables import Config, adaptive_markdown, decoded, legacy_library, paged_files, pages_to_markdown, title_of
+from foliant.plans import queries as plans
+from foliant.sources.tables import Config, adaptive_markdown, dealt, decoded, legacy_library, paged_files, pages_to_markdown, title_of
 from foliant.streaming import progress
 
 
@@ -265,6 +266,26 @@ def _odd_texts(n, *patterns):
     return ["".join(part(rng.choice(words)) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(n)] + ["", " ", "\n\n", "∎", "■", "vs", "Q.E.D."]
 
 
+def test_quick_patterns_find_the_same(spark):
+    rows = docs(spark, *_odd_texts(3000, *(p for _, p in density.COUNTS)))
+    pairs = [(F.regexp_extract_all("text", F.lit(p), F.lit(0)), F.regexp_extract_all("text", F.lit(density.quick(p)), F.lit(0))) for p in density.HEADS]
+    assert all(density.quick(p) != p for p in density.HEADS)
+    for p, (n, bad) in zip(density.HEADS, zip(*[iter(rows.select(*(x for a, b in pairs for x in (F.sum(F.size(a)), F.sum((a != b).cast("int"))))).first())] * 2), strict=True):
+        assert n > 100 and bad == 0, p
+
+
+def test_families_are_sought_once(spark):
+    """Counts and ratios share the search, in the row and in sections; paragraphs of white space alone don't count."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        plan = density.by_section(docs(spark, "a"))._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("homework") == 1
+    n = density.analyze(docs(spark, "for example\n\n \t\n\nvs", " ", None)).orderBy("id").collect()
+    assert [(r.word_count, r.para_count, r.example_ratio, r.comparison_count) for r in n] == [(3, 2, 0.5, 1), (0, 0, 0.0, 0), (0, 0, 0.0, 0)]
+
+
 def test_need_of_contained(spark):
     """What matches CONTAINS holds CONTAINED."""
     found = F.regexp_extract_all("text", F.lit(graph.CONTAINS), F.lit(0))
@@ -272,6 +293,20 @@ def test_need_of_contained(spark):
     assert rows.count() > 50 and rows.where(~F.col("text").rlike(graph.CONTAINED)).count() == 0
 
 
+def test_tasks_do_not_grow_with_the_input(spark, tmp_path):
+    """Pages in one file: the more rows, the more tasks; small inputs get one for each core."""
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("<article><p>A b.</article>").alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert dealt(pages, rows=100).rdd.getNumPartitions() == 20 and dealt(pages, rows=10**6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkey = dealt.__defaults__
+    try:
+        dealt.__defaults__ = (None, 50)
+        assert plans.marked(spark, str(tmp_path)).rdd.getNumPartitions() >= 40
+        assert plans.marked(spark, str(tmp_path)).count() == 2000 + len(plans.TEXTS)
+    finally:
+        dealt.__defaults__ = monkey
+
+
 def test_new_files_are_sought_inside_stored_paths(spark):
     found = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",), ("/in/c.pdf",)], "path string")
     stored = spark.createDataFrame([("/raw/a.pdf",), ("/raw/1234_b.pdf",)], "path string")
