@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 def tfidf(terms: DataFrame) -> DataFrame:
     """terms(id, term), repeats counted -> (id, term, tf, df, w) with idf ln((1 + N) / (1 + df)) + 1.
 
-    Two aggregates and two joins; no window, so a hot book is never gathered in one task.
+    Two aggregates and two joins; no window, so a hot book is never gathered in one task. What is counted refers to the counts below it, so that all
+    branches need the same columns of the first aggregate and share its one pass over the terms.
     """
     n = terms.groupBy("id", "term").agg(F.count("*").alias("n"))
     size = n.groupBy("id").agg(F.sum("n").alias("total"))
-    df = n.groupBy("term").agg(F.count("*").alias("df"))
-    books = size.agg(F.count("*").alias("books"))
+    df = n.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
+    books = size.agg(F.count_if(F.col("total") > 0).alias("books"))
     w = F.col("n") / F.col("total")
     out = n.join(size, "id").join(df, "term").join(F.broadcast(books))  # a single row
     return out.select("id", "term", w.alias("tf"), "df", (w * (F.log((1 + F.col("books")) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -36,17 +38,19 @@ def cosine(vectors: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
     return out.select("input_id", "book_id", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 4).alias("concept_score"))
 
 
-def _ratio(a, b) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def _ratios(others, b) -> list[float]:
+    """Sequence ratios of each of others against b, which is indexed once."""
+    m, out = SequenceMatcher(None, "", b), []
+    for a in others:
+        m.set_seq1(a)
+        out.append(m.ratio())
+    return out
 
 
-def _sequence(a: list[str], b: list[str]) -> float:
-    a, b = [x.lower() for x in a], [x.lower() for x in b]
-    if not a and not b:
-        return 1.0
-    if len(a) == 1 and len(b) == 1:
-        return _ratio(a[0], b[0])
-    return _ratio(a, b)
+def _sequences(others: list[list[str]], b: list[str]) -> list[float]:
+    """Of lists of lower-case titles; two lists of one title each are compared as titles."""
+    out = _ratios(others, b)
+    return [_ratios(a, b[0])[0] if len(a) == len(b) == 1 else r for a, r in zip(others, out, strict=True)]
 
 
 def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tuple[float, float, float] = (0.2, 0.3, 0.5), block: int = 256) -> DataFrame:
@@ -54,23 +58,34 @@ def match(inputs: DataFrame, books: DataFrame, chapters: DataFrame, weights: tup
     ranked: rank 1 is the largest total, ties by book id.
 
     The input set is stated by the caller; each of its books meets every other book, as every pair gets a score. Inputs and books are
-    dealt to blocks of about ``block``, and block meets block in a task, so titles and chapter lists travel once a block, not once a pair.
+    dealt to blocks of about ``block`` at most, and to several pairs of blocks for each core; block meets block in a task, so titles and chapter lists
+    travel once a block, not once a pair.
     """
     titles = chapters.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "title"))), lambda x: x.title).alias("chapters"))
     full = books.join(titles, books.id == titles.book_id, "left").select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("chapters", F.array().cast("array<string>")).alias("chapters"))
-    terms = chapters.select(F.col("book_id").alias("id"), F.explode("terms").alias("term")).select("id", F.lower("term").alias("term"))
-    scores = cosine(tfidf(terms), inputs)
+    # keys that are never null: else each join of tfidf() and cosine() filters its side by other columns, and each side tokenises all texts again
+    code = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    terms = chapters.select(code(F.col("book_id")).alias("id"), F.explode("terms").alias("term")).select("id", code(F.lower("term")).alias("term"))
+    vectors = tfidf(terms).withColumn("w", F.when(F.col("term") != "", F.col("w")).otherwise(0.0))  # a null term counts for its book's size only
+    scores = cosine(vectors, inputs.select(code(F.col("id")).alias("id"))).select(F.col("input_id").alias("_a"), F.col("book_id").alias("_b"), "concept_score")
     left = full.join(inputs.select("id"), "id", "left_semi").select(F.col("id").alias("input_id"), F.col("title").alias("own"), F.col("chapters").alias("ac"))
     right = full.select(F.col("id").alias("book_id"), F.col("title").alias("bt"), F.col("chapters").alias("bc"))
-    m, n = (max(1, -(-df.count() // block)) for df in (left, right))
+    least = math.isqrt(4 * inputs.sparkSession.sparkContext.defaultParallelism)
+    m, n = (max(1, -(-k // block), min(k, least)) for k in (inputs.count(), books.count()))
     dealt = lambda df, own, size, key, other, count: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(size))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
     def ratios(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = [(x.input_id, y.book_id, _ratio(x.own.lower(), y.bt.lower()), _sequence(list(x.ac), list(y.bc))) for x in own.itertuples() for y in others.itertuples() if x.input_id != y.book_id]
+        low = [(x.input_id, x.own.lower(), [t.lower() for t in x.ac]) for x in own.itertuples()]
+        out = []
+        for y in others.itertuples():
+            some = [x for x in low if x[0] != y.book_id]
+            name, titles = _ratios([x[1] for x in some], y.bt.lower()), _sequences([x[2] for x in some], [t.lower() for t in y.bc])
+            out += [(x[0], y.book_id, *r) for x, *r in zip(some, name, titles, strict=True)]
         return pd.DataFrame(out, columns=["input_id", "book_id", "n", "s"])
 
     met = dealt(left, "a", m, "input_id", "b", n).groupBy("a", "b").cogroup(dealt(right, "b", n, "book_id", "a", m).groupBy("a", "b"))
-    rated = met.applyInPandas(ratios, "input_id string, book_id string, n double, s double").join(scores, ["input_id", "book_id"], "left")
+    rated = met.applyInPandas(ratios, "input_id string, book_id string, n double, s double")
+    rated = rated.join(scores, (code(F.col("input_id")) == F.col("_a")) & (code(F.col("book_id")) == F.col("_b")), "left")
     c = F.coalesce("concept_score", F.lit(0.0))
     total = weights[0] * F.col("n") + weights[1] * F.col("s") + weights[2] * c
     return rated.select("input_id", "book_id", F.round("n", 4).alias("name_score"), F.round("s", 4).alias("structure_score"), c.alias("concept_score"), F.round(total, 4).alias("total_score")).withColumn("rank", F.row_number().over(W.partitionBy("input_id").orderBy(F.desc("total_score"), "book_id")))

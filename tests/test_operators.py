@@ -1,9 +1,11 @@
 """The reference scenarios (FIXTURES.md) on literal rows, and hand-derived results for what has no scenario there."""
 
 import json
+import math
 import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,6 +288,28 @@ def test_families_are_sought_once(spark):
     assert [(r.word_count, r.para_count, r.example_ratio, r.comparison_count) for r in n] == [(3, 2, 0.5, 1), (0, 0, 0.0, 0), (0, 0, 0.0, 0)]
 
 
+def test_library_match_reads_texts_once(spark):
+    """Weights, sizes, frequencies and norms share one pass over the terms; beside it titles and books are read."""
+    df = plans.QUERIES["library_match"](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0
+    plan = df._jdf.queryExecution()
+    df.collect()
+    assert plan.executedPlan().toString().split("== Initial Plan")[0].count("FileScan") <= 4
+
+
+def test_sequence_ratios_are_those_of_pairs(spark):
+    rng = random.Random(2)
+    lists = [["".join(rng.choices("ab ", k=rng.randint(0, 4))) for _ in range(n)] for n in (0, 1, 1, 2, 7, 250, 300)]
+    for b in lists:
+        one = lambda a: SequenceMatcher(None, a[0], b[0]).ratio() if len(a) == len(b) == 1 else SequenceMatcher(None, a, b).ratio()  # noqa: B023, E731
+        assert library._sequences(lists, b) == [one(a) for a in lists]
+    rows = spark.createDataFrame([(None, 1, "x", ["u"]), ("a", 1, "x", ["u", None]), ("b", 1, "y", ["u", "v"])], "book_id string, number int, title string, terms array<string>")
+    books = spark.createDataFrame([("a", "A"), ("b", None), (None, "n")], "id string, title string")
+    got = {(r.input_id, r.book_id): r.concept_score for r in library.match(books, books, rows).collect()}
+    w = {"u": math.log(4 / 4) + 1, "v": math.log(4 / 2) + 1}
+    assert got["a", "b"] == got["b", "a"] == round(w["u"] / math.hypot(w["u"], w["v"]), 4)
+
+
 def test_need_of_contained(spark):
     """What matches CONTAINS holds CONTAINED."""
     found = F.regexp_extract_all("text", F.lit(graph.CONTAINS), F.lit(0))
